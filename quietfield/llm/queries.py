@@ -10,9 +10,11 @@ from quietfield.llm.chat import op3_chat_format
 from quietfield.llm.langid import op10_language_id
 from quietfield.llm.licenses import op6_license_scan
 from quietfield.llm.pii import op7_pii
+from quietfield.llm.substrings import op4_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_pii": op7_pii,
     "op10_language_id": op10_language_id,
