@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -67,8 +68,10 @@ class Scratch:
 
     def free(self) -> None:
         """Shuffle files go once the driver's garbage is collected; ask for it now rather than in half an hour."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # the first round finds what the second lets go
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)
 
 
 def fold(doc_id: Column, n: int) -> Column:

@@ -13,6 +13,7 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20
 _U = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so that it has an inverse mod 2**64
+_BASES = (0xD1342543DE82EF95, 0xA0761D6478BD642F)  # odd as well
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -103,13 +104,12 @@ class Words:
 
 
 def windows(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """Hash of k consecutive word hashes from each place (the last k-1 places wrap and are to be ignored)."""
-    c = mix(np.arange(1, k + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F) + _U(seed)) | _U(1)
+    """Hash of the k consecutive word hashes from each place, by prefix sums; there are len(h) - k + 1."""
+    base = _BASES[seed]
     n = max(len(h) - k + 1, 0)
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out += h[j : j + n] * c[j]
-    return mix(out)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * powers(base, len(h)), out=total[1:])
+    return mix((total[k : k + n] - total[:n]) * powers(pow(base, -1, 1 << 64), n))
 
 
 def text_pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, Words]]:
