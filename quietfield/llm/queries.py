@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quietfield.llm.chat import op3_chat_format
 from quietfield.llm.langid import op10_language_id
 from quietfield.llm.licenses import op6_license_scan
+from quietfield.llm.lmscore import op5_lm_score
 from quietfield.llm.near import op1_near_dedup
 from quietfield.llm.pii import op7_pii
 from quietfield.llm.substrings import op4_substring_dedup
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_lm_score": op5_lm_score,
     "op6_license_scan": op6_license_scan,
     "op7_pii": op7_pii,
     "op10_language_id": op10_language_id,
