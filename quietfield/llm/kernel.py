@@ -27,6 +27,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
+#: With this, words are runs of ASCII letters and digits and of any other characters.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -65,12 +68,12 @@ def offsets(texts: pa.Array) -> np.ndarray:
 class Words:
     """The words of a piece: byte ranges in ``data``, their document's place and first word of each document."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, separator: np.ndarray = _SEPARATOR):
         at = offsets(texts)
         raw = texts.buffers()[2]
         self.data = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None else np.zeros(0, np.uint8)
         self.at = at - at[0]
-        inside = ~_SEPARATOR[self.data]
+        inside = ~separator[self.data]
         n = len(inside)
         edge = np.zeros(n + 1, bool)
         edge[self.at] = True
@@ -112,9 +115,9 @@ def windows(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix((total[k : k + n] - total[:n]) * powers(pow(base, -1, 1 << 64), n))
 
 
-def text_pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, Words]]:
+def text_pieces(batches: Iterator[pa.RecordBatch], column: str = "text", separator: np.ndarray = _SEPARATOR) -> Iterator[tuple[pa.RecordBatch, Words]]:
     """Each batch in pieces of bounded size with their words."""
     for batch in batches:
         texts = whole(batch.column(batch.schema.get_field_index(column)))
         for lo, hi in pieces(texts):
-            yield batch.slice(lo, hi - lo), Words(texts.slice(lo, hi - lo))
+            yield batch.slice(lo, hi - lo), Words(texts.slice(lo, hi - lo), separator)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quietfield.llm.chat import op3_chat_format
+from quietfield.llm.decontaminate import op8_decontaminate
 from quietfield.llm.langid import op10_language_id
 from quietfield.llm.licenses import op6_license_scan
 from quietfield.llm.lmscore import op5_lm_score
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_lm_score": op5_lm_score,
     "op6_license_scan": op6_license_scan,
     "op7_pii": op7_pii,
+    "op8_decontaminate": op8_decontaminate,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
