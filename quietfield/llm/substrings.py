@@ -5,8 +5,9 @@ with one minimiser travel as one packed string (their bytes in the text) to the
 minimiser, document and place. There equal windows are brought together by sorting, and all but the earliest are
 repeats. Windows are equal if two 64-bit hashes of their words' 64-bit hashes are.
 
-Hot minimisers (a common passage) never meet in one task: buckets of more than HOT times the mean send their windows
-one by one, to be counted by window with map-side combination, and so does a minimiser with more than GROUP rows.
+Hot minimisers (a common passage) never meet in one task. Of buckets of more than HOT times the mean, the earliest
+place of each window is found by an aggregation with map-side combination; whatever stands elsewhere is a repeat, and
+no occurrence is joined with another. A minimiser with more than GROUP rows in another bucket is treated by window too.
 The buckets are done in ``slices`` passes over the text, which bounds the shuffle files held at once.
 """
 
@@ -97,11 +98,10 @@ def _loose(h1: np.ndarray, h2: np.ndarray, ids, versions, starts) -> list:
     return [_long(h1), _long(h2), pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(starts.astype(np.int32))]
 
 
-def repeats(docs: DataFrame, k: int = WINDOW, slices: int = 2, group: int = GROUP, hot_from: int = 1000) -> tuple[DataFrame, Scratch]:
-    """Runs of repeated windows (id, version, start, n) of docs(id, version, text)."""
+def repeats(docs: DataFrame, hot: np.ndarray, k: int = WINDOW, slices: int = 2, group: int = GROUP) -> tuple[DataFrame, Scratch]:
+    """Runs of repeated windows (id, version, start, n) of docs(id, version, text), but for those in hot buckets."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
-    hot = hot_buckets(docs, k, hot_from)
     loose_schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("id", pa.int64()), ("version", pa.int64()), ("start", pa.int32())])
     packed_schema = pa.schema([("minimiser", pa.int64()), ("id", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("packed", pa.binary())])
     mixed_schema = pa.schema([*loose_schema, ("n", pa.int32())])
@@ -120,19 +120,6 @@ def repeats(docs: DataFrame, k: int = WINDOW, slices: int = 2, group: int = GROU
 
         return run
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, words in text_pieces(batches):
-            s = SuperKmers(words, k)
-            if not len(s.start):
-                continue
-            mine = np.flatnonzero(np.isin(s.bucket, hot))
-            n = s.n[mine]
-            at = np.repeat(s.start[mine], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            doc, h = words.doc[at], words.hashes()
-            for lo in range(0, len(at), 100_000):
-                x, d = at[lo : lo + 100_000], doc[lo : lo + 100_000]
-                yield _batch(loose_schema, *_loose(windows(h, k)[x], windows(h, k, 1)[x], _column(batch, "id")[d], _column(batch, "version")[d], x - words.first[d]))
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by minimiser: groups are gathered up to CHUNK bytes; a group beyond GROUP rows goes on as windows."""
 
@@ -149,12 +136,15 @@ def repeats(docs: DataFrame, k: int = WINDOW, slices: int = 2, group: int = GROU
             begin = starts[row].astype(np.int64) + off
             if not whole_group:
                 return _batch(mixed_schema, *_loose(h1, h2, ids[row], versions[row], begin), pa.nulls(len(row), pa.int32()))
-            order = np.lexsort((h2, h1)) if len(h1) and _collide(h1, h2) else np.argsort(h1, kind="stable")
-            same = np.zeros(len(order), bool)
-            same[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-            first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))] if len(order) else order
-            later = np.zeros(len(order), bool)
-            later[order] = (ids[row][order] != ids[row][first]) | (begin[order] != begin[first])  # rows of one id are on a par
+            order = np.argsort(h1)
+            a, b = h1[order], h2[order]
+            if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):  # a first hash with two second ones
+                order = np.lexsort((h2, h1))
+                a, b = h1[order], h2[order]
+            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            first = np.repeat(np.minimum.reduceat(order, new), np.diff(np.concatenate([new, [len(order)]])))
+            later = np.zeros(len(order), bool)  # rows stand by id and start; rows of one id are on a par
+            later[order] = (ids[row][order] != ids[row][first]) | (begin[order] != begin[first])
             d = np.flatnonzero(later)
             new = np.ones(len(d), bool)
             new[1:] = (d[1:] != d[:-1] + 1) | (row[d[1:]] != row[d[:-1]])
@@ -216,13 +206,38 @@ def repeats(docs: DataFrame, k: int = WINDOW, slices: int = 2, group: int = GROU
     found = spark.read.parquet(*[f"{scratch.root}/{n}" for n in names])
     runs = found.where("n is not null").select("id", "version", "start", "n")
     loose = found.where("n is null").select("w1", "w2", "id", "version", "start")
-    if len(hot):
-        loose = loose.unionByName(docs.mapInArrow(spread, f"{LOOSE}, id long, version long, start int"))
-    loose = scratch.write(loose, "loose")
-    # A null-free key of one row a window; the occurrences' side may be skewed, and AQE splits it.
-    first = loose.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("times")).where("times > 1")
-    more = loose.join(first, ["w1", "w2"]).where("id != first.id or start != first.start").select("id", "version", "start", F.lit(1).alias("n"))
-    return runs.unionByName(more), scratch
+    if not loose.isEmpty():
+        first = loose.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("times")).where("times > 1")
+        more = loose.join(first, ["w1", "w2"]).where("id != first.id or start != first.start").select("id", "version", "start", F.lit(1).alias("n"))
+        runs = runs.unionByName(more)
+    return runs, scratch
+
+
+def earliest(docs: DataFrame, hot: np.ndarray, k: int) -> DataFrame:
+    """(id, start) of the earliest place of each window in a hot bucket."""
+    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("id", pa.int64()), ("start", pa.int32())])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, words in text_pieces(batches):
+            at = hot_windows(SuperKmers(words, k), hot)
+            if len(at):
+                doc, h = words.doc[at], words.hashes()
+                yield _batch(schema, _long(windows(h, k)[at]), _long(windows(h, k, 1)[at]), _column(batch, "id")[doc], (at - words.first[doc]).astype(np.int32))
+
+    # A place as one number, so that the minimum is kept in a hash table.
+    place = F.col("id").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("start")
+    least = docs.mapInArrow(spread, "w1 long, w2 long, id long, start int").groupBy("w1", "w2").agg(F.min(place.cast("decimal(38,0)")).alias("place"))
+    start = F.pmod("place", F.lit(1 << 31).cast("decimal(10,0)"))
+    return least.select(((F.col("place") - start) / F.lit(1 << 31)).cast("decimal(38,0)").cast("long").alias("id"), start.cast("int").alias("start"))
+
+
+def hot_windows(s: SuperKmers, hot: np.ndarray) -> np.ndarray:
+    """Places of a piece's windows in hot buckets."""
+    if not len(s.start) or not len(hot):
+        return np.zeros(0, np.int64)
+    mine = np.flatnonzero(np.isin(s.bucket, hot))
+    n = s.n[mine]
+    return np.repeat(s.start[mine], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _as_text(packed: pa.Array) -> pa.Array:
@@ -231,13 +246,6 @@ def _as_text(packed: pa.Array) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(packed), packed.buffers()[1], packed.buffers()[2], offset=packed.offset)
 
 
-def _collide(h1: np.ndarray, h2: np.ndarray) -> bool:
-    """Whether a first hash stands with two second ones: then the plain order by the first won't do."""
-    order = np.argsort(h1, kind="stable")
-    a, b = h1[order], h2[order]
-    return bool(np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])))
-
-
 def remove_repeats(docs: DataFrame, k: int = WINDOW, slices: int = 2, group: int = GROUP, hot_from: int = 1000) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) for every row of ``docs``.
 
@@ -246,11 +254,20 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, slices: int = 2, group: int
     A null doc_id sorts last. Null, empty and short texts (under ``k`` words) lose nothing.
     """
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), "text")
-    runs, scratch = repeats(keyed.select("id", "version", "text"), k, slices, group, hot_from)
+    sent = keyed.select("id", "version", "text")
+    hot = hot_buckets(sent, k, hot_from)
+    runs, scratch = repeats(sent, hot, k, slices, group)
     by_doc = runs.groupBy("id", "version").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
     by_doc = scratch.write(by_doc, "runs")
-    scratch.drop("loose", *(f"part-{i}" for i in range(slices)))
-    joined = keyed.join(by_doc, ["id", "version"], "left").select("doc_id", "text", "runs")
+    scratch.drop(*(f"part-{i}" for i in range(slices)))
+    joined = keyed.join(by_doc, ["id", "version"], "left")
+    if len(hot):
+        firsts = scratch.write(earliest(sent, hot, k).groupBy("id").agg(F.collect_set("start").alias("firsts")), "firsts")
+        scratch.free()
+        joined = joined.join(firsts, "id", "left")
+    else:
+        joined = joined.withColumn("firsts", F.lit(None).cast("array<int>"))
+    joined = joined.select("doc_id", "text", "runs", "firsts")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,6 +279,17 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, slices: int = 2, group: int
             mark = np.zeros(len(words) + 1, np.int64)
             np.add.at(mark, begin, 1)
             np.add.at(mark, begin + flat.field(1).to_numpy(zero_copy_only=False) + k - 1, -1)
+            at = hot_windows(SuperKmers(words, k), hot)
+            if len(at):
+                firsts = batch.column(3)
+                owner = np.repeat(np.arange(len(firsts)), np.diff(_list_offsets(firsts)))
+                begin = firsts.flatten().to_numpy(zero_copy_only=False)
+                mine = begin < words.count[owner]  # the others are of another text with the same id
+                first = np.zeros(len(words), bool)
+                first[words.first[:-1][owner[mine]] + begin[mine]] = True
+                at = at[~first[at]]
+                np.add.at(mark, at, 1)
+                np.add.at(mark, at + k, -1)
             gone = np.cumsum(mark)[:-1] > 0
             removed = np.concatenate([[0], np.cumsum(gone)])[words.first]
             data, left, kept = words.data.tobytes(), ~gone, []
