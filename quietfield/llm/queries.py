@@ -6,23 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quietfield.llm.ann import op2_nearest
 from quietfield.llm.chat import op3_chat_format
 from quietfield.llm.decontaminate import op8_decontaminate
 from quietfield.llm.langid import op10_language_id
 from quietfield.llm.licenses import op6_license_scan
 from quietfield.llm.lmscore import op5_lm_score
+from quietfield.llm.mixing import op9_mixing
 from quietfield.llm.near import op1_near_dedup
 from quietfield.llm.pii import op7_pii
 from quietfield.llm.substrings import op4_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_nearest": op2_nearest,
     "op3_chat_format": op3_chat_format,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_lm_score": op5_lm_score,
     "op6_license_scan": op6_license_scan,
     "op7_pii": op7_pii,
     "op8_decontaminate": op8_decontaminate,
+    "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
