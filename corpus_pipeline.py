@@ -1,12 +1,16 @@
-"""The corpus pipeline: stages over documents, each written and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written and read again as the next one's input.
+
+Every stage works on whole texts and all rows, and returns the columns of documents; the last adds the mixing rate.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quietfield.llm import langid
+from quietfield.llm import decontaminate, langid, mixing, near, pii
 from quietfield.llm.common import Scratch, fold, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,7 +24,51 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("lang", found.lang_pred).select(*COLUMNS)
 
 
-STAGES: list[tuple[str, Stage]] = [("language_id", language_id)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each class of near duplicates the document of least doc_id; of rows of one id the least."""
+    classes = near.near_duplicates(docs.select("doc_id", "text")).distinct()
+    kept = classes.where("doc_id = class_id").select("doc_id")
+    known = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    extra = kept_twice(known)
+    return (known if extra is None else extra).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+
+
+def kept_twice(known: DataFrame) -> DataFrame | None:
+    """One row of each id where some ids stand more than once; None where none does, which needs no shuffle of texts."""
+    if known.select("doc_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return None
+    least = known.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
+    return least.select("doc_id", "r.text", "r.lang", "r.source", "r.n_chars")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold an item of the benchmark."""
+    held = decontaminate.contaminated(docs.select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    held = Scratch(spark, "contaminated").write(held.select("doc_id").distinct(), "held")
+    return docs.select(*COLUMNS).join(held, "doc_id", "left_anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind; n_chars follows. Keeps every document."""
+    found = pii.redact(pii.find(docs.select(*COLUMNS), pii.learn_contexts(docs.select("doc_id", "text"))))
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixing_rates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its likeliest domain and the rate at which the mixture takes it."""
+    found = mixing.mix_to_targets(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    return docs.select("doc_id", "lang", "source", "n_chars", mixing.version().alias("version")).join(
+        found.select("doc_id", "version", "tokens", "domain", "rate").distinct(), ["doc_id", "version"], "left"
+    ).drop("version")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("mixing_rates", mixing_rates),
+]
 ORACLE_SQL: str | None = None
 
 
