@@ -21,8 +21,8 @@ from quietfield.llm.kernel import Words, mix, text_pieces
 #: Domains of the labelled table, and the shares of tokens wanted of each.
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = (0.75, 0.25, 0.0)
-FEATURES, CHOSEN = 1 << 16, 2000
-SAMPLE = 20_000
+FEATURES, CHOSEN = 1 << 16, 1000
+SAMPLE = 6_000
 _U = np.uint64
 _EDGE = frozenset(b".,;:!?\"'()[]")
 
