@@ -32,7 +32,7 @@ PARSED = "lang_pred string, score double"
 class Automata:
     """One table of transitions for all languages; a state is premultiplied by the alphabet's size.
 
-    A transition that fails has FAILED set and leads where the failing character itself leads from the root.
+    A transition that fails has FAILED set and leads to where the failing character begins a new phrase.
     """
 
     FAILED = np.int32(1 << 30)
@@ -43,15 +43,17 @@ class Automata:
         self.alphabet = {c: i + 2 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:letters])}
         self.size = len(self.alphabet) + 2  # 0: anything that isn't a letter, 1: other letters
         self.low = np.array([self.code_of(chr(c)) for c in range(0x3000)], np.int8)
-        tables, self.roots, base = [], [], 0
+        tables, self.starts, base = [], [], 0
         for lang in self.languages:
             table = self.automaton(self.codes(texts[lang]))
             root, n = table[0], len(table)
-            failed = table < 0
-            step = np.where(failed, np.where(root < 0, 0, root)[None, :], table) * self.size + base
-            tables.append(np.where(failed, step | self.FAILED, step).astype(np.int32).ravel())
-            self.roots.append(base)
-            base += n * self.size
+            # One state more, in which every character begins a phrase: the start, and what follows a character that
+            # the language's text doesn't have.
+            full = np.vstack([table, np.full((1, self.size), -1, np.int32)])
+            step = np.where(full < 0, np.where(root < 0, n, root)[None, :], full) * self.size + base
+            tables.append(np.where(full < 0, step | self.FAILED, step).astype(np.int32).ravel())
+            self.starts.append(base + n * self.size)
+            base += (n + 1) * self.size
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
     def code_of(self, c: str) -> int:
@@ -118,9 +120,8 @@ class Automata:
             padded = np.concatenate([codes, np.zeros(SEGMENT, codes.dtype)])
             columns = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, SEGMENT)[begin].T)
             for lang in range(k):
-                state = np.full(len(owner), self.roots[lang], np.int32)
+                state = np.full(len(owner), self.starts[lang], np.int32)
                 total = count[lang]
-                total += 1  # the first phrase
                 for j in range(SEGMENT):
                     m = alive[j]
                     if not m:

@@ -83,7 +83,7 @@ class Classifier:
         w, b = np.zeros((x.shape[1], k)), np.log(prior)
         y = np.eye(k)[label]
         rng, m1, m2, step = np.random.default_rng(5), np.zeros_like(w), np.zeros_like(w), 0
-        for _ in range(12 if n else 0):
+        for _ in range(max(12, -(-400 * 256 // max(n, 256))) if n else 0):  # 400 steps at least
             order = rng.permutation(n)
             for lo in range(0, n, 256):
                 i = order[lo : lo + 256]
