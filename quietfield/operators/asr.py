@@ -56,12 +56,15 @@ def clean_windows(signal: DataFrame, rate: float, n: int, length: float = 1.0, o
     return table, kept
 
 
-def calibrate(signal: DataFrame, rate: float, n: int, cutoff: float = 20.0, length: float = 0.5, overlap: float = 0.66, block: int = 10, filtered: bool = True, select_clean: bool = True, riemannian: bool = False) -> State:
+def calibrate(signal: DataFrame, rate: float, n: int, cutoff: float = 20.0, length: float = 0.5, overlap: float = 0.66, block: int = 10, filtered: bool = True, select_clean: bool = True, reference: DataFrame | None = None) -> State:
     """Mixing: root of the geometric median of block covariances of clean, filtered data. Thresholds: mean plus ``cutoff``
-    deviations of each component's amplitude."""
+    deviations of each component's amplitude. With a ``reference`` (t, kept), its samples are the clean data."""
     names = channels_of(signal)
     kept = signal
-    if select_clean:
+    if reference is not None:
+        chosen = signal.join(reference.where("kept").select("t"), "t", "left_semi")
+        kept = chosen.join(_renumbered(chosen), "t").select("channel", F.col("k").alias("t"), "x")
+    elif select_clean:
         size = half_up(rate)
         _, starts = clean_windows(signal, rate, n)
         kept = windows.in_windows(signal, starts, size).select("channel", "t", "x").distinct()

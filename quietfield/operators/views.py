@@ -109,3 +109,24 @@ def harmonic_attenuation(before: DataFrame, after: DataFrame, f0: float, harmoni
     h = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(harmonics).cast("long")))
     both = _both(before, after, "power", ["channel", "freq"]).withColumn("harmonic", h).where(F.abs(F.col("freq") - F.col("harmonic") * f0) <= width + 1e-9)
     return both.groupBy("harmonic", "channel").agg((10 * F.log10(F.max("before") / F.max("after"))).alias("db"))
+
+
+def spectrogram(signal: DataFrame, rate: float, nperseg: int) -> DataFrame:
+    """(frame, freq, power) averaged over channels: half-overlapping Hann frames, each a task's own group of samples."""
+    import numpy as np
+    import pandas as pd
+
+    from quietfield.functions.kernels import hann
+
+    hop = nperseg // 2
+    n = signal.agg((F.max("t") + 1).alias("n")).first().n or 0
+    last = (n - nperseg) // hop
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        x, w = f.sort_values("t")["x"].to_numpy(float), hann(nperseg)
+        z = np.abs(np.fft.rfft((x - x.mean()) * w)) ** 2 / (rate * (w * w).sum())
+        return pd.DataFrame({"frame": int(f["frame"].iloc[0]), "freq": np.fft.rfftfreq(nperseg, 1 / rate), "power": z})
+
+    at = F.explode(F.sequence(F.greatest(F.floor((F.col("t") - nperseg) / hop) + 1, F.lit(0)), F.floor(F.col("t") / hop)))
+    cut = signal.withColumn("frame", at).where(F.col("frame") <= last)
+    return cut.groupBy("channel", "frame").applyInPandas(run, "frame long, freq double, power double").groupBy("frame", "freq").agg(F.avg("power").alias("power"))

@@ -152,3 +152,9 @@ def cross_faded(signal: DataFrame, starts: list[int], length: int, ramp: int) ->
     up = F.when((F.col("start") > first) & (k <= ramp), raised_cosine(k, ramp)).otherwise(1.0)
     down = F.when((F.col("start") < last) & (back <= ramp), raised_cosine(back, ramp)).otherwise(1.0)
     return in_windows(signal, starts, length).withColumn("taper", F.least(up, down))
+
+
+def lag_weights(weights: DataFrame, lags: list[int], block: int = BLOCK) -> DataFrame:
+    """(channel, t, w): the least weight among the samples that a lagged row is made of; x holds the weights."""
+    made = framed(weights, max(0, max(lags)), max(0, -min(lags)), lambda w: F.array(*[F.lag("x", k).over(w) if k >= 0 else F.lead("x", -k).over(w) for k in lags]), "ws", block)
+    return made.where(F.forall("ws", lambda v: v.isNotNull())).select("channel", "t", F.array_min("ws").alias("w"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quietfield.functions import linalg as L
 from quietfield.operators import asr, denoisers, dss, lines, moments, qa, references, series, spans, spectral, views, windows
+from quietfield.plans import validation
 from quietfield.plans.model import apply_long, fitted_covariance, matrix_table
 from quietfield.sources import signals as S
 from quietfield.streaming import streams
@@ -1006,3 +1007,40 @@ def _(spark, d):
     return views.field_power_bootstrap(S.to_epochs(S.hourly(spark, d), DAY), 200)
 
 
+
+
+# --- more ----------------------------------------------------------------------------------------------------
+
+@query("density", HOURLY + " SELECT channel, count(*) AS n, 1.0 AS finite, round(var_pop(x), 3) + 0.0 AS spread, true AS dense FROM sig GROUP BY 1")
+def _(spark, d):
+    found = validation.density(S.hourly(spark, d))
+    return found.select("channel", "n", "finite", r("spread", 3).alias("spread"), "dense")
+
+
+@query("lag_weights", HOURLY + " SELECT channel, t, round(least(x, lag(x, 1) OVER w, lag(x, 2) OVER w), 4) + 0.0 AS w FROM sig WINDOW w AS (PARTITION BY channel ORDER BY t) QUALIFY t >= 2")
+def _(spark, d):
+    return shown(windows.lag_weights(S.hourly(spark, d), [0, 1, 2], block=100), "channel", "t")
+
+
+@query("daily_signal", """WITH g AS (SELECT o_orderpriority AS channel, CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT) AS h, sum(o_totalprice) / 1000 AS x FROM orders GROUP BY 1, 2), b AS (SELECT min(h) AS lo, max(h) AS hi FROM g)
+SELECT c.channel, r.h - b.lo AS t, round(coalesce(g.x, 0.0) + 0.00001234567, 4) + 0.0 AS x FROM (SELECT DISTINCT channel FROM g) c CROSS JOIN b CROSS JOIN (SELECT unnest(range((SELECT lo FROM b), (SELECT hi + 1 FROM b))) AS h) r LEFT JOIN g ON g.channel = c.channel AND g.h = r.h""")
+def _(spark, d):
+    return shown(S.daily(spark, d), "channel", "t", nudge=OFF)
+
+
+@query("vector_signal", "SELECT 'e' || (i - 1) AS channel, vec_id AS t, round(CAST(x AS DOUBLE), 6) + 0.0 AS x FROM (SELECT vec_id, unnest(range(1, 9)) AS i, unnest(embedding[1:8]) AS x FROM embeddings)")
+def _(spark, d):
+    return shown(S.vectors(spark, d), "channel", "t", digits=6)
+
+
+@query("spectrogram_view")
+def _(spark, d):
+    return views.spectrogram(S.hourly(spark, d), 24.0, 48)
+
+
+@query("asr_on_reference_samples")
+def _(spark, d):
+    sig = S.hourly(spark, d)
+    n = hours(sig)
+    state = asr.calibrate(sig, 24.0, n, 3.0, length=1.0, reference=asr.reference_samples(sig, 3))
+    return asr.process(sig, state, 24.0, n, 1.0, chunk=240)

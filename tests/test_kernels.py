@@ -189,3 +189,44 @@ def test_chunks_of_repair_are_those_of_one_chunk(spark):
     both = one.join(many, ["channel", "t"])
     assert both.count() == n * c and both.where(F.abs(F.col("x0") - F.col("x1")) > 1e-6).count() == 0
     assert both.join(sig, ["channel", "t"]).agg(F.max(F.abs(F.col("x") - F.col("x0")))).first()[0] > 1
+
+
+def test_settings():
+    from quietfield.plans import validation as V
+
+    assert V.sample_window((-0.1, 0.25), "seconds", 10) == (-1, 2)
+    assert V.agreed_rate(None, 250.0) == 250.0
+    for bad in (lambda: V.sample_window((3, 3)), lambda: V.agreed_rate(1.0, 2.0), lambda: V.same_channels(["a"], ["b"])):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_unusable_channels_are_named(spark):
+    from quietfield.plans import validation as V
+
+    rows = [("a", t, float(t)) for t in range(200)] + [("b", t, 1.0) for t in range(200)]
+    sig = spark.createDataFrame(rows, "channel string, t long, x double")
+    with pytest.raises(ValueError, match="b"):
+        V.filled(sig)
+    holed = spark.createDataFrame([(c, t, float("nan") if t == 5 and c == "a" else x + t % 7) for c, t, x in rows], "channel string, t long, x double")
+    assert V.filled(holed).where("channel = 'a' and t = 5").first().x == 0.0
+
+
+def test_log_levels():
+    from quietfield import progress as P
+
+    class Fit:
+        verbose = "ERROR"
+
+        @P.verbose
+        def run(self):
+            return P.LOG.level
+
+    assert Fit().run() == 40 and Fit().run(verbose="DEBUG") == 10
+    with P.log_level("INFO"):
+        assert Fit().run() == 20
+
+
+def test_null_threshold_lies_above_chance():
+    x, y = RNG.standard_normal((3, 300)), RNG.standard_normal((2, 300))
+    assert 0 < references.null_threshold(x, y, rounds=20) < 0.3
