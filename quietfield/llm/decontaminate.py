@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from quietfield.llm.common import ship_code, read
 from quietfield.llm.kernel import PUNCTUATION, Words, mix, text_pieces, whole
 
-TILE, FEATURES, RANK, SEED = 64, 1 << 14, 24, 11
+TILE, FEATURES, RANK, SEED = 64, 1 << 14, 20, 11
 LENGTHS, CLASS = 16, 64  # windows are of 16, 32, 48 or 64 words; longer items are searched by their parts
-NEAR, SHARED = 0.5, 0.4
+NEAR, SHARED = 0.64, 0.4
 SAME, ALIKE, ANSWERED = 0.8, 0.5, 0.8
 BLOCK = 2000
 _U = np.uint64
@@ -60,7 +60,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """Weight of each feature over all passages; words of more than about a fifth of them weigh nothing."""
+    """Weight of each feature over all passages; words of more than about a twelfth of them weigh nothing."""
     rows = docs.select("text").mapInArrow(_frequencies, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
     counts, tiles = np.zeros(FEATURES), 0
     for r in rows:
@@ -68,7 +68,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
             tiles = r.n
         else:
             counts[r.f] = r.n
-    return np.maximum(np.log((tiles + 1) / (counts + 1)) - 1.5, 0.0).astype(np.float32)
+    return np.maximum(np.log((tiles + 1) / (counts + 1)) - 2.5, 0.0).astype(np.float32)
 
 
 def latent_space(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
@@ -92,9 +92,9 @@ def latent_space(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
             new = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
             seg = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(f))))
             w = w / np.sqrt(np.add.reduceat(w * w, new))[seg]
-            z = np.add.reduceat(test[f] * w[:, None], new)
+            z = np.ascontiguousarray(np.add.reduceat(test.take(f, axis=0) * w[:, None], new).T)
             for j in range(RANK):
-                total[j] += np.bincount(f, w * z[seg, j], FEATURES)
+                total[j] += np.bincount(f, w * z[j].take(seg), FEATURES)
         at = np.flatnonzero(total.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(total.T[at]), pa.list_(pa.float64()))], ["f", "y"])
 
@@ -164,6 +164,22 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+def _running_sums(words: Words, f: np.ndarray, latent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of latent vectors over a piece's words, at every fourth word of each document, and where documents begin."""
+    n = -(-words.count // 4)
+    fours = np.concatenate([[0], np.cumsum(n)])
+    doc = np.repeat(np.arange(len(n)), n)
+    place = words.first[:-1][doc] + 4 * (np.arange(len(doc)) - fours[:-1][doc])
+    blank = np.vstack([latent, np.zeros((1, latent.shape[1]), latent.dtype)])
+    total = 0
+    for k in range(4):
+        at = place + k
+        total = total + blank.take(np.where(at < words.first[1:][doc], f.take(at, mode="clip"), len(latent)), axis=0)
+    sums = np.zeros((len(doc) + 1, latent.shape[1]))
+    np.cumsum(total, axis=0, dtype=np.float64, out=sums[1:])
+    return sums, fours
+
+
 FOUND = "doc_id long, item_id long, lcs double, answer double"
 
 
@@ -176,26 +192,30 @@ def search(docs: DataFrame, items: Items, latent: np.ndarray) -> DataFrame:
             if not len(words):
                 continue
             h, f = features(words)
-            sums = np.zeros((len(f) + 1, latent.shape[1]))
-            np.cumsum(latent[f], axis=0, dtype=np.float64, out=sums[1:])
+            sums, fours = _running_sums(words, f, latent)
             asked: dict[tuple[int, int], set[tuple[int, int]]] = {}
             for size, (owner, shift, direction, table) in items.parts.items():
                 step = size // 4
                 n = np.where(words.count > 0, np.maximum(-(-(words.count - size) // step), 0) + 1, 0)
                 doc = np.repeat(np.arange(len(n)), n)
-                at = np.minimum((np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step, np.maximum(words.count - size, 0)[doc]) + words.first[:-1][doc]
+                at = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step
+                low = fours[:-1][doc] + at // 4
+                v = (sums.take(np.minimum(low + size // 4, fours[1:][doc]), axis=0) - sums.take(low, axis=0)).astype(np.float32)
+                at += words.first[:-1][doc]
                 end = np.minimum(at + size, words.first[1:][doc])
-                v = (sums[end] - sums[at]).astype(np.float32)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                for lo in range(0, len(v), 8192):
-                    row, part = np.nonzero(v[lo : lo + 8192] @ direction.T >= NEAR)
+                flat, steps, short = table.ravel(), np.arange(size), end - at < size
+                least = SHARED * np.minimum(table.sum(1), size)
+                for lo in range(0, len(v), 2048):
+                    row, part = np.nonzero(v[lo : lo + 2048] @ direction.T >= NEAR)
                     row += lo
                     for cut in range(0, len(row), 4096):
                         r, p = row[cut : cut + 4096], part[cut : cut + 4096]
-                        place = at[r][:, None] + np.arange(size)
-                        inside = place < end[r][:, None]
-                        hit = table[p[:, None], f[np.minimum(place, len(f) - 1)]] & inside
-                        good = np.flatnonzero(hit.sum(1) >= SHARED * np.minimum(table.sum(1)[p], size))
+                        place = at[r][:, None] + steps
+                        hit = flat.take(f.take(place, mode="clip") + (p * FEATURES)[:, None])
+                        if short[r].any():
+                            hit &= place < end[r][:, None]
+                        good = np.flatnonzero(np.count_nonzero(hit, axis=1) >= least[p])
                         for g in good.tolist():
                             k = int(owner[p[g]])
                             m = len(items.words[k])
@@ -209,7 +229,9 @@ def search(docs: DataFrame, items: Items, latent: np.ndarray) -> DataFrame:
                 for lo_word, hi_word in spans:
                     near = h[lo_word:hi_word].tolist()
                     own = items.words[k]
-                    best = max(best, (common_subsequence(own, near) / len(own), common_subsequence(items.answer[k], near) / len(items.answer[k])))
+                    lcs = common_subsequence(own, near) / len(own)
+                    if lcs >= ALIKE:
+                        best = max(best, (lcs, common_subsequence(items.answer[k], near) / len(items.answer[k])))
                 if best[0] >= SAME or (best[0] >= ALIKE and best[1] >= ANSWERED):
                     out.append((d, k, *best))
             if out:
