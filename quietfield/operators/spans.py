@@ -12,11 +12,12 @@ def round_half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
-def mask_to_spans(mask: DataFrame) -> DataFrame:
-    """Runs of true in (channel, t, on)."""
-    on = mask.where("on")
-    key = F.col("t") - F.row_number().over(Window.partitionBy("channel").orderBy("t"))
-    return on.withColumn("run", key).groupBy("channel", "run").agg(F.min("t").alias("start"), (F.max("t") + 1).alias("stop")).drop("run")
+def mask_to_spans(mask: DataFrame, cell: int = 1 << 16) -> DataFrame:
+    """Runs of true in (channel, t, on): found in cells of time, which are tasks of their own, and joined where they touch."""
+    on = mask.where("on").withColumn("cell", F.floor(F.col("t") / cell))
+    key = F.col("t") - F.row_number().over(Window.partitionBy("channel", "cell").orderBy("t"))
+    runs = on.withColumn("run", key).groupBy("channel", "cell", "run").agg(F.min("t").alias("start"), (F.max("t") + 1).alias("stop"))
+    return merge_spans(runs.select("channel", "start", "stop"))
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:

@@ -257,7 +257,7 @@ def loud(spark, d):
 
 @query("mask_spans", SPANS + " SELECT channel, start, stop FROM sp")
 def _(spark, d):
-    return spans.mask_to_spans(loud(spark, d))
+    return spans.mask_to_spans(loud(spark, d), cell=100)
 
 
 @query("merged_spans", SPANS + """, w AS (SELECT channel, greatest(start - 3, 0) AS start, stop + 3 AS stop FROM sp),
