@@ -120,9 +120,10 @@ class Router:
 def fit(sample: np.ndarray, parts: int, recall: float = RECALL, top: int = TOP) -> tuple[Router | None, int]:
     """A router, and to how many parts a query goes for the recall wanted on held-out rows of the sample.
 
-    Nearest rows lie closer in the whole table than in its sample, so the sample is the harder case.
+    Nearest rows lie closer in the whole table than in its sample, so the sample is the harder case. A sample of less than
+    20 rows for each neighbour wanted is not cut at all.
     """
-    if len(sample) < 4 * max(parts, top) or parts < 2:
+    if len(sample) < 20 * max(parts, top) or parts < 2:
         return None, 1
     held = np.random.default_rng(4).permutation(len(sample))
     test, train = held[: min(512, len(sample) // 8)], held[min(512, len(sample) // 8) :]
