@@ -155,33 +155,41 @@ def rates(table: DataFrame, targets: tuple[float, ...] = TARGETS, iterations: in
     p = [F.col(f"p_{d}") for d in DOMAINS]
     pairs = [(i, j) for i in range(len(p)) for j in range(i, len(p))]
     first = table.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"m{i}{j}") for i, j in pairs]).first()
-    rate = F.lit(1.0)
     if not first.n:
-        return rate, [0.0] * len(p)
+        return F.lit(1.0), [0.0] * len(p)
     m = np.zeros((len(p), len(p)))
     for i, j in pairs:
         m[i, j] = m[j, i] = first[f"m{i}{j}"] / first.n
     curvature = np.linalg.eigvalsh(m)
     longest, shortest = 1 / max(curvature[0], 1e-4), 1 / curvature[-1]
-    want, before, old, eta = np.array(targets), None, None, shortest
-    best = None
+    want, old, eta, best = np.array(targets), None, shortest, None
+    steps: list[np.ndarray] = []
     for _ in range(iterations):
         w = F.col("tokens") / float(first.n)
-        moved = F.lit(0.0) if before is None else rate - before
-        row = table.agg(*[F.sum(w * rate * q).alias(f"s{k}") for k, q in enumerate(p)], F.sum(w * moved * moved).alias("moved")).first()
+        now = table.select(w.alias("w"), *p, _rate(steps, p).alias("r"), _rate(steps[:-1], p).alias("before"))
+        moved = F.col("r") - F.col("before")
+        row = now.agg(*[F.sum(F.col("w") * F.col("r") * q).alias(f"s{k}") for k, q in enumerate(p)], F.sum(F.col("w") * moved * moved).alias("moved")).first()
         reached = np.array([row[f"s{k}"] for k in range(len(p))])
         e = reached - want
         if best is None or (e @ e) < best[0]:
-            best = (e @ e, rate, reached)
+            best = (e @ e, len(steps), reached)
         if np.abs(e).max() < close or (old is not None and np.abs(e - old).max() < close):
             break
         if old is not None:
             d = e - old
             eta = float(np.clip(row.moved / max(d @ d, 1e-300), shortest, longest))
-        before, old = rate, e
-        step = sum((q * float(x) for q, x in zip(p, eta * e, strict=True)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - step)
-    return best[1], best[2].tolist()
+        old = e
+        steps.append(eta * e)
+    return _rate(steps[: best[1]], p), best[2].tolist()
+
+
+def _rate(steps: list[np.ndarray], p: list[Column]) -> Column:
+    """Rate after some steps. They go in as one constant, so that the plan and its code are the same for each iteration."""
+    if not steps:
+        return F.lit(1.0)
+    taken = F.array(*[F.array(*[F.lit(float(x)) for x in h]) for h in steps])
+    along = lambda h: sum((q * h[k] for k, q in enumerate(p)), F.lit(0.0))
+    return F.aggregate(taken, F.lit(1.0), lambda r, h: F.greatest(F.lit(0.0), r - along(h)))
 
 
 def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
