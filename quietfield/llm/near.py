@@ -7,13 +7,13 @@ of the documents. An element stops as soon as its next arrival is later than all
 (Plain counts as weights would make one line, repeated many times, outweigh all else in a text.)
 
 Exact copies are one vertex from the start. Vertices that agree in a band meet in a bucket. In a small bucket all are
-compared; in a larger one all are compared with its leader, the vertex with most company. What is not linked to the
-leader goes on: far vertices to finer buckets, by the same band and another one (two texts that are alike agree in
-many bands, those that only share a passage in few), near ones to buckets by what they differ in from the leader (two
-texts that are alike, but not like the leader, share such differences).
-So the pairs made stay in proportion to the rows, however large a bucket is. Candidates with a promising estimate are
-verified on their texts, by the Jaccard similarity of their sets of shingles; links give components, whose least
-doc_id is the class.
+compared; in a larger one all are compared with its leader, the vertex with most company. Buckets that still hold
+several components are then closed: all their pairs of different components are estimated, in blocks of a bounded number
+of rows. So no two texts that meet in a bucket are left apart unseen; the estimates made grow with the square of such a
+bucket, but no row is made for a pair without a promising estimate.
+Estimates are by a second signature, of shingles without weights, since candidates with a promising one are verified by the
+Jaccard similarity of their sets of shingles; of those of one text with one component the most promising comes first,
+and the others only where that was no link. Links give components, whose least doc_id is the class.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from quietfield.llm.kernel import Words, mix, powers, text_pieces, whole, window
 SHINGLE, SIMILAR = 5, 0.8
 COMPONENTS, ROWS = 167, 5  # a prime, so that steps make a permutation; 33 bands
 BANDS = COMPONENTS // ROWS
-SMALL, LEVELS, RESIDUES, FINER = 4, 3, 6, 4
-PROMISING, AROUND, RING = 0.66, 0.5, 0.88
+SMALL, BLOCK, TILE = 4, 2048, 256
+PROMISING = 0.66
 _U = np.uint64
 
 
@@ -119,41 +119,95 @@ SIGNED = "doc_id long, p1 long, p2 long, n int, sig binary, keys array<long>"
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, words in text_pieces(batches):
         doc, value, weight = shingles(words)
-        signature = prob_minhash(doc, value, weight, len(batch))
+        keys = band_keys(prob_minhash(doc, value, weight, len(batch)))
+        signature = prob_minhash(doc, value, np.ones(len(doc)), len(batch))
         p1, p2 = sequence_prints(words, words.hashes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(p1.view(np.int64)), pa.array(p2.view(np.int64)), pa.array(words.count.astype(np.int32)), _rows(signature.astype(np.uint16)), _lists(band_keys(signature))],
+            [batch.column(0), pa.array(p1.view(np.int64)), pa.array(p2.view(np.int64)), pa.array(words.count.astype(np.int32)), _rows(signature.astype(np.uint16)), _lists(keys)],
             ["doc_id", "p1", "p2", "n", "sig", "keys"],
         )
 
 
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COMPONENTS)
+
+
+ESTIMATED = "a long, b long, est double"
+
+
 def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), np.uint16).reshape(-1, COMPONENTS) for c in ("sig_a", "sig_b"))
-        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "star")), pa.array((a == b).mean(1))], ["a", "b", "star", "est"])
+        a, b = (_signatures(batch.column(batch.schema.get_field_index(c))) for c in ("sig_a", "sig_b"))
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("a", "b")), pa.array((a == b).mean(1))], ["a", "b", "est"])
+
+
+def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many components each signature of ``a`` agrees with each of ``b``."""
+    out = np.zeros((len(a), len(b)), np.uint8)
+    if out.size <= 1024:
+        return np.count_nonzero(a[:, None] == b[None], axis=2)
+    left, right = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    for x, y in zip(left, right, strict=True):
+        out += x[:, None] == y[None]
+    return out
+
 
+def promising(v: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: np.ndarray, one: int, two: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of different components, of blocks ``one`` and ``two``, with a promising estimate: (a, b, estimate)."""
+    order = np.argsort(comp, kind="stable")
+    left, right = order[side[order] == one], order[side[order] == two]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in range(0, len(left), TILE):
+        x = left[i : i + TILE]
+        for j in range(i if one == two else 0, len(right), TILE):
+            y = right[j : j + TILE]
+            if comp[x[0]] == comp[x[-1]] == comp[y[0]] == comp[y[-1]]:
+                continue
+            n = agreements(sig[x], sig[y])
+            r, c = np.nonzero((n >= PROMISING * COMPONENTS) & (comp[x][:, None] != comp[y][None]))
+            found.append((v[x[r]], v[y[c]], n[r, c] / COMPONENTS))
+    a, b, est = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return np.minimum(a, b), np.maximum(a, b), est
+
+
+def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Promising pairs of every (key, one, two), whose rows stand together."""
+    names = ("key", "one", "two", "v", "comp", "side")
+    group, parts = None, []
+
+    def made() -> pa.RecordBatch:
+        v, comp, side, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in promising(v, comp, side, sig, group[1], group[2])], ["a", "b", "est"])
 
-def similarity(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray]:
-    """Jaccard similarity of two sets of shingles, and the shingles that they differ in."""
-    other = np.setxor1d(a, b, assume_unique=True)
-    both = (len(a) + len(b) - len(other)) // 2
-    return both / max(both + len(other), 1), other
+    for batch in batches:
+        if not len(batch):
+            continue
+        key, one, two, v, comp, side = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in names)
+        sig = _signatures(batch.column(batch.schema.get_field_index("sig")))
+        cut = np.flatnonzero((key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
+            now = (int(key[lo]), int(one[lo]), int(two[lo]))
+            if parts and now != group:
+                yield made()
+                parts = []
+            group = now
+            parts.append((v[lo:hi], comp[lo:hi], side[lo:hi], sig[lo:hi]))
+    if parts:
+        yield made()
 
 
-def residue_keys(other: np.ndarray, leader: int) -> np.ndarray:
-    if not len(other):
-        return np.zeros(0, np.int64)
-    k = np.arange(1, RESIDUES + 1, dtype=np.uint64)[:, None] * _U(0x9FB21C651E98DF25)
-    least = mix(mix(other)[None, :] ^ mix(k)).min(1)
-    return mix(least + k[:, 0] + mix(np.array([leader], np.int64).view(np.uint64))).view(np.int64)
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of shingles."""
+    other = len(np.setxor1d(a, b, assume_unique=True))
+    both = (len(a) + len(b) - other) // 2
+    return both / max(both + other, 1)
 
 
-CHECKED = "a long, b long, sim double, residues array<long>"
+CHECKED = "a long, b long, sim double"
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact similarity of pairs of texts, and for pairs with a leader (b) not well within its reach, the keys of what they
-    differ in."""
+    """Exact similarity of pairs of texts."""
 
     def sets(texts: pa.Array) -> list[np.ndarray]:
         doc, value, _ = shingles(Words(texts))
@@ -163,15 +217,12 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         column = lambda c, batch=batch: batch.column(batch.schema.get_field_index(c))
-        a, b, star = column("a"), column("b").to_pylist(), column("star").to_pylist()
         texts = {"a": whole(column("text_a")), "b": whole(column("text_b"))}
-        out: list[tuple[float, np.ndarray | None]] = []
+        out: list[float] = []
         for lo in range(0, len(batch), 64):
             left, right = (sets(texts[c].slice(lo, 64)) for c in "ab")
-            for i, (x, y) in enumerate(zip(left, right, strict=True), lo):
-                sim, other = similarity(x, y)
-                out.append((sim, residue_keys(other, b[i]) if star[i] and sim < RING else None))
-        yield pa.RecordBatch.from_arrays([a, column("b"), pa.array([x for x, _ in out], pa.float64()), pa.array([r.tolist() if r is not None else [] for _, r in out], pa.list_(pa.int64()))], ["a", "b", "sim", "residues"])
+            out.extend(similarity(x, y) for x, y in zip(left, right, strict=True))
+        yield pa.RecordBatch.from_arrays([column("a"), column("b"), pa.array(out, pa.float64())], ["a", "b", "sim"])
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -192,54 +243,59 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     scratch.drop("signed", "copies")
 
     met = reps.select(F.explode("keys").alias("key"), "v").distinct()
-    texts = comps = None
-    links = []
-    for level in range(LEVELS):
-        last = level == LEVELS - 1
-        counts = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        company = scratch.write(met.join(counts, "key"), f"company-{level}", compact=True)
-        if level:
-            scratch.drop(f"met-{level}")
-        if comps is not None:
-            mixed = company.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-            open_ = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-            company = scratch.write(mixed.join(open_, "key"), f"open-{level}", compact=True)
-        else:
-            company = company.withColumn("comp", F.col("v"))
-        small = company.where(f"n <= {SMALL}").select("key", "v", "comp")
-        pairs = small.alias("x").join(small.alias("y"), "key").where("x.v < y.v and x.comp != y.comp").select(F.col("x.v").alias("a"), F.col("y.v").alias("b"), F.lit(False).alias("star"))
-        large = company.where(f"n > {SMALL}")
-        much = company.groupBy("v").agg(F.sum("n").alias("much"))
-        leaders = large.join(much, "v").groupBy("key").agg(F.max(F.struct("much", (-F.col("v")).alias("v"))).alias("top")).select("key", (-F.col("top.v")).alias("leader"))
-        stars = scratch.write(large.join(leaders, "key").where("v != leader").select("key", "v", "leader"), f"stars-{level}", compact=True)
-        pairs = pairs.unionByName(stars.select(F.col("v").alias("a"), F.col("leader").alias("b"), F.lit(True).alias("star")))
-        pairs = scratch.write(pairs.groupBy("a", "b").agg(F.max("star").alias("star")), f"pairs-{level}", compact=True)
-        if pairs.isEmpty():
-            break
-        if texts is None:
-            needed = company.select("v").distinct()
-            texts = scratch.write(docs.join(needed, docs.doc_id == needed.v, "left_semi").select(F.col("doc_id").alias("v"), "text").distinct(), "texts", compact=True)
+    counts = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    company = scratch.write(met.join(counts, "key"), "company", compact=True)
+    small = company.where(f"n <= {SMALL}").select("key", "v")
+    pairs = small.alias("x").join(small.alias("y"), "key").where("x.v < y.v").select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
+    large = company.where(f"n > {SMALL}")
+    much = company.groupBy("v").agg(F.sum("n").alias("much"))
+    leaders = large.join(much, "v").groupBy("key").agg(F.max(F.struct("much", (-F.col("v")).alias("v"))).alias("top")).select("key", (-F.col("top.v")).alias("leader"))
+    pairs = pairs.unionByName(large.join(leaders, "key").where("v != leader").select(F.least("v", "leader").alias("a"), F.greatest("v", "leader").alias("b")))
+    pairs = scratch.write(pairs.distinct(), "pairs", compact=True)
+    links: list[DataFrame] = []
+    if not pairs.isEmpty():
+        needed = company.select("v").distinct()
+        texts = scratch.write(docs.join(needed, docs.doc_id == needed.v, "left_semi").select(F.col("doc_id").alias("v"), "text").distinct(), "texts", compact=True)
         sigs = reps.select("v", "sig")
+
+        def check(asked: DataFrame, name: str) -> None:
+            both = asked.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
+            checked = scratch.write(both.select("a", "b", "text_a", "text_b").mapInArrow(verify, CHECKED), name, compact=True)
+            links.append(checked.where(F.col("sim") >= similar).select("a", "b"))
+
         seen = pairs.join(sigs.select(F.col("v").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("v").alias("b"), F.col("sig").alias("sig_b")), "b")
-        seen = seen.mapInArrow(estimate, "a long, b long, star boolean, est double").groupBy("a", "b").agg(F.max("star").alias("star"), F.max("est").alias("est"))
-        seen = scratch.write(seen, f"seen-{level}", compact=True)
-        asked = seen.where(f"est >= {PROMISING} or (star and est >= {AROUND})").select("a", "b", "star")
-        both = asked.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
-        checked = scratch.write(both.mapInArrow(verify, CHECKED), f"checked-{level}", compact=True)
-        links.append(checked.where(F.col("sim") >= similar).select("a", "b"))
-        scratch.drop(f"company-{level}", f"open-{level}", f"pairs-{level}")
-        if last:
-            break
-        far = stars.join(seen.where(f"star and est < {AROUND}").select(F.col("a").alias("v"), F.col("b").alias("leader")), ["v", "leader"])
-        more = [F.xxhash64("key", F.col("keys")[(level * FINER + j) % BANDS], F.lit(j)) for j in range(FINER)]
-        finer = far.select("key", "v").join(reps.select("v", "keys"), "v").select(F.explode(F.array(*more)).alias("key"), "v")
-        met = finer.unionByName(checked.select(F.explode("residues").alias("key"), F.col("a").alias("v"))).distinct()
-        met = scratch.write(met, f"met-{level + 1}", compact=True)
-        scratch.drop(f"stars-{level}", f"seen-{level}")
-        if met.isEmpty():
-            break
-        comps = components(_all(links), scratch, f"comps-{level}")
-    scratch.drop("texts")
+        seen = seen.mapInArrow(estimate, ESTIMATED).groupBy("a", "b").agg(F.max("est").alias("est"))
+        asked = scratch.write(seen.where(f"est >= {PROMISING}").select("a", "b"), "asked", compact=True)
+        scratch.drop("pairs")
+        check(asked, "checked-0")
+        comps = components(_all(links), scratch, "comps-0")
+
+        def apart(rows: DataFrame) -> DataFrame:
+            """Pairs of different components, with these."""
+            for c in "ab":
+                rows = rows.drop(f"comp_{c}").join(comps.select(F.col("v").alias(c), F.col("comp").alias(f"comp_{c}")), c, "left").withColumn(f"comp_{c}", F.coalesce(f"comp_{c}", c))
+            return rows.where("comp_a != comp_b")
+
+        mixed = large.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+        open_ = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        open_ = mixed.join(open_, "key").withColumn("side", F.pmod(F.xxhash64("v"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        open_ = open_.join(sigs, "v").select("key", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"), "side", "v", "comp", "sig")
+        found = open_.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(close, ESTIMATED)
+        found = found.groupBy("a", "b").agg(F.max("est").alias("est")).join(asked, ["a", "b"], "left_anti")
+        found = scratch.write(found, "found", compact=True)
+        scratch.drop("company")
+        if not found.isEmpty():
+            ends = apart(found)
+            ends = ends.select("a", "b", "est", F.col("a").alias("v"), F.col("comp_b").alias("other")).unionByName(ends.select("a", "b", "est", F.col("b").alias("v"), F.col("comp_a").alias("other")))
+            best = ends.groupBy("v", "other").agg(F.max(F.struct("est", "a", "b")).alias("top")).select("top.a", "top.b").distinct()
+            best = scratch.write(best, "best", compact=True)
+            check(best, "checked-1")
+            comps = components(_all(links), scratch, "comps-1")
+            rest = scratch.write(apart(found.join(best, ["a", "b"], "left_anti")).select("a", "b"), "rest", compact=True)
+            if not rest.isEmpty():
+                check(rest, "checked-2")
+        scratch.drop("texts", "found")
     classes = components(_all(links), scratch, "classes") if links else None
     named = members
     if classes is not None:

@@ -94,6 +94,33 @@ def test_large_group_against_all_pairs(spark):
     assert got == {i: find(i) for i in texts}
 
 
+def test_twins_among_many_that_share_a_passage(spark):
+    """Twins are alike, and far from all others of the large buckets that they meet in."""
+    rng = random.Random(4)
+    shared, texts = prose(100, rng), {}
+    for k in range(0, 600, 2):
+        own = prose(38, rng).split()
+        for i in (k, k + 1):
+            texts[i] = " ".join([shared, *own])
+            own = [*own[:18], "zz", *own[19:]]
+            shared_words = shared.split()
+            if i % 4 == 3:
+                texts[i] = " ".join([*shared_words[:50], "yy", *shared_words[51:], *own])
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    assert all(len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1]) for k in range(0, 600, 2))
+    assert all(len(sets[0] & sets[k]) < 0.8 * len(sets[0] | sets[k]) for k in range(2, 600))
+    got = {r.doc_id: r.class_id for r in near.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in texts}
+
+
+def test_repeated_lines_do_not_hide_links(spark):
+    """One set of shingles, of very different counts: the estimate must be of what is verified."""
+    rng = random.Random(6)
+    line, rest = prose(30, rng), prose(20, rng)
+    texts = [(i, f"{rest} " + " ".join([line] * n)) for i, n in enumerate((2, 200, 4, 400))]
+    assert {r.class_id for r in near.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()} == {0}
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(0)
     va, vb = np.arange(1, 401, dtype=np.uint64), np.arange(101, 501, dtype=np.uint64)
