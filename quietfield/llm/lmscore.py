@@ -5,8 +5,9 @@ words; every other word is one of some tail tokens (by its first two bytes), tim
 So the score is a log10 probability over all texts, unseen words included.
 
 Counts are kept by 64-bit hash of the word. The FREQUENT most frequent are broadcast (a fixed bound); the counts of
-rarer words reach the documents by a join. The recurrent model is trained where the data are: in each round every
-task trains on its share of the training documents from the same start, and the weights are averaged by tokens.
+rarer words reach the documents by a join. The recurrent model is trained where the data are: each round has an
+even share of the training documents, all of them in the rounds together; every task trains on its part of the round's
+from the same start, and the weights are averaged by tokens.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from quietfield.llm.kernel import Words, mix, text_pieces
 
 FOLDS, HELD_OUT = 7, 2
 FREQUENT, VOCABULARY, TAILS = 1 << 19, 992, 31
-ROUNDS, SHARE = 3, 16
+ROUNDS = 3
 _U = np.uint64
 
 
@@ -113,9 +114,12 @@ class Language:
         return out, place, log_c, rest
 
 
-def learn(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS, share: int = SHARE, frequent: int = FREQUENT) -> tuple[Language, DataFrame]:
-    """Counts of all words of docs(doc_id, text), and a model trained on a ``share``-th of them in each round."""
-    spark = docs.sparkSession
+def learn(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS, share: int | None = None, frequent: int = FREQUENT) -> tuple[Language, DataFrame]:
+    """Counts of all words of docs(doc_id, text), and a model trained on a ``share``-th of them in each round.
+
+    ``share`` is the number of rounds unless given, so that the rounds together train on every document once.
+    """
+    spark, share = docs.sparkSession, share or rounds
     counted = docs.select("text").mapInArrow(count_words, "h long, tail int, c long").groupBy("h", "tail").agg(F.sum("c").alias("c"))
     counted = scratch.write(counted, "counts")
     tails = {r.tail: (r.n, r.v) for r in counted.groupBy("tail").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}

@@ -263,6 +263,14 @@ def test_base_scores_and_model(spark):
         assert language.n == n and all(-1e4 < r.score < 0 for r in found)
 
 
+def test_every_training_document_is_learned_from(spark):
+    """Whatever ids the training documents have, null among them, the model learns from them."""
+    for rows in ([(None, prose(40))] * 3, [(7, prose(40))], [(12, prose(40))], [(i, prose(40)) for i in range(20, 23)]):
+        language, _ = lmscore.learn(frame(spark, rows), Scratch(spark, "t"))
+        fresh = gru.Model(np.ones(language.model.v), language.end)
+        assert not np.array_equal(language.model.p["u"], fresh.p["u"])
+
+
 def test_model_learns_and_its_probabilities_add_up():
     rng = np.random.default_rng(0)
     sizes = np.full(200, 20)
