@@ -1,13 +1,14 @@
 """License scans by ordered signature rules, as DataFrame functions only: one narrow pass, no shuffle.
 
 A text becomes its words in lower case, each after one space, and every rule is a regular expression over that.
-Rules are a table: each license family has a keyword, and a rule runs only where its family's keyword stands in the
-text. Matches are intervals of words. Overlaps are resolved in order: of intervals sorted by start, then longest,
+Rules are a table: each has a keyword, a word that none of its matches lacks (its family's, or one of its own name), and
+runs only where that stands in the text. Matches are intervals of words. Overlaps are resolved in order: of intervals sorted by start, then longest,
 then priority, one that lies within an earlier one is suppressed.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -108,13 +109,23 @@ class Rule:
     regex: str  # from the space before its first word up to the space after its last
 
 
+def keyword_of(name: str, family: str) -> str:
+    """A whole word that stands in every match of a name: the family's keyword if it is one, else the longest."""
+    fixed = re.sub(r"\(\?:[^ ()][^()]*\)\?", "~", name)  # what may be missing within a word
+    while fixed != (fixed := re.sub(r"\(\?: [^()]*\)\?", "", fixed)):  # words that may be missing
+        pass
+    fixed = re.sub(r".\?", "~", fixed)
+    words = re.findall(r"(?<![^ ])[a-z0-9]+(?![^ ])", fixed)
+    return family if family in words else max(words, key=len)
+
+
 def rules() -> list[Rule]:
     """The rule table in order: families by names by templates, a few hundred in all."""
     found = []
     for label, keyword, names in FAMILIES:
         for name in names:
             for priority, confidence, template in [*TEMPLATES, *[ALONE] * (keyword in PLAIN)]:
-                found.append(Rule(label, keyword, priority, confidence, f" {template.format(f'(?:{name})')}(?= )"))
+                found.append(Rule(label, keyword_of(name, keyword), priority, confidence, f" {template.format(f'(?:{name})')}(?= )"))
     return sorted(found, key=lambda r: (r.priority, r.keyword, r.label, r.regex))
 
 

@@ -316,6 +316,37 @@ def test_licenses(spark):
     assert licenses.digest(licenses.scan(empty(spark))).count() == 0
 
 
+def sample_of(tree, most: bool) -> str:
+    """A text that a parsed regular expression matches, with as few or as many of its optional parts as it can have."""
+    out = ""
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(arg)
+        elif kind == "MAX_REPEAT":
+            out += sample_of(arg[2], most) * arg[1 if most else 0]
+        elif kind == "SUBPATTERN":
+            out += sample_of(arg[3], most)
+        elif kind == "BRANCH":
+            out += sample_of(arg[1][-1 if most else 0], most)
+        elif kind == "IN":
+            out += chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])
+        else:
+            assert kind == "ASSERT", kind
+    return out
+
+
+def test_license_rules_pass_their_gates(spark):
+    rules = licenses.rules()
+    for r in rules:
+        for most in (False, True):
+            line = sample_of(re._parser.parse(r.regex), most) + " "
+            assert re.search(r.regex, line) and f" {r.keyword} " in line, (r, line)
+    texts = {0: ("licensed under GPLv2", "gpl-2"), 1: ("GPLv3 license", "gpl-3"), 2: ("FreeBSD license", "bsd-2"), 3: ("PSF license", "python-2"), 4: ("licensed under zero clause BSD", "0bsd")}
+    got = {r.doc_id: r.labels for r in licenses.digest(licenses.scan(frame(spark, [(i, t) for i, (t, _) in texts.items()]))).collect()}
+    assert got == {i: label for i, (_, label) in texts.items()}
+
+
 # --- 7
 
 def test_personal_data(spark):
