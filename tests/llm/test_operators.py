@@ -121,6 +121,15 @@ def test_repeated_lines_do_not_hide_links(spark):
     assert {r.class_id for r in near.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()} == {0}
 
 
+def test_estimates_are_of_what_is_verified():
+    """Texts of one set of shingles, of very different counts, have one signature."""
+    rng = random.Random(6)
+    line, rest = prose(30, rng), prose(20, rng)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([f"{rest} " + " ".join([line] * n) for n in (2, 400)])], ["doc_id", "text"])
+    one, two = next(near.sign(iter([batch]))).column(4).to_pylist()
+    assert one == two
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(0)
     va, vb = np.arange(1, 401, dtype=np.uint64), np.arange(101, 501, dtype=np.uint64)
