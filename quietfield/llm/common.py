@@ -55,10 +55,13 @@ class Scratch:
         ship_code(spark)
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd", compact: bool = False) -> DataFrame:
-        """``compact``: in two files a core at most, for tables that are small beside the input."""
+        """``compact``: in a quarter of the files, for tables that are small beside the input.
+
+        spark.sql.shuffle.partitions grows with the input (the user sets it so), and so does the number of files.
+        """
         path = f"{self.root}/{name}"
         if compact:
-            df = df.coalesce(2 * self.spark.sparkContext.defaultParallelism)
+            df = df.coalesce(max(parallelism(self.spark) // 4, 2 * self.spark.sparkContext.defaultParallelism))
         df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

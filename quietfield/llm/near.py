@@ -1,19 +1,21 @@
 """Near duplicates by ProbMinHash: signatures of weighted shingles, banding, exact verification, classes.
 
-A document is its shingles of five words, each weighted by 1 + ln of how often it occurs. Every shingle sends arrivals of a Poisson
-process of its weight as rate: the j-th goes to the j-th component of the shingle's own permutation, and a component
-keeps the shingle that arrives first. Two signatures agree in a component with the probability Jaccard similarity
-of the documents. An element stops as soon as its next arrival is later than all that a document has kept.
-(Plain counts as weights would make one line, repeated many times, outweigh all else in a text.)
+A document is its shingles of five words; one that occurs n times weighs 2 - 1/n. Every shingle sends arrivals of a
+Poisson process of its weight as rate: the j-th goes to the j-th component of the shingle's own permutation, and a
+component keeps the shingle that arrives first. Two signatures agree in a component with the probability Jaccard
+similarity of the documents. An element stops as soon as its next arrival is later than all that a document has kept.
+(Weights stay within 1 and 2, so that one line, repeated many times, neither outweighs a text nor parts two texts whose
+sets of shingles are alike: of sets with a similarity of 0.8, banding misses less than one pair in a hundred whatever
+the counts are.) A second signature, of the same shingles without weights, estimates what is verified, the Jaccard
+similarity of the sets.
 
 Exact copies are one vertex from the start. Vertices that agree in a band meet in a bucket. In a small bucket all are
-compared; in a larger one all are compared with its leader, the vertex with most company. Buckets that still hold
-several components are then closed: all their pairs of different components are estimated, in blocks of a bounded number
-of rows. So no two texts that meet in a bucket are left apart unseen; the estimates made grow with the square of such a
-bucket, but no row is made for a pair without a promising estimate.
-Estimates are by a second signature, of shingles without weights, since candidates with a promising one are verified by the
-Jaccard similarity of their sets of shingles; of those of one text with one component the most promising comes first,
-and the others only where that was no link. Links give components, whose least doc_id is the class.
+compared; in a larger one all are compared with its leader, the vertex with most company. Links give components.
+Buckets that still hold several components are closed: signatures of different components are compared in blocks of
+bounded size, and components with a promising pair form a region. What goes on from a block is a spanning forest of
+its components, not its pairs. All texts of a region that are of different components are then compared exactly, in
+tiles of bounded size, by their sets of shingles; a tile gives a spanning forest of its links. So no two texts that
+meet in a bucket are left apart unseen, and no table has a row for each pair.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ SHINGLE, SIMILAR = 5, 0.8
 COMPONENTS, ROWS = 167, 5  # a prime, so that steps make a permutation; 33 bands
 BANDS = COMPONENTS // ROWS
 SMALL, BLOCK, TILE = 4, 2048, 256
-PROMISING = 0.66
+LOAD = 1 << 19  # words of a block of texts
+PROMISING = 0.66  # four standard errors of an estimate below what is wanted
 _U = np.uint64
 
 
@@ -53,7 +56,7 @@ def shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = key[order]
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
     first = order[new]
-    return doc[first], value[first], 1 + np.log(np.diff(np.concatenate([new, [len(key)]])))
+    return doc[first], value[first], 2 - 1 / np.diff(np.concatenate([new, [len(key)]]))
 
 
 def sequence_prints(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,48 +155,138 @@ def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def promising(v: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: np.ndarray, one: int, two: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of different components, of blocks ``one`` and ``two``, with a promising estimate: (a, b, estimate)."""
-    order = np.argsort(comp, kind="stable")
+class Forest:
+    """Which components have been joined; the joins made are a spanning forest."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = i = self.parent[self.parent[i]]
+        return int(i)
+
+    def roots(self, i: np.ndarray) -> np.ndarray:
+        while True:
+            up = self.parent[i]
+            if np.array_equal(up, i):
+                return i
+            i = up
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def promising(comp: np.ndarray, side: np.ndarray, sig: np.ndarray, one: int, two: int) -> list[tuple[int, int]]:
+    """Of blocks ``one`` and ``two``: components joined by promising estimates, as a spanning forest."""
+    names, number = np.unique(comp, return_inverse=True)
+    order = np.argsort(number, kind="stable")
     left, right = order[side[order] == one], order[side[order] == two]
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    forest, found = Forest(len(names)), []
     for i in range(0, len(left), TILE):
         x = left[i : i + TILE]
         for j in range(i if one == two else 0, len(right), TILE):
             y = right[j : j + TILE]
-            if comp[x[0]] == comp[x[-1]] == comp[y[0]] == comp[y[-1]]:
+            p, q = forest.roots(number[x]), forest.roots(number[y])
+            if p.min() == p.max() == q.min() == q.max():
                 continue
-            n = agreements(sig[x], sig[y])
-            r, c = np.nonzero((n >= PROMISING * COMPONENTS) & (comp[x][:, None] != comp[y][None]))
-            found.append((v[x[r]], v[y[c]], n[r, c] / COMPONENTS))
-    a, b, est = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    return np.minimum(a, b), np.maximum(a, b), est
+            r, c = np.nonzero((agreements(sig[x], sig[y]) >= PROMISING * COMPONENTS) & (p[:, None] != q[None]))
+            for pair in np.unique(p[r] * len(names) + q[c]).tolist():
+                a, b = divmod(pair, len(names))
+                if forest.join(a, b):
+                    found.append((int(names[a]), int(names[b])))
+    return found
 
 
-def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Promising pairs of every (key, one, two), whose rows stand together."""
-    names = ("key", "one", "two", "v", "comp", "side")
-    group, parts = None, []
+REGION_EDGES = "a long, b long"
 
-    def made() -> pa.RecordBatch:
-        v, comp, side, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in promising(v, comp, side, sig, group[1], group[2])], ["a", "b", "est"])
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows of each group of neighbours with the same keys."""
+    held: list[pa.RecordBatch] = []
+    now: tuple | None = None
     for batch in batches:
         if not len(batch):
             continue
-        key, one, two, v, comp, side = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in names)
-        sig = _signatures(batch.column(batch.schema.get_field_index("sig")))
-        cut = np.flatnonzero((key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1
-        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
-            now = (int(key[lo]), int(one[lo]), int(two[lo]))
-            if parts and now != group:
-                yield made()
-                parts = []
-            group = now
-            parts.append((v[lo:hi], comp[lo:hi], side[lo:hi], sig[lo:hi]))
-    if parts:
-        yield made()
+        columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+        new = np.zeros(len(batch), bool)
+        for c in columns:
+            x = c.to_numpy(zero_copy_only=False)
+            new[1:] |= x[1:] != x[:-1]
+        cut = np.flatnonzero(new).tolist()
+        for lo, hi in zip([0, *cut], [*cut, len(batch)], strict=True):
+            group = tuple(c[lo].as_py() for c in columns)
+            if held and group != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = group
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = (np.array(x, np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joined components of every (key, one, two), whose rows stand together."""
+    for (_, one, two), rows in _groups(batches, ("key", "one", "two")):
+        sig = _signatures(rows["sig"])
+        yield _edges(promising(rows["comp"].to_numpy(), rows["side"].to_numpy(), sig, one, two))
+
+
+SETS = "v long, n int, shingles binary"
+
+
+def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct shingles as bytes."""
+    for batch, words in text_pieces(batches):
+        doc, value, _ = shingles(words)
+        order = np.argsort(doc, kind="stable")
+        value, cut = value[order], np.searchsorted(doc[order], np.arange(len(batch) + 1))
+        sets = [value[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(cut).astype(np.int32)), pa.array(sets, pa.binary())], ["v", "n", "shingles"])
+
+
+def linked(v: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similar: float) -> list[tuple[int, int]]:
+    """Links between texts of different components, ``left`` against ``right`` (places), as a spanning forest."""
+    names, number = np.unique(comp, return_inverse=True)
+    forest, found = Forest(len(names)), []
+    size = np.array([len(x) for x in sets])
+    if size[left].sum() > size[right].sum():
+        left, right = right, left
+    value = np.concatenate([sets[i] for i in right])
+    owner = np.repeat(np.arange(len(right)), size[right])
+    order = np.argsort(value)
+    value, owner = value[order], owner[order]
+    for i in left.tolist():
+        mine, theirs = forest.root(number[i]), forest.roots(number[right])
+        if (theirs == mine).all():
+            continue
+        lo, hi = np.searchsorted(value, sets[i]), np.searchsorted(value, sets[i], side="right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(right))
+        near = np.flatnonzero((both >= similar * (size[i] + size[right] - both)) & (theirs != mine))
+        for j in near.tolist():
+            if forest.join(number[i], number[right[j]]):
+                found.append((int(v[i]), int(v[right[j]])))
+    return found
+
+
+def tiles(similar: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of every (region, one, two), whose rows stand together."""
+        for (_, one, two), rows in _groups(batches, ("region", "one", "two")):
+            side = np.array(rows["block"].to_pylist())
+            sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
+            yield _edges(linked(rows["v"].to_numpy(), rows["comp"].to_numpy(), sets, np.flatnonzero(side == one), np.flatnonzero(side == two), similar))
+
+    return run
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -239,12 +332,12 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     copies = scratch.write(copies, "copies", compact=True)
     members = scratch.write(signed.where("n > 0").select("doc_id", "p1", "p2").join(copies, ["p1", "p2"]).select("doc_id", "v").distinct(), "members", compact=True)
     reps = signed.join(copies.withColumnRenamed("v", "doc_id"), ["doc_id", "p1", "p2"]).select(F.col("doc_id").alias("v"), "sig", "keys").dropDuplicates(["v", "sig"])
-    reps = scratch.write(reps, "reps", compact=True)
+    reps = scratch.write(reps, "reps")
     scratch.drop("signed", "copies")
 
     met = reps.select(F.explode("keys").alias("key"), "v").distinct()
     counts = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    company = scratch.write(met.join(counts, "key"), "company", compact=True)
+    company = scratch.write(met.join(counts, "key"), "company")
     small = company.where(f"n <= {SMALL}").select("key", "v")
     pairs = small.alias("x").join(small.alias("y"), "key").where("x.v < y.v").select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
     large = company.where(f"n > {SMALL}")
@@ -255,7 +348,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     links: list[DataFrame] = []
     if not pairs.isEmpty():
         needed = company.select("v").distinct()
-        texts = scratch.write(docs.join(needed, docs.doc_id == needed.v, "left_semi").select(F.col("doc_id").alias("v"), "text").distinct(), "texts", compact=True)
+        texts = scratch.write(docs.join(needed, docs.doc_id == needed.v, "left_semi").select(F.col("doc_id").alias("v"), "text").distinct(), "texts")
         sigs = reps.select("v", "sig")
 
         def check(asked: DataFrame, name: str) -> None:
@@ -270,32 +363,18 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         check(asked, "checked-0")
         comps = components(_all(links), scratch, "comps-0")
 
-        def apart(rows: DataFrame) -> DataFrame:
-            """Pairs of different components, with these."""
-            for c in "ab":
-                rows = rows.drop(f"comp_{c}").join(comps.select(F.col("v").alias(c), F.col("comp").alias(f"comp_{c}")), c, "left").withColumn(f"comp_{c}", F.coalesce(f"comp_{c}", c))
-            return rows.where("comp_a != comp_b")
-
-        mixed = large.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-        open_ = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        open_ = mixed.join(open_, "key").withColumn("side", F.pmod(F.xxhash64("v"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        open_ = open_.join(sigs, "v").select("key", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"), "side", "v", "comp", "sig")
-        found = open_.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(close, ESTIMATED)
-        found = found.groupBy("a", "b").agg(F.max("est").alias("est")).join(asked, ["a", "b"], "left_anti")
-        found = scratch.write(found, "found", compact=True)
+        mixed = company.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+        open_ = mixed.where(f"n > {SMALL}").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        open_ = scratch.write(mixed.join(open_, "key"), "open", compact=True)
         scratch.drop("company")
-        if not found.isEmpty():
-            ends = apart(found)
-            ends = ends.select("a", "b", "est", F.col("a").alias("v"), F.col("comp_b").alias("other")).unionByName(ends.select("a", "b", "est", F.col("b").alias("v"), F.col("comp_a").alias("other")))
-            best = ends.groupBy("v", "other").agg(F.max(F.struct("est", "a", "b")).alias("top")).select("top.a", "top.b").distinct()
-            best = scratch.write(best, "best", compact=True)
-            check(best, "checked-1")
-            comps = components(_all(links), scratch, "comps-1")
-            rest = scratch.write(apart(found.join(best, ["a", "b"], "left_anti")).select("a", "b"), "rest", compact=True)
-            if not rest.isEmpty():
-                check(rest, "checked-2")
-        scratch.drop("texts", "found")
+        joined = scratch.write(_closed(open_, sigs), "joined", compact=True)
+        if not joined.isEmpty():
+            regions = components(joined, scratch, "regions").select(F.col("v").alias("comp"), F.col("comp").alias("region"))
+            inside = scratch.write(open_.select("v", "comp").distinct().join(regions, "comp"), "inside", compact=True)
+            sets = texts.join(inside, "v", "left_semi").select("v", "text").mapInArrow(shingle_sets, SETS)
+            links.append(scratch.write(_within(scratch.write(inside.join(sets, "v"), "sets"), similar), "linked", compact=True))
+            scratch.drop("sets", "inside")
+        scratch.drop("texts", "open", "joined")
     classes = components(_all(links), scratch, "classes") if links else None
     named = members
     if classes is not None:
@@ -313,6 +392,37 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return ids.join(several.select("doc_id", "class_id"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def _closed(open_: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Components that have a promising pair, from open buckets (key, n, v, comp) in blocks."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = open_.withColumn("side", F.pmod(F.xxhash64("v"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.join(sigs, "v").select("key", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"), "side", "comp", "sig")
+    return rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(close, REGION_EDGES).distinct()
+
+
+def _within(sets: DataFrame, similar: float) -> DataFrame:
+    """Links within regions, of sets(v, comp, region, n, shingles).
+
+    A large component has blocks of its own, which are never held against each other; small ones share blocks.
+    """
+    load = sets.groupBy("region", "comp").agg(F.sum(F.col("n") + 1).alias("load"))
+    large = load.where(f"load >= {LOAD}").select("region", "comp", F.ceil(F.col("load") / LOAD).cast("int").alias("parts"))
+    rest = load.where(f"load < {LOAD}").groupBy("region").agg(F.ceil(F.sum("load") / LOAD).cast("int").alias("shared"))
+    own = sets.join(large, ["region", "comp"], "left").join(rest, "region", "left").withColumn(
+        "block",
+        F.when(F.col("parts").isNotNull(), F.concat_ws(":", F.col("comp").cast("string"), F.pmod(F.xxhash64("v"), F.col("parts")).cast("string")))
+        .otherwise(F.concat_ws(":", F.lit("shared"), F.pmod(F.xxhash64("comp"), F.col("shared")).cast("string"))),
+    )
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    blocks = large.select("region", F.col("comp").cast("string").alias("whose"), every("parts").alias("k")).unionByName(rest.select("region", F.lit("shared").alias("whose"), every("shared").alias("k")))
+    blocks = blocks.select("region", "whose", F.concat_ws(":", "whose", F.col("k").cast("string")).alias("block"))
+    x, y = (blocks.select("region", F.col("whose").alias(f"whose_{c}"), F.col("block").alias(c)) for c in ("one", "two"))
+    met = x.join(y, "region").where("one <= two and (whose_one != whose_two or whose_one = 'shared')").select("region", "one", "two")
+    sides = met.select("region", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
+    rows = own.select("region", "block", "v", "comp", "shingles").join(sides, ["region", "block"])
+    return rows.repartition("region", "one", "two").sortWithinPartitions("region", "one", "two").mapInArrow(tiles(similar), REGION_EDGES).distinct()
+
+
 def _all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

@@ -73,7 +73,11 @@ def test_near_duplicates(spark):
     assert near.near_duplicates(empty(spark)).count() == 0
 
 
-def test_large_group_against_all_pairs(spark):
+@pytest.mark.parametrize("tight", [False, True])
+def test_large_group_against_all_pairs(spark, monkeypatch, tight):
+    if tight:  # many blocks and tiles
+        monkeypatch.setattr(near, "BLOCK", 16)
+        monkeypatch.setattr(near, "LOAD", 600)
     rng = random.Random(1)
     base = prose(70, rng).split()
     texts = {i: " ".join(w if rng.random() > 0.01 * (i % 9) else prose(1, rng) for w in base) for i in range(150)}
@@ -121,6 +125,31 @@ def test_repeated_lines_do_not_hide_links(spark):
     assert {r.class_id for r in near.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()} == {0}
 
 
+def test_counts_do_not_part_alike_sets(spark):
+    """120 words, and the same with the first 24 of them 400 times: sets of shingles with a similarity above 0.9."""
+    texts = []
+    for k in range(30):
+        words = [f"w{k}x{i}" for i in range(120)]
+        texts += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:24] * 400 + words[24:]))]
+    assert {(r.doc_id, r.class_id) for r in near.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()} == {(i, i - i % 2) for i in range(60)}
+
+
+def test_links_within_a_tile():
+    rng = np.random.default_rng(2)
+    base = rng.integers(1 << 60, size=60).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < 0.02 * (i % 7), rng.integers(1 << 60, size=60).astype(np.uint64), base)) for i in range(40)]
+    comp = np.arange(40) // 2
+    got = near.linked(np.arange(40), comp, sets, np.arange(40), np.arange(40), 0.8)
+    forest = near.Forest(20)
+    for i in range(40):
+        for j in range(i):
+            if near.similarity(sets[i], sets[j]) >= 0.8:
+                forest.join(comp[i], comp[j])
+    mine = near.Forest(20)
+    assert all(near.similarity(sets[i], sets[j]) >= 0.8 and mine.join(comp[i], comp[j]) for i, j in got)
+    assert mine.roots(np.arange(20)).tolist() == forest.roots(np.arange(20)).tolist()
+
+
 def test_estimates_are_of_what_is_verified():
     """Texts of one set of shingles, of very different counts, have one signature."""
     rng = random.Random(6)
