@@ -4,7 +4,9 @@ Texts are tiled into passages of TILE words, weighted by hashed TF-IDF over all
 their Gram matrix to a random test matrix; a Nystrom step on the driver (features x RANK, a fixed size) gives the
 leading singular vectors and values. Every text is then read as overlapping windows of about each item's length,
 whose whitened latent vectors are differences of running sums. Windows near an item in cosine that share enough of its
-words are held against it by longest common subsequence, over the item and over its answer (its last sentence).
+words are held against it by longest common subsequence, over the item and over its answer (its last sentence). So are
+stretches around any GRAM words in a row that an item has as well, whatever the weights of its words: an item copied
+word for word is found even if all its words are common, or the item is short.
 """
 
 from __future__ import annotations
@@ -18,11 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietfield.llm.common import ship_code, read
-from quietfield.llm.kernel import PUNCTUATION, Words, mix, text_pieces, whole
+from quietfield.llm.kernel import PUNCTUATION, Lookup, Words, mix, text_pieces, whole, windows
 
 TILE, FEATURES, RANK, SEED = 64, 1 << 14, 20, 11
+OVER = 6  # directions more than RANK in the test matrix
+COMMON, LEAST = 2.5, 0.05  # what is taken off a word's weight, and the least that is left
+GRAM = 5
 LENGTHS, CLASS = 16, 64  # windows are of 16, 32, 48 or 64 words; longer items are searched by their parts
-NEAR, SHARED = 0.64, 0.4
+NEAR, SHARED = 0.5, 0.4  # both are less than what ALIKE asks for
 SAME, ALIKE, ANSWERED = 0.8, 0.5, 0.8
 BLOCK = 2000
 _U = np.uint64
@@ -60,7 +65,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """Weight of each feature over all passages; words of more than about a twelfth of them weigh nothing."""
+    """Weight of each feature over all passages; words of more than about a twelfth of them weigh little, but all weigh something."""
     rows = docs.select("text").mapInArrow(_frequencies, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
     counts, tiles = np.zeros(FEATURES), 0
     for r in rows:
@@ -68,41 +73,42 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
             tiles = r.n
         else:
             counts[r.f] = r.n
-    return np.maximum(np.log((tiles + 1) / (counts + 1)) - 2.5, 0.0).astype(np.float32)
+    return np.maximum(np.log((tiles + 1) / (counts + 1)) - COMMON, LEAST).astype(np.float32)
 
 
 def latent_space(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """Whitened right singular vectors of the passages' matrix, times the weights: a latent vector for each feature."""
-    test = np.random.default_rng(SEED).standard_normal((FEATURES, RANK)).astype(np.float32)
+    """Whitened right singular vectors of the passages' matrix, times the weights: a latent vector for each feature.
+
+    The range is sought with OVER directions more than RANK, of which the RANK leading ones stay. Of texts without words
+    there is one direction, which is zero.
+    """
+    width = RANK + OVER
+    test = np.random.default_rng(SEED).standard_normal((FEATURES, width)).astype(np.float32)
     sent = docs.sparkSession.sparkContext.broadcast((test, idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test, idf = sent.value
-        total = np.zeros((RANK, FEATURES))
+        total = np.zeros((width, FEATURES))
         for _, words in _pieces(batches):
             if not len(words):
                 continue
             _, f = features(words)
             tile = _tiles(words)
-            on = np.flatnonzero(idf[f] > 0)
-            f, tile = f[on], tile[on]
-            if not len(f):
-                continue
             w = idf[f]
             new = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
             seg = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(f))))
             w = w / np.sqrt(np.add.reduceat(w * w, new))[seg]
             z = np.ascontiguousarray(np.add.reduceat(test.take(f, axis=0) * w[:, None], new).T)
-            for j in range(RANK):
+            for j in range(width):
                 total[j] += np.bincount(f, w * z[j].take(seg), FEATURES)
         at = np.flatnonzero(total.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(total.T[at]), pa.list_(pa.float64()))], ["f", "y"])
 
-    sums = [F.sum(F.col("y")[j]).alias(f"y{j}") for j in range(RANK)]
+    sums = [F.sum(F.col("y")[j]).alias(f"y{j}") for j in range(width)]
     found = docs.select("text").mapInArrow(run, "f long, y array<double>").groupBy("f").agg(*sums).toArrow()
-    y = np.zeros((FEATURES, RANK))
+    y = np.zeros((FEATURES, width))
     if len(found):
-        y[found["f"].to_numpy()] = np.stack([found[f"y{j}"].to_numpy() for j in range(RANK)], 1)
+        y[found["f"].to_numpy()] = np.stack([found[f"y{j}"].to_numpy() for j in range(width)], 1)
     # Nystrom: y is G test for the Gram matrix G, so G is about y (test' y)^-1 y'.
     core = test.T.astype(float) @ y
     value, vector = np.linalg.eigh((core + core.T) / 2)
@@ -110,7 +116,7 @@ def latent_space(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
     if not good.any():
         return np.zeros((FEATURES, 1), np.float32)
     u, s, _ = np.linalg.svd(y @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)
-    good = s > s[0] * 1e-6
+    good = (s > s[0] * 1e-6) & (np.arange(len(s)) < RANK)
     return (u[:, good] / s[good] * idf[:, None]).astype(np.float32)
 
 
@@ -123,12 +129,22 @@ class Items:
         h, f = features(words)
         cut = [(int(a), int(b)) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
         self.words = [h[a:b].tolist() for a, b in cut]
+        self.size = np.diff(words.first)
         self.answer = []
         for (_, text), (a, b) in zip(rows, cut, strict=True):
             last = [x for x in re.split(r"(?<=[.!?])\s+", (text or "").strip()) if re.search(r"\w", x)][-1:] or [""]
             n = len(Words(whole(pa.array(last)), PUNCTUATION))
             n = n if 3 <= n < b - a else max(1, (b - a) // 3)  # without a last sentence, its last third
             self.answer.append(h[max(a, b - n) : b].tolist())
+        # Words in a row: of each length, where in which item they stand. Shorter items are looked for whole.
+        self.grams: dict[int, tuple[Lookup, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted({min(GRAM, b - a) for a, b in cut} - {0}):
+            at = np.concatenate([np.arange(a, b - n + 1) for a, b in cut if min(GRAM, b - a) == n])
+            g = windows(h, n)[at]
+            order = np.argsort(g, kind="stable")
+            own = np.searchsorted(words.first, at, side="right") - 1
+            names, first = np.unique(g[order], return_index=True)
+            self.grams[n] = (Lookup(names), np.append(first, len(g)), own[order], (at - words.first[own])[order])
         # The parts that are searched for: (item, window length, latent direction, features with weight)
         self.parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         found: dict[int, list] = {}
@@ -139,8 +155,8 @@ class Items:
                     continue
                 size = min(CLASS, max(LENGTHS, LENGTHS * round((hi - lo) / LENGTHS)))
                 v = latent[f[lo:hi]].sum(0, dtype=float)
-                on = np.unique(f[lo:hi][idf[f[lo:hi]] > 0])
-                if np.linalg.norm(v) > 0 and len(on):
+                on = np.unique(f[lo:hi])
+                if np.linalg.norm(v) > 0:
                     found.setdefault(size, []).append((k, lo - a, v / np.linalg.norm(v), on))
         for size, parts in found.items():
             table = np.zeros((len(parts), FEATURES), bool)
@@ -223,6 +239,20 @@ def search(docs: DataFrame, items: Items, latent: np.ndarray) -> DataFrame:
                             lo_word = max(int(at[r[g]]) - int(shift[p[g]]) - size // 2, int(words.first[d]))
                             hi_word = min(int(at[r[g]]) - int(shift[p[g]]) + m + size, int(words.first[d + 1]))
                             asked.setdefault((d, k), set()).add((lo_word, max(hi_word, lo_word)))
+            for n, (lookup, first, owner, pos) in items.grams.items():
+                g = lookup(windows(h, n))
+                at = np.flatnonzero(g >= 0)
+                at = at[words.doc[at] == words.doc[at + n - 1]]
+                many = first[g[at] + 1] - first[g[at]]
+                which = np.repeat(first[g[at]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                place, k = np.repeat(at, many), owner[which]
+                half = np.maximum(items.size[k] // 2, 4)
+                begin = (place - pos[which]) // half  # a cell of half an item's length
+                for d, k, x in np.unique(np.stack([words.doc[place], k, begin], 1), axis=0).tolist():
+                    m = int(items.size[k])
+                    half = max(m // 2, 4)
+                    span = (max(x * half - half, int(words.first[d])), min(x * half + m + 2 * half, int(words.first[d + 1])))
+                    asked.setdefault((d, k), set()).add(span)
             out = []
             for (d, k), spans in asked.items():
                 best = (0.0, 0.0)

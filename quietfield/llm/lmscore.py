@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quietfield.llm.common import Scratch, fold, read
 from quietfield.llm.gru import Model
-from quietfield.llm.kernel import Words, mix, text_pieces
+from quietfield.llm.kernel import Lookup, Words, mix, text_pieces
 
 FOLDS, HELD_OUT = 7, 2
 FREQUENT, VOCABULARY, TAILS = 1 << 19, 992, 31
@@ -29,36 +29,6 @@ ROUNDS = 3
 _U = np.uint64
 
 
-class Lookup:
-    """From 64-bit hashes to places in a bounded list, by open addressing; -1 for others."""
-
-    def __init__(self, keys: np.ndarray):
-        bits = max(4, int(len(keys) * 2 - 1).bit_length() + 1)
-        self.mask = (1 << bits) - 1
-        self.key, self.place = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
-        left, at = np.arange(len(keys)), (keys & _U(self.mask)).astype(np.int64)
-        while len(left):
-            free = self.place[at] < 0
-            slot, first = np.unique(at[free], return_index=True)
-            win = left[free][first]
-            self.key[slot], self.place[slot] = keys[win], win
-            rest = np.ones(len(left), bool)
-            rest[np.flatnonzero(free)[first]] = False
-            left, at = left[rest], (at[rest] + 1) & self.mask
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        at = (h & _U(self.mask)).astype(np.int64)
-        out = np.where(self.key[at] == h, self.place[at], -1)
-        todo = np.flatnonzero((out < 0) & (self.place[at] >= 0))
-        while len(todo):
-            at[todo] = (at[todo] + 1) & self.mask
-            x = at[todo]
-            hit = self.key[x] == h[todo]
-            out[todo] = np.where(hit & (self.place[x] >= 0), self.place[x], -1)
-            todo = todo[~hit & (self.place[x] >= 0)]
-        return out
-
-
 def lowered(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hash and tail of each word."""
     data = words.lowered()

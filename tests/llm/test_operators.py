@@ -422,6 +422,38 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(empty(spark), table).count() == 0 and decontaminate.contaminated(docs, table.where("item_id < 0")).count() == 0
 
 
+def test_items_of_common_words_and_short_items_are_found(spark):
+    """Items copied word for word, where every word is common or the item has few of them; items whose words are changed."""
+    rng = random.Random(12)
+    few = "na to mi re so la".split()
+    item = " ".join(rng.choice(few) for _ in range(30))
+    rows = [(i, " ".join(rng.choice(few) for _ in range(128))) for i in range(60)] + [(60, " ".join(rng.choice(few) for _ in range(64)) + f" {item} " + " ".join(rng.choice(few) for _ in range(64)))]
+    found = decontaminate.contaminated(frame(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert 60 in {r.doc_id for r in found.collect()}
+    words = [f"{a}{b}{c}" for a in WORDS for b in "xyz" for c in "pqr"]
+    fresh = lambda n: [rng.choice(words) for _ in range(n)]
+    items = {k: fresh([1, 3, 6, 9][k % 4]) for k in range(12)} | {k: fresh(40) for k in range(12, 24)}
+    rows = [(k, " ".join(fresh(60) + w + fresh(60))) for k, w in items.items() if k < 12]
+    for k in range(12, 24):  # 45 of 100 words are others; the answer (the last third) stays
+        w = items[k]
+        cut = 2 * len(w) // 3
+        changed = [x if rng.random() > 0.65 else rng.choice(words) for x in w[:cut]] + w[cut:]
+        rows.append((k, " ".join(fresh(50) + changed + fresh(80))))
+    rows += [(100 + k, " ".join(fresh(150))) for k in range(60)] + [(12, rows[12][1])]
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string").withColumn("lcs", F.lit("x"))
+    got = decontaminate.contaminated(frame(spark, rows).withColumn("item_id", F.lit(1)), table).collect()
+    pairs = {(r.doc_id, r.item_id) for r in got if r.doc_id < 100}
+    assert {(k, k) for k in range(12)} <= pairs
+    alike = {}
+    for k in range(12, 24):
+        near = rows[k][1].split()[50:90]
+        n = decontaminate.common_subsequence(items[k], near) / 40
+        alike[k] = n >= 0.5
+    assert sum((k, k) in pairs for k, ok in alike.items() if ok) >= 0.9 * sum(alike.values()) and sum(alike.values()) >= 6
+    assert not {r.item_id for r in got if r.doc_id >= 100} & set(range(12, 24))
+    assert sum((r.doc_id, r.item_id) == (12, 12) for r in got) in (0, 2)  # a repeated row gives repeated results
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(50):
