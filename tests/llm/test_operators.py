@@ -490,27 +490,52 @@ def test_mixing(spark):
 
 # --- 10
 
-def greedy(model, lang, codes):
+def greedy(hay: bytes, s: bytes) -> int:
     """Phrases by the definition: the longest piece that stands in the language's text, again and again."""
-    hay = "".join(chr(65 + c) for c in model.codes(SAMPLE[lang].lower()))
-    s, n = "".join(chr(65 + c) for c in codes), 0
-    while s:
+    n = at = 0
+    while at < len(s):
         k = 1
-        while k < len(s) and s[: k + 1] in hay:
+        while at + k < len(s) and s[at : at + k + 1] in hay:
             k += 1
-        s, n = s[k:], n + 1
+        at, n = at + k, n + 1
     return n
 
 
 SAMPLE = {"aa": "the cat sat on the mat and ate " * 3, "bb": "der hund lag auf der matte und schlief " * 3}
 
 
+def parsed(x: str) -> bytes:
+    return langid.normal(kernel.whole(pa.array([x])))[0].tobytes()
+
+
 def test_cross_parsing_is_greedy():
-    model = langid.Automata(SAMPLE)
-    for text in ("the dog lay", "und die katze", "x1y2z3", "é", "matte"):
-        codes = model.codes(text)
-        n = model.phrases(codes, np.array([0, len(codes)]))[0]
-        assert n.tolist() == [greedy(model, lang, codes) for lang in model.languages]
+    """Over whole texts, those of many segments included, and a language's own text, which is one phrase."""
+    rng = random.Random(3)
+    sample = SAMPLE | {"cc": prose(1500, rng), "dd": "一二三四五六七八九十" * 20 + "ab" * 400}
+    model = langid.Automata(sample)
+    own = sample["cc"]
+    texts = ["the dog lay", "und die katze", "x1y2z3", "é", "matte", "", "12", own, own[700:6000] + " " + own[:900], prose(900, rng), "ab" * 2000 + "一二三" * 300, "the mat " * 700, "ქართული ენა " * 100]
+    data, at, _ = langid.normal(kernel.whole(pa.array(texts)))
+    n = model.phrases(data, at)
+    for i, t in enumerate(texts):
+        assert n[i].tolist() == [greedy(parsed(sample[lang]), parsed(t)) for lang in model.languages], t[:40]
+    assert n[7][model.languages.index("cc")] == 1
+
+
+def test_scripts_keep_their_letters(spark):
+    """Languages of many scripts, and one language more than sixty-four labels, are told apart on held-out texts."""
+    rng = random.Random(14)
+    scripts = {"la": (0x61, 26), "ru": (0x430, 32), "el": (0x3B1, 25), "ka": (0x10D0, 33), "th": (0xE01, 46), "zh": (0x4E00, 800), "ko": (0xAC00, 800)}
+    lexicon = {k: ["".join(chr(a + rng.randrange(n)) for _ in range(rng.randint(1, 6))) for _ in range(150)] for k, (a, n) in scripts.items()}
+    lexicon |= {f"x{k}": [w[::-1] + "z" for w in prose(1, rng).split() * 3] + ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30)] for k in range(64)}
+    make = lambda lang: " ".join(rng.choice(lexicon[lang]) for _ in range(40))
+    rows = [(i * 100 + j, make(lang), lang) for i, lang in enumerate(lexicon) for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs.where("doc_id % 2 = 0"))
+    assert len(model.languages) == len(lexicon) > 64
+    held = langid.identify(docs.where("doc_id % 2 = 1"), model).collect()
+    assert sum(r.lang_pred == r.lang for r in held) >= 0.97 * len(held)
+    assert all(r.lang_pred == r.lang for r in held if r.lang in scripts)
 
 
 def test_language_id(spark):
@@ -521,4 +546,5 @@ def test_language_id(spark):
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model).collect()}
     assert [got[i][0] for i in (1, 2, 3, 4, 5, 6, None)] == ["aa", "bb", "und", "und", "und", "aa", "bb"]
     assert all(0 <= s <= 1 for _, s in got.values()) and got[7][0] in SAMPLE
+    assert langid.identify(docs.unionAll(docs), model).count() == 2 * len(rows)  # repeated rows
     assert langid.identify(docs.where("doc_id < 0"), langid.fit(docs.where("doc_id < 0"))).count() == 0
