@@ -17,15 +17,30 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def alike(sizes: np.ndarray) -> list[np.ndarray]:
+    """Documents in groups whose sizes are within a factor of four, so that lanes side by side are about as long."""
+    order = np.argsort(-sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    out = []
+    while len(order):
+        n = int(np.searchsorted(-sizes[order], -(sizes[order[0]] / 4), side="left"))
+        out.append(order[: max(n, 1)])
+        order = order[max(n, 1) :]
+    return out
+
+
 class Lanes:
-    """Token sequences of documents laid out in lanes: targets, starts, and which document a place belongs to (-1: none)."""
+    """Token sequences of some documents laid out in lanes: targets, starts, and which document a place belongs to (-1: none).
 
-    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, most: int = 512):
+    Of documents that are alike() it takes at most five times as many places as there are tokens.
+    """
+
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, chosen: np.ndarray, most: int = 512):
         at = np.cumsum(sizes) - sizes
-        n = max(1, min(most, len(sizes)))
+        n = max(1, min(most, len(chosen)))
         lanes: list[list[int]] = [[] for _ in range(n)]
         heap = [(0, k) for k in range(n)]
-        for d in np.argsort(-sizes, kind="stable").tolist():
+        for d in chosen.tolist():
             total, k = heapq.heappop(heap)
             lanes[k].append(d)
             heapq.heappush(heap, (total + int(sizes[d]), k))
@@ -136,26 +151,28 @@ class Model:
 
     def score(self, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Natural log probability of each document's whole sequence."""
-        lanes, total, table = Lanes(tokens, sizes), np.zeros(len(sizes)), self.table()
-        n = lanes.target.shape[1]
-        state, last = np.zeros((n, self.h), np.float32), np.full(n, self.end, np.int32)
-        for target, on, start, owner in lanes.windows():
-            before = np.concatenate([last[None], target[:-1]])
-            states, _ = self.forward(table, before, start, state, False)
-            state, last = states[-1], target[-1]
-            logp, _ = self.outputs(states[on], target[on], False)
-            total += np.bincount(owner[on], logp, len(sizes))
+        total, table = np.zeros(len(sizes)), self.table()
+        for group in alike(sizes):
+            lanes = Lanes(tokens, sizes, group)
+            n = lanes.target.shape[1]
+            state, last = np.zeros((n, self.h), np.float32), np.full(n, self.end, np.int32)
+            for target, on, start, owner in lanes.windows():
+                before = np.concatenate([last[None], target[:-1]])
+                states, _ = self.forward(table, before, start, state, False)
+                state, last = states[-1], target[-1]
+                logp, _ = self.outputs(states[on], target[on], False)
+                total += np.bincount(owner[on], logp, len(sizes))
         return total
 
     def train(self, tokens: np.ndarray, sizes: np.ndarray, rate: float = 0.01, lanes: int = 64) -> int:
         """One pass of truncated backpropagation (Adam); returns the tokens seen."""
-        laid = Lanes(tokens, sizes, lanes)
-        n, h, p = laid.target.shape[1], self.h, self.p
+        h, p = self.h, self.p
         first, second = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-        state, last, seen, step = np.zeros((n, h), np.float32), np.full(n, self.end, np.int32), 0, 0
-        for target, on, start, _ in laid.windows():
-            if not on.any():
-                break
+        seen, step, n, laid = 0, 0, 0, None
+        for lane, (target, on, start, _) in ((x, w) for group in alike(sizes) for x in [Lanes(tokens, sizes, group, lanes)] for w in x.windows()):
+            if lane is not laid:
+                laid, n = lane, target.shape[1]
+                state, last = np.zeros((n, h), np.float32), np.full(n, self.end, np.int32)
             before = np.concatenate([last[None], target[:-1]])
             states, tape = self.forward(self.table(), before, start, state, True)
             state, last = states[-1].copy(), target[-1]

@@ -7,7 +7,8 @@ So the score is a log10 probability over all texts, unseen words included.
 Counts are kept by 64-bit hash of the word. The FREQUENT most frequent are broadcast (a fixed bound); the counts of
 rarer words reach the documents by a join. The recurrent model is trained where the data are: each round has an
 even share of the training documents, all of them in the rounds together; every task trains on its part of the round's
-from the same start, and the weights are averaged by tokens.
+from the same start, and the weights are averaged by tokens: sums of them are made in tasks, level by level, and the
+driver gets at most SUMS of them.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from quietfield.llm.kernel import Lookup, Words, mix, text_pieces
 FOLDS, HELD_OUT = 7, 2
 FREQUENT, VOCABULARY, TAILS = 1 << 19, 992, 31
 ROUNDS = 3
+SUMS = 32
 _U = np.uint64
 
 
@@ -118,27 +120,51 @@ def learn(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS, share: int |
                         model = Model(np.ones(lang.model.v), lang.end).unpack(lang.model.pack())
                     seen += model.train(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([model.pack().astype(np.float64)], pa.list_(pa.float64()))], ["n", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([model.pack().astype(np.float64) * seen], pa.list_(pa.float64()))], ["n", "w"])
 
         mine = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == k % share).select("text")
-        each = mine.mapInArrow(train, "n long, w array<double>").select("n", F.posexplode("w").alias("at", "w"))
-        mean = each.groupBy("at").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")).toArrow()
-        if len(mean):
-            flat = np.empty(len(mean))
-            flat[mean["at"].to_numpy()] = mean["w"].to_numpy()
-            language.model.unpack(flat)
+        total, seen = _summed(mine.mapInArrow(train, WEIGHTS))
+        if seen:
+            language.model.unpack(total / seen)
         sent.unpersist()
     return language, counted
 
 
-SCORED = "id long, version long, n_tokens long, n_known long, base double, score double"
+WEIGHTS = "n long, w array<double>"
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for all of a task's: the sums of n and of w, a row at a time."""
+    n, total = 0, None
+    for batch in batches:
+        for k, w in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            x = w.values.to_numpy()
+            n, total = n + k, x.copy() if total is None else total + x
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total], pa.list_(pa.float64()))], ["n", "w"])
+
+
+def _summed(each: DataFrame) -> tuple[np.ndarray, int]:
+    """Sums of w and n over all rows, of which each task has one; in tasks by the root of their number until few are left."""
+    tasks = each.rdd.getNumPartitions()
+    while tasks > SUMS:
+        tasks = -(-tasks // SUMS)
+        each = each.repartition(tasks).mapInArrow(_sum, WEIGHTS)
+    total, seen = np.zeros(1), 0
+    for r in each.toLocalIterator():
+        total, seen = total + np.array(r.w), seen + r.n
+    return total, seen
+
+
+SCORED = "id long, version long, none boolean, n_tokens long, n_known long, base double, score double"
 
 
 def score(docs: DataFrame, language: Language, counted: DataFrame) -> DataFrame:
     """docs(doc_id, text) with n_tokens, n_known, base_score, score (log10) of the whole text; null is empty."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(language)
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), "text")
+    none = F.col("doc_id").isNull()
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit("")), none).alias("version"), "text", none.alias("none"))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang = sent.value
@@ -165,24 +191,28 @@ def score(docs: DataFrame, language: Language, counted: DataFrame) -> DataFrame:
             if sizes:
                 sizes = np.concatenate(sizes)
                 own = lang.model.score(np.concatenate(tokens), sizes) / np.log(10) + np.concatenate(rest)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes.astype(np.int64)), pa.array(np.concatenate(known).astype(np.int64)), pa.array(np.concatenate(base)), pa.array(own)], ["id", "version", "n_tokens", "n_known", "base", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(sizes.astype(np.int64)), pa.array(np.concatenate(known).astype(np.int64)), pa.array(np.concatenate(base)), pa.array(own)], ["id", "version", "none", "n_tokens", "n_known", "base", "score"])
 
     texts = keyed.select("id", "version", "text")
     found = texts.mapInArrow(rare, "h long, id long, version long").groupBy("h", "id", "version").agg(F.count("*").alias("tf"))
     more = found.join(counted.select("h", "c"), "h").groupBy("id", "version").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("tf").alias("known"))
     # Rows of one doc_id with one text were counted together: each has its share.
     same = keyed.groupBy("id", "version").agg(F.count("*").alias("rows")).where("rows > 1")
-    own = keyed.select("id", "version", "text").mapInArrow(run, SCORED)
+    own = keyed.mapInArrow(run, SCORED)
     out = own.join(more, ["id", "version"], "left").join(same, ["id", "version"], "left")
     share = lambda c: F.coalesce(F.col(c) / F.coalesce("rows", F.lit(1)), F.lit(0.0))
     return out.select(
-        F.when(F.col("id") != (1 << 63) - 1, F.col("id")).alias("doc_id"),
+        F.when(~F.col("none"), F.col("id")).alias("doc_id"),
         "n_tokens", (F.col("n_known") + share("known")).cast("long").alias("n_known"),
         (F.col("base") + share("more")).alias("base_score"), (F.col("score") + share("more")).alias("score"),
     )
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, learned from those outside the held-out fold; its columns are those of the contract.
+
+    A null or empty text is its end alone; a null doc_id is not held out; repeated rows give repeated results.
+    """
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out_of_fold = F.coalesce(fold(F.col("doc_id"), FOLDS), F.lit(0)) == HELD_OUT
     scratch = Scratch(spark, "lmscore")

@@ -285,7 +285,7 @@ def test_substrings(spark, group, hot_from):
 # --- 5
 
 def test_base_scores_and_model(spark):
-    rows = [(i, prose(30)) for i in range(60)] + [(60, "ONLY é here"), (61, None), (62, ""), (63, "ONLY é here"), (63, "ONLY é here"), (None, "ba")]
+    rows = [(i, prose(30)) for i in range(60)] + [(60, "ONLY é here"), (61, None), (62, ""), (63, "ONLY é here"), (63, "ONLY é here"), (None, "ba"), ((1 << 63) - 1, "ba")]
     docs = frame(spark, rows)
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2 if i is not None else False
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7, F.lit(0)) == 2
@@ -309,6 +309,28 @@ def test_every_training_document_is_learned_from(spark):
         assert not np.array_equal(language.model.p["u"], fresh.p["u"])
 
 
+def test_very_long_text_and_empty_table(spark):
+    """A text of 200,000 tokens beside short ones takes memory in proportion to its tokens, and is read to its end."""
+    sizes = np.array([200_001] + [40] * 511)
+    groups = gru.alike(sizes)
+    assert sorted(np.concatenate(groups).tolist()) == list(range(512))
+    assert sum(gru.Lanes(np.zeros(sizes.sum(), np.int32), sizes, g).target.size for g in groups) <= 2 * sizes.sum()
+    rows = [(i, prose(30)) for i in range(20)] + [(20, prose(200_000))]
+    language, counted = lmscore.learn(frame(spark, rows), Scratch(spark, "t"), rounds=1)
+    found = {r.doc_id: r for r in lmscore.score(frame(spark, rows), language, counted).collect()}
+    assert found[20].n_tokens == 200_001 and -400_000 < found[20].score < -100_000
+    language, counted = lmscore.learn(empty(spark), Scratch(spark, "t"))
+    assert language.n == 0 and lmscore.score(empty(spark), language, counted).count() == 0
+    assert lmscore.score(frame(spark, rows[:2]), language, counted).count() == 2
+
+
+def test_weights_are_summed_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "SUMS", 3)
+    rows = spark.range(20).repartition(20).selectExpr("id AS n", "array(double(id), 1D) AS w")
+    total, n = lmscore._summed(rows)
+    assert n == 190 and total.tolist() == [190.0, 20.0]
+
+
 def test_model_learns_and_its_probabilities_add_up():
     rng = np.random.default_rng(0)
     sizes = np.full(200, 20)
