@@ -1,20 +1,20 @@
 """License scans by ordered signature rules, as DataFrame functions only: one narrow pass, no shuffle.
 
-A text becomes its words in lower case, each after one space, and every rule is a regular expression over that.
-Rules are a table: each has a keyword, a word that none of its matches lacks (its family's, or one of its own name), and
-runs only where that stands in the text. Matches are intervals of words. Overlaps are resolved in order: of intervals sorted by start, then longest,
-then priority, one that lies within an earlier one is suppressed.
+A text becomes its words in lower case, each after one space, and every rule is a regular expression over that. Rules
+are a table written by hand (license_rules): each has a keyword, a word that none of its matches lacks, and runs only
+where that stands in the text. Matches are intervals of words. Overlaps are resolved in order of priority: a match that
+overlaps one of a higher priority is suppressed, and so is one that lies within another of its own priority.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietfield.llm.common import read
+from quietfield.llm.license_rules import SECTIONS, Rule, rules
 
 # Base phrases and their labels.
 BASE = {
@@ -22,111 +22,7 @@ BASE = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-
-# Label, keyword, names (over words in lower case).
-FAMILIES = [
-    ("mit", "mit", ["mit", "mit expat", "mit x11"]),
-    ("mit-0", "mit", ["mit 0", "mit no attribution"]),
-    ("apache-1.1", "apache", ["apache software license version 1 1", "apache 1 1"]),
-    ("apache-2", "apache", ["apache license version 2(?: 0)?", "apache license v?2(?: 0)?", "apache(?: version)? v?2(?: 0)?", "apache"]),
-    ("gpl-1", "general", ["gnu general public license v(?:ersion )?1(?: 0)?"]),
-    ("gpl-2", "general", ["gnu general public license v(?:ersion )?2(?: 0)?", "general public license v(?:ersion )?2(?: 0)?"]),
-    ("gpl-3", "general", ["gnu general public license v(?:ersion )?3(?: 0)?", "general public license v(?:ersion )?3(?: 0)?"]),
-    ("gpl", "general", ["gnu general public license", "gnu general public licence"]),
-    ("gpl-2", "gpl", ["gnu gpl v?2(?: 0)?", "gpl v?(?:ersion )?2(?: 0)?", "gplv2"]),
-    ("gpl-3", "gpl", ["gnu gpl v?3(?: 0)?", "gpl v?(?:ersion )?3(?: 0)?", "gplv3"]),
-    ("gpl", "gpl", ["gnu gpl", "gpl"]),
-    ("lgpl-2.1", "lesser", ["gnu lesser general public license v(?:ersion )?2 1", "lesser general public license v(?:ersion )?2 1"]),
-    ("lgpl-3", "lesser", ["gnu lesser general public license v(?:ersion )?3(?: 0)?", "lesser general public license v(?:ersion )?3(?: 0)?"]),
-    ("lgpl", "lesser", ["gnu lesser general public license"]),
-    ("lgpl-2.1", "lgpl", ["lgpl v?2 1", "gnu lgpl v?2 1"]),
-    ("lgpl-3", "lgpl", ["lgpl v?3(?: 0)?", "gnu lgpl v?3(?: 0)?"]),
-    ("lgpl", "lgpl", ["lgpl", "gnu lgpl"]),
-    ("agpl-3", "affero", ["gnu affero general public license(?: v(?:ersion )?3(?: 0)?)?"]),
-    ("agpl-3", "agpl", ["agpl v?3(?: 0)?", "gnu agpl(?: v?3)?"]),
-    ("bsd-2", "bsd", ["bsd 2 clause", "2 clause bsd", "simplified bsd", "freebsd"]),
-    ("bsd-3", "bsd", ["bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd", "revised bsd"]),
-    ("bsd-4", "bsd", ["bsd 4 clause", "4 clause bsd", "original bsd"]),
-    ("bsd", "bsd", ["bsd", "bsd style"]),
-    ("0bsd", "0bsd", ["0bsd", "zero clause bsd"]),
-    ("isc", "isc", ["isc"]),
-    ("mpl-1.1", "mozilla", ["mozilla public license v(?:ersion )?1 1"]),
-    ("mpl-2", "mozilla", ["mozilla public license v(?:ersion )?2(?: 0)?"]),
-    ("mpl", "mozilla", ["mozilla public license"]),
-    ("mpl-2", "mpl", ["mpl v?2(?: 0)?"]),
-    ("epl-1", "eclipse", ["eclipse public license v?(?:ersion )?1(?: 0)?"]),
-    ("epl-2", "eclipse", ["eclipse public license v?(?:ersion )?2(?: 0)?"]),
-    ("cddl-1", "cddl", ["cddl v?1(?: 0)?", "cddl"]),
-    ("cddl-1", "distribution", ["common development and distribution license(?: version 1(?: 0)?)?"]),
-    ("artistic-2", "artistic", ["artistic license v?(?:ersion )?2(?: 0)?", "artistic license"]),
-    ("boost-1", "boost", ["boost software license(?: version)? 1(?: 0)?", "boost software license"]),
-    ("zlib", "zlib", ["zlib", "zlib libpng"]),
-    ("unlicense", "unlicense", ["the unlicense", "unlicense"]),
-    ("wtfpl", "wtfpl", ["wtfpl"]),
-    ("eupl-1.2", "eupl", ["eupl v?1 2", "eupl"]),
-    ("ofl-1.1", "font", ["sil open font license(?: version)? 1 1", "open font license"]),
-    ("postgresql", "postgresql", ["postgresql"]),
-    ("python-2", "python", ["python software foundation license(?: version)? 2", "psf"]),
-    ("openssl", "openssl", ["openssl"]),
-    ("ms-pl", "microsoft", ["microsoft public license"]),
-    ("odbl-1", "database", ["open database license(?: v?1 0)?"]),
-    ("gfdl", "documentation", ["gnu free documentation license(?: version 1 [123])?"]),
-    ("cc0-1", "cc0", ["cc0(?: 1 0)?(?: universal)?"]),
-    ("cc-by", "cc", ["cc by(?: [1-4] 0)?"]),
-    ("cc-by-sa", "cc", ["cc by sa(?: [1-4] 0)?"]),
-    ("cc-by-nd", "cc", ["cc by nd(?: [1-4] 0)?"]),
-    ("cc-by-nc", "cc", ["cc by nc(?: [1-4] 0)?"]),
-    ("cc-by-nc-sa", "cc", ["cc by nc sa(?: [1-4] 0)?"]),
-    ("cc-by-nc-nd", "cc", ["cc by nc nd(?: [1-4] 0)?"]),
-    ("cc-by", "creative", ["creative commons attribution(?: [1-4] 0)?(?: international| unported)?"]),
-    ("cc-by-sa", "creative", ["creative commons attribution share ?alike(?: [1-4] 0)?(?: international| unported)?"]),
-    ("cc-by-nc", "creative", ["creative commons attribution non ?commercial(?: [1-4] 0)?(?: international| unported)?"]),
-    ("cc-by-nd", "creative", ["creative commons attribution no ?deriv(?:ative)?s(?: [1-4] 0)?(?: international| unported)?"]),
-    ("public-domain", "domain", ["public domain"]),
-    ("all-rights-reserved", "reserved", ["all rights reserved"]),
-    ("proprietary", "proprietary", ["proprietary and confidential", "proprietary software"]),
-]
-
-# Priority (0 first), confidence, template around a name.
-TEMPLATES = [
-    (0, 1.0, "spdx license identifier {}"),
-    (1, 0.95, "(?:licensed|released|distributed|published|available) under (?:the )?(?:terms of (?:the )?)?{}(?: licen[sc]es?)?"),
-    (2, 0.9, "(?:subject to|governed by|covered by|in accordance with) (?:the )?(?:terms of (?:the )?)?{}(?: licen[sc]e)?"),
-    (3, 0.8, "licen[sc]e {}"),
-    (4, 0.75, "{} licen[sc]e"),
-]
-#: Names that say enough when they stand alone.
-ALONE = (5, 0.6, "{}")
-PLAIN = ("general", "lesser", "affero", "mozilla", "eclipse", "distribution", "artistic", "boost", "font", "microsoft", "database", "documentation", "cc0", "cc", "creative", "domain", "reserved", "proprietary", "lgpl", "agpl", "unlicense", "wtfpl", "cddl")
-
-
-@dataclass(frozen=True)
-class Rule:
-    label: str
-    keyword: str
-    priority: int
-    confidence: float
-    regex: str  # from the space before its first word up to the space after its last
-
-
-def keyword_of(name: str, family: str) -> str:
-    """A whole word that stands in every match of a name: the family's keyword if it is one, else the longest."""
-    fixed = re.sub(r"\(\?:[^ ()][^()]*\)\?", "~", name)  # what may be missing within a word
-    while fixed != (fixed := re.sub(r"\(\?: [^()]*\)\?", "", fixed)):  # words that may be missing
-        pass
-    fixed = re.sub(r".\?", "~", fixed)
-    words = re.findall(r"(?<![^ ])[a-z0-9]+(?![^ ])", fixed)
-    return family if family in words else max(words, key=len)
-
-
-def rules() -> list[Rule]:
-    """The rule table in order: families by names by templates, a few hundred in all."""
-    found = []
-    for label, keyword, names in FAMILIES:
-        for name in names:
-            for priority, confidence, template in [*TEMPLATES, *[ALONE] * (keyword in PLAIN)]:
-                found.append(Rule(label, keyword_of(name, keyword), priority, confidence, f" {template.format(f'(?:{name})')}(?= )"))
-    return sorted(found, key=lambda r: (r.priority, r.keyword, r.label, r.regex))
+MARK = "\u0001"  # stands in no line of words
 
 
 def word_line(text: Column) -> Column:
@@ -142,46 +38,61 @@ def spaces(line: Column) -> Column:
     return (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))).cast("long")
 
 
-def _literal(rs: list[Rule]) -> Column:
-    return F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(r.regex).alias("regex")) for r in rs])
-
-
-_INTERVALS = "array<struct<start:bigint,back:bigint,priority:int,label:string,confidence:double>>"
+_INTERVAL = "struct<priority:int,start:bigint,back:bigint,label:string,confidence:double>"
 
 
-def _intervals(line: Column, rule: Column) -> Column:
-    """Intervals of words that a rule matches; ``back`` is the end negated, so that the longest sorts first."""
-    parts = F.transform(F.split(line, rule["regex"], -1), spaces)
-    sizes = F.transform(F.regexp_extract_all(line, rule["regex"], F.lit(0)), spaces)
-    both = F.arrays_zip(F.slice(parts, 1, F.size(sizes)).alias("gap"), sizes.alias("size"))
+def _intervals(hit: Column) -> Column:
+    """Intervals of words of one rule's matches, from a line cut at both ends of each; ``back`` is the end negated, so
+    that of those with one start the longest sorts first."""
     walk = F.aggregate(
-        both,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_INTERVALS).alias("found")),
+        hit["parts"],
+        F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("inside"), F.array().cast(f"array<{_INTERVAL}>").alias("found")),
         lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["size"]).alias("at"),
-            F.concat(acc["found"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (-(acc["at"] + x["gap"] + x["size"])).alias("back"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))).alias("found"),
+            (acc["at"] + spaces(x)).alias("at"),
+            (~acc["inside"]).alias("inside"),
+            F.when(acc["inside"], F.concat(acc["found"], F.array(F.struct(hit["priority"].alias("priority"), acc["at"].alias("start"), (-acc["at"] - spaces(x)).alias("back"), hit["label"].alias("label"), hit["confidence"].alias("confidence")))))
+            .otherwise(acc["found"]).alias("found"),
         ),
     )
     return walk["found"]
 
 
+def _alternatives(words: list[str]) -> str:
+    """One expression for any of some words, by their first letters."""
+    return "|".join(f"{first}(?:{'|'.join(w[1:] for w in group)})" for first, group in groupby(sorted(words), key=lambda w: w[0]))
+
+
 def detect(line: Column, table: list[Rule] | None = None) -> Column:
     """Detections left after suppression: array of (start, end, priority, label, confidence), in words."""
+    table = rules() if table is None else table
+    cut = "array<struct<priority:int,label:string,confidence:double,parts:array<string>>>"
+    one = lambda r: F.struct(F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence"), F.split(F.regexp_replace(line, F.lit(r.regex), F.lit(f"{MARK}$0{MARK}")), MARK, -1).alias("parts"))
     by_keyword: dict[str, list[Rule]] = {}
-    for r in rules() if table is None else table:
+    for r in table:
         by_keyword.setdefault(r.keyword, []).append(r)
-    empty = F.array().cast(_INTERVALS)
-    families = F.concat(*[
-        F.when(F.contains(line, F.lit(f" {k} ")), F.flatten(F.transform(_literal(rs), lambda r: _intervals(line, r)))).otherwise(empty)
-        for k, rs in sorted(by_keyword.items())
-    ])
-    # In sorted order an interval lies within an earlier one if and only if its end is not beyond all ends so far.
-    kept = F.aggregate(
-        F.array_sort(families),
-        F.struct(F.lit(-1).cast("long").alias("end"), empty.alias("kept")),
-        lambda acc, x: F.struct(F.greatest(acc["end"], -x["back"]).alias("end"), F.when(-x["back"] > acc["end"], F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept")),
-    )["kept"]
-    return F.transform(kept, lambda x: F.struct(x["start"], (-x["back"]).alias("end"), x["priority"], x["label"], x["confidence"]))
+    cuts = [F.when(F.contains(line, F.lit(f" {k} ")), F.array(*map(one, rs))).otherwise(F.array().cast(cut)) for k, rs in sorted(by_keyword.items())]
+    hits = F.filter(F.concat(*cuts), lambda h: F.size(h["parts"]) > 1)
+    found = F.array_sort(F.flatten(F.transform(hits, _intervals)))
+    return F.transform(suppress(found), lambda x: F.struct(x["start"], (-x["back"]).alias("end"), x["priority"], x["label"], x["confidence"]))
+
+
+def suppress(found: Column) -> Column:
+    """Of intervals sorted by priority, start and falling length, those that no other suppresses."""
+    empty = F.array().cast(f"array<{_INTERVAL}>")
+
+    def step(acc: Column, x: Column) -> Column:
+        new = x["priority"] != acc["priority"]  # those kept so far are all of a higher priority
+        higher = F.when(new, F.concat(acc["higher"], acc["same"])).otherwise(acc["higher"])
+        end = F.when(new, F.lit(-1).cast("long")).otherwise(acc["end"])  # how far kept ones of this priority reach
+        keep = (-x["back"] > end) & ~F.exists(higher, lambda k: (k["start"] < -x["back"]) & (x["start"] < -k["back"]))
+        same = F.when(new, empty).otherwise(acc["same"])
+        return F.struct(
+            x["priority"].alias("priority"), higher.alias("higher"), F.when(keep, F.concat(same, F.array(x))).otherwise(same).alias("same"), F.when(keep, -x["back"]).otherwise(end).alias("end")
+        )
+
+    start = F.struct(F.lit(-1).alias("priority"), empty.alias("higher"), empty.alias("same"), F.lit(-1).cast("long").alias("end"))
+    last = F.aggregate(found, start, step)
+    return F.concat(last["higher"], last["same"])
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -197,7 +108,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         empty = F.lit(None).cast("struct<label:string,n:bigint,first:bigint,last:bigint>")
         base.append(F.when(F.contains("line", F.lit(f" {phrase} ")), F.struct(F.lit(label).alias("label"), (F.size(parts) - 1).cast("long").alias("n"), first.alias("first"), last.alias("last"))).otherwise(empty))
     keywords = sorted({r.keyword for r in rules()})
-    gate = F.col("line").rlike(" (?:" + "|".join(keywords) + ") ")
+    gate = F.col("line").rlike(f" (?:{_alternatives(keywords)}) ")
     return lined.withColumns({
         "n_words": spaces(F.col("line")) - 1,
         "base": F.filter(F.array(*base), lambda x: x.isNotNull()),
@@ -220,4 +131,6 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licenses; its columns are those of the contract. Null and empty texts have no words, no labels and
+    score 0; repeated rows give repeated results."""
     return digest(scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
