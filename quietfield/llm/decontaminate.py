@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from quietfield.llm.common import ship_code, read
 from quietfield.llm.kernel import PUNCTUATION, Lookup, Words, mix, text_pieces, whole, windows
 
-TILE, FEATURES, RANK, SEED = 64, 1 << 14, 20, 11
+TILE, FEATURES, RANK, SEED = 64, 1 << 14, 32, 11
 OVER = 6  # directions more than RANK in the test matrix
 COMMON, LEAST = 2.5, 0.05  # what is taken off a word's weight, and the least that is left
 GRAM = 5
 LENGTHS, CLASS = 16, 64  # windows are of 16, 32, 48 or 64 words; longer items are searched by their parts
-NEAR, SHARED = 0.5, 0.4  # both are less than what ALIKE asks for
+NEAR, SHARED = 0.5, 0.35  # both are less than what ALIKE asks for
 SAME, ALIKE, ANSWERED = 0.8, 0.5, 0.8
 BLOCK = 2000
 _U = np.uint64
@@ -129,6 +129,7 @@ class Items:
         h, f = features(words)
         cut = [(int(a), int(b)) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
         self.words = [h[a:b].tolist() for a, b in cut]
+        self.bits = [bits(w) for w in self.words]
         self.size = np.diff(words.first)
         self.answer = []
         for (_, text), (a, b) in zip(rows, cut, strict=True):
@@ -145,7 +146,7 @@ class Items:
             own = np.searchsorted(words.first, at, side="right") - 1
             names, first = np.unique(g[order], return_index=True)
             self.grams[n] = (Lookup(names), np.append(first, len(g)), own[order], (at - words.first[own])[order])
-        # The parts that are searched for: (item, window length, latent direction, features with weight)
+        # The parts that are searched for: (item, place, latent direction, how often it has each feature)
         self.parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         found: dict[int, list] = {}
         for k, (a, b) in enumerate(cut):
@@ -155,21 +156,26 @@ class Items:
                     continue
                 size = min(CLASS, max(LENGTHS, LENGTHS * round((hi - lo) / LENGTHS)))
                 v = latent[f[lo:hi]].sum(0, dtype=float)
-                on = np.unique(f[lo:hi])
                 if np.linalg.norm(v) > 0:
-                    found.setdefault(size, []).append((k, lo - a, v / np.linalg.norm(v), on))
+                    found.setdefault(size, []).append((k, lo - a, v / np.linalg.norm(v), f[lo:hi]))
         for size, parts in found.items():
-            table = np.zeros((len(parts), FEATURES), bool)
+            table = np.zeros((len(parts), FEATURES), np.int8)
             for r, p in enumerate(parts):
-                table[r, p[3]] = True
+                np.add.at(table[r], p[3], 1)
             self.parts[size] = (np.array([p[0] for p in parts]), np.array([p[1] for p in parts]), np.stack([p[2] for p in parts]).astype(np.float32), table)
 
 
-def common_subsequence(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, by bits of one number."""
+def bits(a: list[int]) -> dict[int, int]:
+    """Where each word stands, as bits."""
     masks: dict[int, int] = {}
     for i, x in enumerate(a):
         masks[x] = masks.get(x, 0) | 1 << i
+    return masks
+
+
+def common_subsequence(a: list[int], b: list[int], masks: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, by bits of one number."""
+    masks = bits(a) if masks is None else masks
     full = (1 << len(a)) - 1
     row = full
     for x in b:
@@ -196,6 +202,19 @@ def _running_sums(words: Words, f: np.ndarray, latent: np.ndarray) -> tuple[np.n
     return sums, fours
 
 
+def in_common(seen: np.ndarray, table: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """How many words each window has in common with its part, each counted as often as in both; FEATURES is no word."""
+    if not len(seen):
+        return np.zeros(0, int)
+    seen = np.sort(seen, axis=1)
+    new = np.ones(seen.shape, bool)
+    new[:, 1:] = seen[:, 1:] != seen[:, :-1]
+    steps = np.arange(seen.shape[1])
+    before = steps - np.maximum.accumulate(np.where(new, steps, 0), axis=1)  # how often the word stood before
+    have = table.take(np.minimum(seen, FEATURES - 1) + (part * FEATURES)[:, None])
+    return np.count_nonzero((seen < FEATURES) & (before < have), axis=1)
+
+
 FOUND = "doc_id long, item_id long, lcs double, answer double"
 
 
@@ -221,17 +240,19 @@ def search(docs: DataFrame, items: Items, latent: np.ndarray) -> DataFrame:
                 end = np.minimum(at + size, words.first[1:][doc])
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
                 flat, steps, short = table.ravel(), np.arange(size), end - at < size
-                least = SHARED * np.minimum(table.sum(1), size)
+                least = SHARED * np.minimum(table.sum(1, dtype=int), size)
                 for lo in range(0, len(v), 2048):
                     row, part = np.nonzero(v[lo : lo + 2048] @ direction.T >= NEAR)
                     row += lo
                     for cut in range(0, len(row), 4096):
                         r, p = row[cut : cut + 4096], part[cut : cut + 4096]
                         place = at[r][:, None] + steps
-                        hit = flat.take(f.take(place, mode="clip") + (p * FEATURES)[:, None])
+                        seen = f.take(place, mode="clip")
+                        hit = flat.take(seen + (p * FEATURES)[:, None]) > 0
                         if short[r].any():
                             hit &= place < end[r][:, None]
                         good = np.flatnonzero(np.count_nonzero(hit, axis=1) >= least[p])
+                        good = good[in_common(np.where(hit[good], seen[good], FEATURES), flat, p[good]) >= least[p[good]]]
                         for g in good.tolist():
                             k = int(owner[p[g]])
                             m = len(items.words[k])
@@ -259,7 +280,7 @@ def search(docs: DataFrame, items: Items, latent: np.ndarray) -> DataFrame:
                 for lo_word, hi_word in spans:
                     near = h[lo_word:hi_word].tolist()
                     own = items.words[k]
-                    lcs = common_subsequence(own, near) / len(own)
+                    lcs = common_subsequence(own, near, items.bits[k]) / len(own)
                     if lcs >= ALIKE:
                         best = max(best, (lcs, common_subsequence(items.answer[k], near) / len(items.answer[k])))
                 if best[0] >= SAME or (best[0] >= ALIKE and best[1] >= ANSWERED):
