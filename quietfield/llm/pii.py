@@ -1,9 +1,10 @@
 """Personal data: fixed kinds by pattern, and bootstrapped contextual extraction, as DataFrame functions only.
 
-Fixed kinds are email, ip, card and phone. Beside them, labelled values (``password=…``, ``token = "…"``) form a graph
-of contexts and instances. Seeds (entities of the fixed kinds, and strings shaped as keys) score 1; a context scores
-the mean of its instances, damped; an instance scores as its contexts together; and so on for a few rounds. Contexts
-of high confidence then mark every value that follows them, seen before or not.
+Fixed kinds are email, ip, card and phone. Beside them, values with a numeral or an @ and what stands before them form a
+graph of instances and lexical patterns: a label (``password=…``, ``token = "…"``) or two words (``account number …``).
+Seeds (entities of the fixed kinds, and strings shaped as keys) score 1; a pattern scores the mean of its instances,
+damped; an instance scores as its patterns together; and so on for a few rounds. Patterns of high confidence then mark
+every value that follows them, seen before or not, to its end.
 
 A null text is empty. Positions are in code points, ends exclusive.
 """
@@ -25,8 +26,11 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Strings shaped as keys are seeds wherever they stand.
 KEY = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,64})(?![A-Za-z0-9])"
 #: As values after a label, so are runs of hexadecimal digits, letters and numerals mixed.
-KEY_VALUE = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,64}|(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]{16,128})$"
-LABELLED = r"(?<![A-Za-z0-9_])([A-Za-z_]{2,30}\x20?[:=]{1,2}\x20?[\x22']?)([A-Za-z0-9+][A-Za-z0-9@+/_.-]{6,126}[A-Za-z0-9=])"
+KEY_VALUE = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,64}|(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]{16,})$"
+_VALUE = r"(?=[A-Za-z+/_.-]*[0-9@])[A-Za-z0-9+][A-Za-z0-9@+/_.-]{%d,}[A-Za-z0-9=]"
+LABELLED = rf"(?<![A-Za-z0-9_])([A-Za-z_]{{2,30}}\x20?[:=]{{1,2}}\x20?[\x22']?)({_VALUE % 6})"
+AFTER_WORDS = rf"(?<![\p{{L}}0-9_])(\p{{L}}{{2,30}}\x20\p{{L}}{{2,30}}[.#]?\x20)({_VALUE % 4})"
+MOST = 4096  # contexts that go into the plan; more are joined
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 SPAN = "struct<start:bigint,end:bigint,kind:int>"
@@ -79,16 +83,23 @@ def key_spans(text: Column) -> Column:
     return F.when(text.rlike(KEY), _walk(text, KEY, lambda m: m.isNotNull(), _span("secret"))).otherwise(F.array().cast(_EMPTY))
 
 
-def labelled(text: Column) -> Column:
-    """Labelled values with a digit: array of (context, value, start, end of the value)."""
+_VALUES = "array<struct<context:string,value:string,start:bigint,end:bigint>>"
 
-    def make(m: Column, start: Column) -> Column:
-        label = F.regexp_extract(m, LABELLED, 1)
-        value = F.regexp_extract(m, LABELLED, 2)
-        return F.struct(F.lower(F.replace(label, F.lit(" "), F.lit(""))).alias("context"), value.alias("value"), (start + _size(label)).alias("start"), (start + _size(m)).alias("end"))
 
-    none = F.array().cast("array<struct<context:string,value:string,start:bigint,end:bigint>>")
-    return F.when(text.rlike("[:=]"), _walk(text, LABELLED, lambda m: F.regexp_extract(m, LABELLED, 2).rlike("[0-9]"), make)).otherwise(none)
+def in_context(text: Column) -> Column:
+    """Values with what stands before them, a label or two words: array of (context, value, start, end of the value)."""
+
+    def make(regex: str, tidy):
+        def one(m: Column, start: Column) -> Column:
+            before, value = F.regexp_extract(m, regex, 1), F.regexp_extract(m, regex, 2)
+            return F.struct(tidy(F.lower(before)).alias("context"), value.alias("value"), (start + _size(before)).alias("start"), (start + _size(m)).alias("end"))
+
+        return one
+
+    none, always = F.array().cast(_VALUES), lambda m: m.isNotNull()
+    by_label = F.when(text.rlike("[:=]"), _walk(text, LABELLED, always, make(LABELLED, lambda x: F.replace(x, F.lit(" "), F.lit(""))))).otherwise(none)
+    by_words = F.when(text.rlike("[0-9@]"), _walk(text, AFTER_WORDS, always, make(AFTER_WORDS, lambda x: x))).otherwise(none)
+    return F.concat(by_label, by_words)
 
 
 def _seed_kind(value: Column) -> Column:
@@ -98,18 +109,19 @@ def _seed_kind(value: Column) -> Column:
         F.when(whole(EMAIL), KINDS.index("email"))
         .when(whole(rf"{_OCTET}(?:\.{_OCTET}){{3}}"), KINDS.index("ip"))
         .when(whole("[0-9]{14,19}") & F.when(whole("[0-9]{14,19}"), F.call_function("luhn_check", value)), KINDS.index("card"))
+        .when(value.rlike(r"^\\+[0-9]{10,15}$"), KINDS.index("phone"))
         .when(value.rlike(KEY_VALUE), KINDS.index("secret"))
     )
 
 
-def learn_contexts(docs: DataFrame, rounds: int = 3, support: int = 3, confidence: float = 0.7, most: int = 4096) -> dict[str, int]:
-    """Contexts of high confidence and their kinds, from labelled values of all texts.
+def learn_contexts(docs: DataFrame, rounds: int = 3, support: int = 3, confidence: float = 0.7) -> DataFrame:
+    """(context, kind) of high confidence, from the values of all texts of docs(text).
 
-    A context needs ``support`` distinct values and a score of ``confidence``; the model keeps the ``most`` best
-    (a bound on its size, as it goes into the plan). Ties go to the context that sorts first.
+    A context needs ``support`` distinct values and a score of ``confidence``. Null and empty texts teach nothing, and
+    repeated rows no more than one.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    pairs = docs.select(F.explode(labelled(F.coalesce("text", F.lit("")))).alias("x")).select("x.context", "x.value").groupBy("context", "value").count()
+    pairs = docs.select(F.explode(in_context(F.coalesce("text", F.lit("")))).alias("x")).select("x.context", "x.value").groupBy("context", "value").count()
     edges = scratch.write(pairs.select("context", "value", _seed_kind(F.col("value")).alias("kind")), "edges")
     scores = edges.select("context", "value", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0).alias("s"))
     for k in range(rounds):
@@ -122,25 +134,38 @@ def learn_contexts(docs: DataFrame, rounds: int = 3, support: int = 3, confidenc
     last = scores.join(edges.select("context", "value", "kind"), ["context", "value"]).groupBy("context").agg(
         (F.sum("s") / (F.count("*") + 0.5)).alias("p"), F.count("*").alias("n"), F.mode("kind", deterministic=True).alias("kind")
     )
-    rows = last.where((F.col("n") >= support) & (F.col("p") >= confidence) & F.col("kind").isNotNull()).orderBy(F.desc("p"), "context").limit(most).collect()
-    scratch.drop("")
-    return {r.context: r.kind for r in rows}
+    good = last.where((F.col("n") >= support) & (F.col("p") >= confidence) & F.col("kind").isNotNull()).select("context", "kind")
+    kept = scratch.write(good, "contexts", compact=True)
+    scratch.drop("edges", *(f"scores-{k}" for k in range(rounds - 1)))
+    return kept
+
+
+def _kinds(rows: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``rows`` with known: a map of contexts to kinds that has those of each row's values (others too, if they are few)."""
+    few = contexts.limit(MOST + 1).collect()
+    if len(few) <= MOST:
+        pairs = [F.lit(x) for r in sorted(few) for x in (r.context, r.kind)]
+        return rows.withColumn("known", F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,int>"))
+    keyed = rows.withColumn("version", F.xxhash64("text"))
+    met = keyed.select("doc_id", "version", F.explode(F.array_distinct(F.transform("values", lambda x: x["context"]))).alias("context")).distinct()
+    known = met.join(contexts, "context").groupBy("doc_id", "version").agg(F.map_from_entries(F.collect_list(F.struct("context", "kind"))).alias("known"))
+    known = known.select(F.col("doc_id").alias("known_id"), F.col("version").alias("known_version"), "known")
+    return keyed.join(known, F.col("doc_id").eqNullSafe(F.col("known_id")) & (F.col("version") == F.col("known_version")), "left").drop("version", "known_id", "known_version")
 
 
-def find(docs: DataFrame, contexts: dict[str, int]) -> DataFrame:
-    """``docs`` with base and spans (arrays of (start, end, kind number)); columns of these names are replaced.
+def find(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``docs`` with base and spans (arrays of (start, end, kind number)); columns of these names, of ``values`` and of
+    ``known`` are replaced.
 
     A span of the method that touches one of the fixed kinds gives way to it.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.drop("base", "spans").withColumn("base", base_spans(text))
+    out = docs.drop("base", "spans", "values", "known", "version").withColumn("values", in_context(text))
+    out = _kinds(out, contexts).withColumn("base", base_spans(text))
     clear = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    found = key_spans(text)
-    if contexts:
-        known = F.create_map(*[F.lit(x) for pair in sorted(contexts.items()) for x in pair])
-        by_context = F.transform(labelled(text), lambda x: F.struct(x["start"], x["end"], F.element_at(known, x["context"]).alias("kind")))
-        found = F.concat(found, F.filter(by_context, lambda x: x["kind"].isNotNull()))
-    return out.withColumn("spans", F.array_sort(F.array_distinct(F.concat("base", F.filter(found, clear)))))
+    by_context = F.transform("values", lambda x: F.struct(x["start"], x["end"], F.try_element_at("known", x["context"]).alias("kind")))
+    found = F.concat(key_spans(text), F.coalesce(F.filter(by_context, lambda x: x["kind"].isNotNull()), F.array().cast(_EMPTY)))
+    return out.withColumn("spans", F.array_sort(F.array_distinct(F.concat("base", F.filter(found, clear))))).drop("values", "known")
 
 
 def joined(spans: Column) -> Column:
@@ -170,5 +195,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data; its columns are those of the contract. Null and empty texts have none; repeated rows
+    give repeated results."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return digest(find(docs, learn_contexts(docs)))

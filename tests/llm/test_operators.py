@@ -443,7 +443,7 @@ def test_personal_data(spark):
     rows += [(20, 'é a.b@c.de x@y.z_q@e.f 1.2.3.4.5.6.7.8 256.1.1.1 card 4111 1111-1111 1111 +1 (988) 555-2485 password=horse-9-staple'), (21, "1" * 30_000 + "a" * 30_000 + "@"), (22, "1 " * 20_000), *ODD]
     docs = frame(spark, rows)
     contexts = pii.learn_contexts(docs)
-    assert contexts == {"password=": pii.KINDS.index("secret")}
+    assert [tuple(r) for r in contexts.collect()] == [("password=", pii.KINDS.index("secret"))]
     found = pii.find(docs.withColumn("spans", F.lit(1)), contexts)
     got = {r.doc_id: r for r in pii.digest(found).collect()}
     assert (got[20].n_email, got[20].n_ip, got[20].n_card, got[20].n_phone) == (3, 2, 1, 1)
@@ -453,7 +453,66 @@ def test_personal_data(spark):
     clean = {r.doc_id: r.text for r in pii.redact(found).collect()}
     assert "horse" not in clean[20] and "[secret]" in clean[20] and clean[90] is None and clean[93] == "word"
     assert got[90].base_sha256 == hashlib.sha256(b"").hexdigest()
-    assert pii.learn_contexts(empty(spark)) == {} and pii.digest(pii.find(empty(spark), {})).count() == 0
+    none = pii.learn_contexts(empty(spark))
+    assert none.count() == 0 and pii.digest(pii.find(empty(spark), none)).count() == 0
+
+
+BASE_KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base_of(text: str) -> list[str]:
+    """kind:start:end of the fixed kinds, by the definition."""
+
+    def good(kind, m):
+        digits = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(int(x) <= 255 for x in m.split("."))
+        if kind == "card":
+            total = sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(int(x) for x in reversed(digits)))
+            return 14 <= len(digits) <= 19 and total % 10 == 0
+        return kind == "email" or 10 <= len(digits) <= 15
+
+    found = [(m.start(), i, m.end(), k) for i, (k, x) in enumerate(BASE_KINDS.items()) for m in re.finditer(x, text) if good(k, m.group())]
+    return [f"{k}:{a}:{b}" for a, _, b, k in sorted(found)]
+
+
+def test_fixed_kinds_against_their_definition(spark):
+    rng = random.Random(21)
+    bits = ["4111 1111 1111 1111", "4111-1111-1111-1112", "a.b@c.de", "x@y", "@", "1.2.3.4", "300.1.1.1", "1.2.3.4.5.6.7.8", "+1 (988) 555-2485", "+12", "é", "日本", "+44 20 7946 0958.", "12345678901234567890", "0", " ", ".", "-", "q@r.s.t@u.v"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", "  ", ","]) for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    rows = [(i + 1000, t) for i, t in enumerate(texts)] + [(1000, texts[0]), *ODD]
+    none = pii.learn_contexts(empty(spark))
+    got = pii.digest(pii.find(frame(spark, rows), none)).collect()
+    text_of = dict(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        want = base_of(text_of[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), text_of[r.doc_id]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k) for w in want) for k in BASE_KINDS]
+
+
+@pytest.mark.parametrize("most", [4096, 0])
+def test_patterns_of_words_and_long_values(spark, monkeypatch, most):
+    """Two words before seeds mark values that are no seeds; values go to their end; contexts in the plan or joined."""
+    monkeypatch.setattr(pii, "MOST", most)
+    rng = random.Random(4)
+    rows = [(i, f"{prose(4, rng)} account number 41{'%012d' % (i * 7919)} {prose(3, rng)}") for i in range(200)]
+    luhn = [(i, t) for i, t in rows if base_of(t)]
+    assert len(luhn) >= 3
+    key = "".join(rng.choice("0123456789abcdef") for _ in range(300))
+    docs = frame(spark, [*luhn, (900, f"{prose(3, rng)} account number ZX-55-81q thanks"), (901, "the number 12345678"), *((i + 1000, f"token = '{'%032x' % rng.getrandbits(128)}'") for i in range(5)), (902, f'token = "{key}"'), (903, "token = eyJhbGci.eyJzdWIi1" + "Aa.-_" * 60 + "z"), (902, f'token = "{key}"'), (None, "account number 77-abc")])
+    contexts = pii.learn_contexts(docs)
+    assert {(r.context, pii.KINDS[r.kind]) for r in contexts.collect()} == {("account number ", "card"), ("token='", "secret")} | ({("token=\"", "secret")} & set())
+    found = pii.find(docs, contexts)
+    got = {r.doc_id: r.spans for r in pii.digest(found).collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    cut = lambda i: [text[i][int(a) : int(b)] for _, a, b in (x.split(":") for x in got[i].split(",") if x)]
+    assert cut(900) == ["ZX-55-81q"] and cut(901) == [] and cut(None) == ["77-abc"]
+    assert all(cut(i + 1000) == [text[i + 1000][9:-1]] for i in range(5))
+    assert found.count() == docs.count()
 
 
 # --- 8
