@@ -4,6 +4,9 @@ A bounded sample gives a graph of nearest neighbours, which is cut into parts of
 them. A small network learns to tell a vector's part. It then deals every row of the table to its likeliest part, and
 each query to as many of its likeliest parts as a calibration on the sample asks for. Within parts, in blocks of
 bounded size, all candidates are compared and the best are scored again exactly.
+
+Vectors of other lengths than the most frequent one are parts of their own, each compared as a whole: inner products
+are of vectors of one length.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quietfield.llm.common import Scratch, read
@@ -22,7 +25,7 @@ from quietfield.llm.kernel import mix
 SAMPLE, NEIGHBOURS, RECALL = 8192, 10, 0.97
 TOP, EVERY = 20, 20
 PART_ROWS, LEAST_PARTS, MOST_PARTS = 4096, 8, 256
-BLOCK, QUERIES = 8192, 512
+BLOCK, QUERIES, AT_ONCE = 8192, 4096, 512
 
 
 def usable(x: Column) -> Column:
@@ -49,8 +52,8 @@ def balanced_parts(x: np.ndarray, near: np.ndarray, parts: int, sweeps: int = 20
     part = np.zeros(n, np.int32)
     groups = [np.arange(n)]
     while len(groups) < parts:
-        halves = []
-        for g in groups:
+        halves = groups[: max(2 * len(groups) - parts, 0)]  # when less than twice as many are wanted
+        for g in groups[len(halves) :]:
             y = x[g] - x[g].mean(0)
             v = np.random.default_rng(3).standard_normal(x.shape[1])
             for _ in range(10):
@@ -120,10 +123,11 @@ class Router:
 def fit(sample: np.ndarray, parts: int, recall: float = RECALL, top: int = TOP) -> tuple[Router | None, int]:
     """A router, and to how many parts a query goes for the recall wanted on held-out rows of the sample.
 
-    Nearest rows lie closer in the whole table than in its sample, so the sample is the harder case. A sample of less than
-    20 rows for each neighbour wanted is not cut at all.
+    Nearest rows lie closer in the whole table than in its sample, so the sample is the harder case. With less than 20 rows
+    for each neighbour wanted there is too little to calibrate on: queries go to all parts. A single part needs no router.
     """
-    if len(sample) < 20 * max(parts, top) or parts < 2:
+    parts = min(parts, len(sample) // (2 * NEIGHBOURS))
+    if parts < 2:
         return None, 1
     held = np.random.default_rng(4).permutation(len(sample))
     test, train = held[: min(512, len(sample) // 8)], held[min(512, len(sample) // 8) :]
@@ -132,6 +136,8 @@ def fit(sample: np.ndarray, parts: int, recall: float = RECALL, top: int = TOP)
     part = balanced_parts(x, near, parts)
     want = 0.5 * np.eye(parts)[part] + 0.5 * np.eye(parts)[part[near]].mean(1)
     router = Router(x, want)
+    if len(sample) < 20 * max(parts, top):
+        return router, parts
     home = router.order(x)[:, 0]
     s = sample[test] @ x.T
     k = min(top, len(x))
@@ -154,90 +160,103 @@ def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_of_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, score): the best of a block for each query, ties by id. ``cid`` is sorted.
-
-    Of equal vectors only the first top + 1 are looked at: no more can be among the best of any query.
-    """
+def few_of_each(c: np.ndarray, most: int) -> np.ndarray:
+    """Places of rows, of equal ones the first ``most``: no more can be among the best of any query."""
     h = mix((c.view(np.uint64) * mix(np.arange(1, c.shape[1] + 1, dtype=np.uint64))).sum(1))
     order = np.argsort(h, kind="stable")
     new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-    within = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    keep = np.sort(order[within <= top])
-    cid, c = cid[keep], c[keep]
+    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    within = np.arange(len(order)) - head
+    many = np.flatnonzero(within >= most)
+    many = many[(c[order[many]] == c[order[head[many]]]).all(1)]  # those of one hash may differ
+    return np.sort(np.delete(order, many))
+
+
+def best_of_block(qrow: np.ndarray, q: np.ndarray, crow: np.ndarray, cid: np.ndarray, c: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's row, candidate's place, score): the best of a block for each query, ties by id and row; not its own row."""
+    order = np.lexsort((crow, cid))
+    keep = order[few_of_each(c[order], top + 1)]
+    crow, c = crow[keep], c[keep]
     s = q @ c.T
-    at = np.searchsorted(cid, qid)
-    own = np.flatnonzero((at < len(cid)) & (cid[np.minimum(at, len(cid) - 1)] == qid))
-    s[own, at[own]] = -np.inf
+    by_row = np.argsort(crow)
+    at = np.searchsorted(crow[by_row], qrow)
+    own = np.flatnonzero((at < len(crow)) & (crow[by_row][np.minimum(at, len(crow) - 1)] == qrow))
+    s[own, by_row[at[own]]] = -np.inf
     k = min(top, s.shape[1])
     least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
     row, col = np.nonzero((s >= (least - 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0))))[:, None]) & np.isfinite(s))
     score = np.concatenate([exact(q[row[i : i + 65536]], c[col[i : i + 65536]]) for i in range(0, len(row), 65536)]) if len(row) else np.zeros(0)
-    order = np.lexsort((cid[col], -score, row))
+    order = np.lexsort((col, -score, row))  # columns stand by id and row
     row, col, score = row[order], col[order], score[order]
     first = np.searchsorted(row, np.arange(len(q)))
-    keep = np.arange(len(row)) - first[row] < top
-    return qid[row[keep]], cid[col[keep]], score[keep]
+    kept = np.arange(len(row)) - first[row] < top
+    return qrow[row[kept]], keep[col[kept]], score[kept]
 
 
 def nearest(table: DataFrame, queries: Column, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of table(vec_id, embedding) where ``queries`` holds, its nearest
     others by inner product.
 
-    Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id
-    or of another length than the most frequent one (the least, if several are). Of rows of one id the least counts.
+    Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id.
+    A vector's candidates are all other rows with a vector of its length, those of its own id included; of rows that are
+    repeated each has its own results. Ties go to the smaller vec_id.
     """
     spark = table.sparkSession
     scratch = Scratch(spark, "ann")
     x = F.transform("embedding", lambda v: v.cast("double"))
     rows = table.where("vec_id is not null").where(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
-    rows = scratch.write(rows.groupBy("vec_id").agg(F.min("x").alias("x")), "rows")
+    rows = scratch.write(rows.withColumn("row", F.monotonically_increasing_id()), "rows")  # written, so that numbers stay
     sizes = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    found = "query_id long, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d, n = sizes[0].d, sizes[0]["count"]
-    rows = rows.where(F.size("x") == d)
     parts = int(np.clip(2 ** round(np.log2(max(n / PART_ROWS, 1))), LEAST_PARTS, MOST_PARTS))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()["x"].combine_chunks()
+    sample = rows.where(F.size("x") == d).orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE).toArrow()["x"].combine_chunks()
     router, probes = fit(sample.flatten().to_numpy().reshape(-1, d), parts, top=top)
     sent = spark.sparkContext.broadcast((router, probes))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         router, probes = sent.value
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
-            order = router.order(x)[:, :probes] if router is not None else np.zeros((len(batch), 1), int)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], ["vec_id", "x", "parts"])
-
-    dealt = scratch.write(rows.mapInArrow(route, "vec_id long, x array<double>, parts array<int>"), "dealt")
-    asked = dealt.where(queries).select("vec_id", "x", F.explode("parts").alias("part"))
-    home = dealt.select("vec_id", "x", F.col("parts")[0].alias("part"))
-    many = {r.part: (r["count"], 0) for r in home.groupBy("part").count().collect()}
-    for r in asked.groupBy("part").count().collect():
-        many[r.part] = (many.get(r.part, (0, 0))[0], r["count"])
-    # Blocks of each part, on either side; a table of one entry for each part.
-    blocks = {p: (max(1, -(-c // BLOCK)), max(1, -(-q // QUERIES))) for p, (c, q) in many.items()}
-    table_of = lambda i: F.create_map(*[F.lit(v) for p, b in sorted(blocks.items()) for v in (p, b[i])])
-    cb, qb = table_of(0)[F.col("part")], table_of(1)[F.col("part")]
-    cut = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = asked.select("vec_id", "x", "part", cut(qb).alias("qb"), every(cb).alias("cb"))
-    right = home.select("vec_id", "x", "part", cut(cb).alias("cb"), every(qb).alias("qb"))
+            size = batch.column(1).value_lengths().to_numpy()
+            parts = [[-int(k)] for k in size]  # of another length: a part for each
+            mine = np.flatnonzero(size == d)
+            if len(mine):
+                x = batch.column(1).take(pa.array(mine)).flatten().to_numpy().reshape(len(mine), d)
+                order = router.order(x)[:, :probes] if router is not None else np.zeros((len(mine), 1), int)
+                for i, o in zip(mine.tolist(), order.tolist(), strict=True):
+                    parts[i] = o
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.int32()))], ["vec_id", "x", "row", "parts"])
+
+    dealt = scratch.write(rows.mapInArrow(route, "vec_id long, x array<double>, row long, parts array<int>"), "dealt")
+    asked = dealt.where(queries).select("vec_id", "x", "row", F.explode("parts").alias("part"))
+    home = dealt.select("vec_id", "x", "row", F.col("parts")[0].alias("part"))
+    # Blocks of each part, on either side.
+    size = home.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cbs")).join(asked.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qbs")), "part")
+    size = F.broadcast(scratch.write(size, "size", compact=True))  # a row for each part and for each other length
+    cut = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = [F.col(c).alias(c) for c in ("row", "vec_id", "x", "part")]  # by new names: both sides are of one table
+    left = asked.join(size, "part").select(*columns, cut("qbs").alias("qb"), every("cbs").alias("cb"))
+    right = home.join(size, "part").select(*columns, cut("cbs").alias("cb"), every("qbs").alias("qb"))
 
     def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        c = c.sort_values("vec_id")
-        a, b, s = best_of_block(q["vec_id"].to_numpy(), np.stack(q["x"].to_numpy()), c["vec_id"].to_numpy(), np.stack(c["x"].to_numpy()), top)
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
+        found = []
+        if len(q) and len(c):
+            crow, cid, cx = c["row"].to_numpy(), c["vec_id"].to_numpy(), np.stack(c["x"].to_numpy())
+            id_of = dict(zip(q["row"], q["vec_id"], strict=True))
+            for lo in range(0, len(q), AT_ONCE):
+                part = q.iloc[lo : lo + AT_ONCE]
+                a, b, s = best_of_block(part["row"].to_numpy(), np.stack(part["x"].to_numpy()), crow, cid, cx, top)
+                found.append(pd.DataFrame({"query_row": a, "query_id": [id_of[r] for r in a], "vec_id": cid[b], "row": crow[b], "score": s}))
+        return pd.concat(found) if found else pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "row": [], "score": []}).astype({"query_row": "int64", "query_id": "int64", "vec_id": "int64", "row": "int64"})
 
     keys = ("part", "qb", "cb")
-    each = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, found)
-    lists = each.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, top).alias("best"))
-    out = lists.select("query_id", F.posexplode("best").alias("k", "b"))
-    return out.select("query_id", (F.col("k") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    each = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_row long, query_id long, vec_id long, row long, score double")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest rows of every twentieth vector among all; its columns are those of the contract."""
     return nearest(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % EVERY == 0)
