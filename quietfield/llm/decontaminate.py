@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quietfield.llm.common import ship_code, read
 from quietfield.llm.kernel import PUNCTUATION, Lookup, Words, mix, text_pieces, whole, windows
 
-TILE, FEATURES, RANK, SEED = 64, 1 << 14, 32, 11
+TILE, FEATURES, RANK, SEED = 64, 1 << 14, 24, 11
 OVER = 6  # directions more than RANK in the test matrix
 COMMON, LEAST = 2.5, 0.05  # what is taken off a word's weight, and the least that is left
 GRAM = 5
@@ -202,8 +202,8 @@ def _running_sums(words: Words, f: np.ndarray, latent: np.ndarray) -> tuple[np.n
     return sums, fours
 
 
-def in_common(seen: np.ndarray, table: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """How many words each window has in common with its part, each counted as often as in both; FEATURES is no word."""
+def in_common(seen: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """How many words each window has in common with a part, each counted as often as in both; -1 is no word."""
     if not len(seen):
         return np.zeros(0, int)
     seen = np.sort(seen, axis=1)
@@ -211,8 +211,7 @@ def in_common(seen: np.ndarray, table: np.ndarray, part: np.ndarray) -> np.ndarr
     new[:, 1:] = seen[:, 1:] != seen[:, :-1]
     steps = np.arange(seen.shape[1])
     before = steps - np.maximum.accumulate(np.where(new, steps, 0), axis=1)  # how often the word stood before
-    have = table.take(np.minimum(seen, FEATURES - 1) + (part * FEATURES)[:, None])
-    return np.count_nonzero((seen < FEATURES) & (before < have), axis=1)
+    return np.count_nonzero((seen >= 0) & (before < have.take(seen, mode="clip")), axis=1)
 
 
 FOUND = "doc_id long, item_id long, lcs double, answer double"
@@ -239,26 +238,25 @@ def search(docs: DataFrame, items: Items, latent: np.ndarray) -> DataFrame:
                 at += words.first[:-1][doc]
                 end = np.minimum(at + size, words.first[1:][doc])
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                flat, steps, short = table.ravel(), np.arange(size), end - at < size
+                length = end - at
                 least = SHARED * np.minimum(table.sum(1, dtype=int), size)
-                for lo in range(0, len(v), 2048):
-                    row, part = np.nonzero(v[lo : lo + 2048] @ direction.T >= NEAR)
-                    row += lo
-                    for cut in range(0, len(row), 4096):
-                        r, p = row[cut : cut + 4096], part[cut : cut + 4096]
-                        place = at[r][:, None] + steps
-                        seen = f.take(place, mode="clip")
-                        hit = flat.take(seen + (p * FEATURES)[:, None]) > 0
-                        if short[r].any():
-                            hit &= place < end[r][:, None]
+                view = np.lib.stride_tricks.sliding_window_view(np.concatenate([f, np.zeros(size, f.dtype)]).astype(np.int16), size)
+                tile = max(256, (1 << 22) // len(direction))
+                for lo in range(0, len(v), tile):
+                    near = direction @ v[lo : lo + tile].T >= NEAR
+                    for p in np.flatnonzero(near.any(1)).tolist():
+                        rows = np.flatnonzero(near[p]) + lo
+                        seen = view[at[rows]]
+                        hit = (table[p] > 0).take(seen)
+                        if (length[rows] < size).any():
+                            hit &= np.arange(size) < length[rows][:, None]
                         good = np.flatnonzero(np.count_nonzero(hit, axis=1) >= least[p])
-                        good = good[in_common(np.where(hit[good], seen[good], FEATURES), flat, p[good]) >= least[p[good]]]
-                        for g in good.tolist():
-                            k = int(owner[p[g]])
-                            m = len(items.words[k])
-                            d = int(doc[r[g]])
-                            lo_word = max(int(at[r[g]]) - int(shift[p[g]]) - size // 2, int(words.first[d]))
-                            hi_word = min(int(at[r[g]]) - int(shift[p[g]]) + m + size, int(words.first[d + 1]))
+                        good = good[in_common(np.where(hit[good], seen[good], -1), table[p]) >= least[p]]
+                        k = int(owner[p])
+                        for r in rows[good].tolist():
+                            d = int(doc[r])
+                            lo_word = max(int(at[r]) - int(shift[p]) - size // 2, int(words.first[d]))
+                            hi_word = min(int(at[r]) - int(shift[p]) + int(items.size[k]) + size, int(words.first[d + 1]))
                             asked.setdefault((d, k), set()).add((lo_word, max(hi_word, lo_word)))
             for n, (lookup, first, owner, pos) in items.grams.items():
                 g = lookup(windows(h, n))
