@@ -601,6 +601,36 @@ def test_mixing(spark):
     assert all(r.rate >= 0 for r in mixing.mix_to_targets(docs, table.where("doc_id < 0")).collect())
 
 
+def test_rates_against_a_solver(spark):
+    """Squared distance to the targets as small as an exact solver's, ties and repeated rows among the documents."""
+    rng = np.random.default_rng(3)
+    for targets, sharp in (((0.75, 0.25, 0.0), 6.0), ((0.1, 0.2, 0.7), 2.0), ((0.5, 0.5, 0.0), 0.5)):
+        a = np.exp(sharp * rng.standard_normal((80, 3)))
+        a[40:60] = a[0]
+        post, tokens = a / a.sum(1, keepdims=True), rng.integers(0, 200, 80)
+        tokens[40:60] = tokens[0]
+        rows = [(i, i, int(t), *map(float, q)) for i, (t, q) in enumerate(zip(tokens, post, strict=True))]
+        table = spark.createDataFrame(rows, "doc_id long, version long, tokens long, " + ", ".join(f"p_{d} double" for d in mixing.DOMAINS))
+        rate, reached = mixing.rates(table, targets)
+        got = np.array([r.rate for r in table.select("doc_id", rate.alias("rate")).orderBy("doc_id").collect()])
+        w = tokens / tokens.sum()
+        assert (got >= 0).all() and np.allclose((w * got) @ post, reached, atol=1e-9)
+        r, step = np.ones(80), 1 / np.linalg.eigvalsh((post * w[:, None]).T @ post)[-1]
+        for _ in range(40_000):
+            r = np.maximum(0, r - step * post @ ((w * r) @ post - targets))
+        value = lambda x: float(((((w * x) @ post) - targets) ** 2).sum())
+        assert value(got) <= 1.1 * value(r) + 1e-6, (targets, value(got), value(r))
+
+
+def test_held_out_accuracy_of_domains(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    train, test = (labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0 if k else F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 0) for k in (0, 1))
+    model = mixing.fit(docs, train)
+    found = mixing.posteriors(docs, model).join(test.select("doc_id", mixing.domain(F.col("quality"), F.col("toxic")).alias("label")).where("label is not null"), "doc_id").collect()
+    right = [max(range(3), key=lambda k: r[f"p_{mixing.DOMAINS[k]}"]) == r.label for r in found]
+    assert len(right) > 50 and sum(right) >= 0.9 * len(right), (sum(right), len(right))
+
+
 # --- 10
 
 def greedy(hay: bytes, s: bytes) -> int:
