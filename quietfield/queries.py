@@ -31,12 +31,12 @@ sig AS (SELECT c.channel, r.h - b.lo AS t, coalesce(g.x, 0.0) AS x FROM (SELECT
   CROSS JOIN (SELECT unnest(range((SELECT lo FROM b), (SELECT hi + 1 FROM b))) AS h) r LEFT JOIN g ON g.channel = c.channel AND g.h = r.h),
 nn AS (SELECT max(t) + 1 AS n FROM sig)"""
 SMOOTH = HOURLY + ",\nsm AS (SELECT channel, t, x, avg(x) OVER (PARTITION BY channel ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS y FROM sig)"
-#: Periodograms of the first 600 hours before and after (the residual of the daily mean): bins 1..300.
+#: Periodograms of the whole length, before and after (the residual of the daily mean), between the bins 0 and n / 2.
 PSD = SMOOTH + """,
-bins AS (SELECT unnest(range(1, 300)) AS k),
-z AS (SELECT channel, k, sum(x * cos(2 * pi() * ((k * t) % 600) / 600)) AS xr, sum(x * sin(2 * pi() * ((k * t) % 600) / 600)) AS xi,
-  sum((x - y) * cos(2 * pi() * ((k * t) % 600) / 600)) AS yr, sum((x - y) * sin(2 * pi() * ((k * t) % 600) / 600)) AS yi FROM sm CROSS JOIN bins WHERE t < 600 GROUP BY 1, 2),
-p AS (SELECT channel, CAST(k AS BIGINT) AS k, k * 24.0 / 600 AS freq, 2 * (xr * xr + xi * xi) / (600 * 24) AS pb, 2 * (yr * yr + yi * yi) / (600 * 24) AS pa FROM z)"""
+bins AS (SELECT unnest(range(1, (SELECT CAST((n + 1) // 2 AS BIGINT) FROM nn))) AS k),
+z AS (SELECT channel, k, any_value(n) AS n, sum(x * cos(2 * pi() * ((k * t) % n) / n)) AS xr, sum(x * sin(2 * pi() * ((k * t) % n) / n)) AS xi,
+  sum((x - y) * cos(2 * pi() * ((k * t) % n) / n)) AS yr, sum((x - y) * sin(2 * pi() * ((k * t) % n) / n)) AS yi FROM sm CROSS JOIN bins CROSS JOIN nn GROUP BY 1, 2),
+p AS (SELECT channel, CAST(k AS BIGINT) AS k, n, k * 24.0 / n AS freq, 2 * (xr * xr + xi * xi) / (n * 24) AS pb, 2 * (yr * yr + yi * yi) / (n * 24) AS pa FROM z)"""
 
 
 def query(name: str, sql: str | None = None):
@@ -71,8 +71,8 @@ def smooth_pair(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def psd_pair(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     before, after = smooth_pair(spark, d)
-    bins = list(range(1, 300))
-    return tuple(spectral.power_at(s.where("t < 600"), 600, bins, 24.0) for s in (before, after))
+    n = hours(before)
+    return tuple(spectral.power_at(s, n, list(range(1, (n + 1) // 2)), 24.0) for s in (before, after))
 
 
 # --- windows -------------------------------------------------------------------------------------------------
@@ -472,31 +472,35 @@ def _(spark, d):
     return psd_pair(spark, d)[0].select("channel", r("freq", 6).alias("freq"), r("power", 3).alias("power"))
 
 
-@query("line_band_part", HOURLY + """, bins AS (SELECT unnest([25, 50]) AS k), z AS (SELECT channel, k, sum(x * cos(2 * pi() * ((k * t) % 600) / 600)) AS re, -sum(x * sin(2 * pi() * ((k * t) % 600) / 600)) AS im FROM sig CROSS JOIN bins WHERE t < 600 GROUP BY 1, 2)
-SELECT channel, t, round(sum(2 * (re * cos(2 * pi() * ((k * t) % 600) / 600) - im * sin(2 * pi() * ((k * t) % 600) / 600)) / 600), 3) + 0.0 AS x FROM sig JOIN z USING (channel) WHERE t < 600 GROUP BY 1, 2""")
+NEAREST = """bins AS (SELECT DISTINCT CAST(round(f * n / 24.0) AS BIGINT) AS k FROM nn CROSS JOIN (SELECT unnest([1, 2]) AS f))"""
+
+
+@query("line_band_part", HOURLY + f""", {NEAREST}, z AS (SELECT channel, k, sum(x * cos(2 * pi() * ((k * t) % n) / n)) AS re, -sum(x * sin(2 * pi() * ((k * t) % n) / n)) AS im FROM sig CROSS JOIN bins CROSS JOIN nn GROUP BY 1, 2)
+SELECT channel, t, round(sum(2 * (re * cos(2 * pi() * ((k * t) % n) / n) - im * sin(2 * pi() * ((k * t) % n) / n)) / n), 3) + 0.0 AS x FROM sig JOIN z USING (channel) CROSS JOIN nn GROUP BY 1, 2""")
 def _(spark, d):
-    sig = S.hourly(spark, d).where("t < 600")
-    return shown(spectral.band_part(sig, 600, spectral.line_bins(600, 24.0, [1.0, 2.0], 0.01)), "channel", "t", digits=3)
+    sig = S.hourly(spark, d)
+    n = hours(sig)
+    return shown(spectral.band_part(sig, n, spectral.line_bins(n, 24.0, [1.0, 2.0], 1e-6)), "channel", "t", digits=3)
 
 
-@query("line_band_bins", "SELECT CAST(k AS BIGINT) AS bin FROM (SELECT unnest(range(0, 301)) AS k) WHERE abs(k * 24.0 / 600 - 1) <= 0.1 OR abs(k * 24.0 / 600 - 2) <= 0.1")
+@query("line_band_bins", HOURLY + " SELECT CAST(k AS BIGINT) AS bin FROM nn CROSS JOIN (SELECT unnest(range(0, 100000)) AS k) WHERE k <= n // 2 AND (abs(k * 24.0 / n - 1) <= 0.11 OR abs(k * 24.0 / n - 2) <= 0.11)")
 def _(spark, d):
-    return spark.createDataFrame([(b,) for b in spectral.line_bins(600, 24.0, [1.0, 2.0], 0.1)], "bin long")
+    return spark.createDataFrame([(b,) for b in spectral.line_bins(hours(S.hourly(spark, d)), 24.0, [1.0, 2.0], 0.11)], "bin long")
 
 
-@query("peak_attenuation_db", PSD + " SELECT channel, round(10 * log10(max(pb) / max(pa)), 4) + 0.0 AS db FROM p WHERE freq BETWEEN 0.9 AND 1.1 GROUP BY 1")
+@query("peak_attenuation_db", PSD + " SELECT channel, round(10 * log10(max(pb) / max(pa)), 4) + 0.0 AS db FROM p WHERE freq BETWEEN 0.89 AND 1.11 GROUP BY 1")
 def _(spark, d):
-    return shown(qa.peak_attenuation(*psd_pair(spark, d), 1.0, 0.1), "channel")
+    return shown(qa.peak_attenuation(*psd_pair(spark, d), 1.0, 0.11), "channel")
 
 
-@query("suppression_ratio", PSD + " SELECT round(10 * log10(avg(pb) / avg(pa)), 4) + 0.0 AS db FROM p WHERE freq BETWEEN 0.9 AND 1.1")
+@query("suppression_ratio", PSD + " SELECT round(10 * log10(avg(pb) / avg(pa)), 4) + 0.0 AS db FROM p WHERE freq BETWEEN 0.89 AND 1.11")
 def _(spark, d):
-    return shown(qa.suppression_ratio(*psd_pair(spark, d), 1.0, 0.1))
+    return shown(qa.suppression_ratio(*psd_pair(spark, d), 1.0, 0.11))
 
 
-@query("noise_surround_ratio", PSD + " SELECT channel, round(avg(CASE WHEN freq BETWEEN 0.9 AND 1.1 THEN pb END) / avg(CASE WHEN freq BETWEEN 0.5 AND 1.5 AND NOT freq BETWEEN 0.9 AND 1.1 THEN pb END), 4) + 0.0 AS ratio FROM p GROUP BY 1")
+@query("noise_surround_ratio", PSD + " SELECT channel, round(avg(CASE WHEN freq BETWEEN 0.89 AND 1.11 THEN pb END) / avg(CASE WHEN freq BETWEEN 0.49 AND 1.51 AND NOT freq BETWEEN 0.89 AND 1.11 THEN pb END), 4) + 0.0 AS ratio FROM p GROUP BY 1")
 def _(spark, d):
-    return shown(qa.noise_surround(psd_pair(spark, d)[0], 1.0, 0.1, 0.5), "channel")
+    return shown(qa.noise_surround(psd_pair(spark, d)[0], 1.0, 0.11, 0.51), "channel")
 
 
 @query("below_noise_distortion_db", PSD + " SELECT round(10 * avg(abs(log10(pa / pb))), 4) + 0.0 AS db FROM p WHERE freq BETWEEN 0.45 AND 6.01 AND NOT freq BETWEEN 0.75 AND 1.25 AND NOT freq BETWEEN 1.75 AND 2.25")
@@ -509,14 +513,14 @@ def _(spark, d):
     return shown(qa.spectral_distortion(*psd_pair(spark, d), 1.0, 2, 0.075, 0.45, 6.01))
 
 
-@query("overclean_proportion", PSD + ", c AS (SELECT channel, 10 * log10(avg(pb) / avg(pa)) AS db FROM p WHERE freq BETWEEN 0.7 AND 1.3 AND NOT freq BETWEEN 0.9 AND 1.1 GROUP BY 1) SELECT round(avg(CASE WHEN db > 3 THEN 1.0 ELSE 0.0 END), 4) + 0.0 AS share FROM c")
+@query("overclean_proportion", PSD + ", c AS (SELECT channel, 10 * log10(avg(pb) / avg(pa)) AS db FROM p WHERE freq BETWEEN 0.67 AND 1.33 AND NOT freq BETWEEN 0.89 AND 1.11 GROUP BY 1) SELECT round(avg(CASE WHEN db > 3 THEN 1.0 ELSE 0.0 END), 4) + 0.0 AS share FROM c")
 def _(spark, d):
-    return shown(qa.overclean(*psd_pair(spark, d), 1.0, 0.1))
+    return shown(qa.overclean(*psd_pair(spark, d), 1.0, 0.11))
 
 
-@query("underclean_proportion", PSD + ", c AS (SELECT channel, avg(CASE WHEN freq BETWEEN 0.9 AND 1.1 THEN pa END) / avg(CASE WHEN freq BETWEEN 0.5 AND 1.5 AND NOT freq BETWEEN 0.9 AND 1.1 THEN pa END) AS ratio FROM p GROUP BY 1) SELECT round(avg(CASE WHEN ratio > 1 THEN 1.0 ELSE 0.0 END), 4) + 0.0 AS share FROM c")
+@query("underclean_proportion", PSD + ", c AS (SELECT channel, avg(CASE WHEN freq BETWEEN 0.89 AND 1.11 THEN pa END) / avg(CASE WHEN freq BETWEEN 0.49 AND 1.51 AND NOT freq BETWEEN 0.89 AND 1.11 THEN pa END) AS ratio FROM p GROUP BY 1) SELECT round(avg(CASE WHEN ratio > 1 THEN 1.0 ELSE 0.0 END), 4) + 0.0 AS share FROM c")
 def _(spark, d):
-    return shown(qa.underclean(psd_pair(spark, d)[1], 1.0, 0.1, 0.5, 1.0))
+    return shown(qa.underclean(psd_pair(spark, d)[1], 1.0, 0.11, 0.51, 1.0))
 
 
 @query("geometric_mean_psd_ratio", PSD + " SELECT round(exp(avg(ln(pa / pb))), 5) + 0.0 AS ratio FROM p WHERE freq BETWEEN 0.45 AND 6.01")
@@ -539,12 +543,12 @@ def _(spark, d):
     return shown(qa.max_change(*smooth_pair(spark, d)))
 
 
-@query("quality_summary", PSD + """, v AS (SELECT channel, var_pop(x - y) / var_pop(x) AS ratio FROM sm GROUP BY 1), a AS (SELECT channel, 10 * log10(max(pb) / max(pa)) AS db FROM p WHERE freq BETWEEN 0.9 AND 1.1 GROUP BY 1),
-s AS (SELECT channel, avg(CASE WHEN freq BETWEEN 0.9 AND 1.1 THEN pa END) / avg(CASE WHEN freq BETWEEN 0.75 AND 1.25 AND NOT freq BETWEEN 0.9 AND 1.1 THEN pa END) AS ratio FROM p GROUP BY 1)
+@query("quality_summary", PSD + """, v AS (SELECT channel, var_pop(x - y) / var_pop(x) AS ratio FROM sm GROUP BY 1), a AS (SELECT channel, 10 * log10(max(pb) / max(pa)) AS db FROM p WHERE freq BETWEEN 0.89 AND 1.11 GROUP BY 1),
+s AS (SELECT channel, avg(CASE WHEN freq BETWEEN 0.89 AND 1.11 THEN pa END) / avg(CASE WHEN freq BETWEEN 0.725 AND 1.275 AND NOT freq BETWEEN 0.89 AND 1.11 THEN pa END) AS ratio FROM p GROUP BY 1)
 SELECT 'variance_removed' AS metric, round(100 * (1 - var_pop(x - y) / var_pop(x)), 4) + 0.0 AS value FROM sm UNION ALL SELECT 'rms_change', round(sqrt(avg(y * y)), 4) + 0.0 FROM sm UNION ALL SELECT 'max_change', round(max(abs(y)), 4) + 0.0 FROM sm
 UNION ALL SELECT 'variance_ratio', round(median(ratio), 4) + 0.0 FROM v UNION ALL SELECT 'geometric_ratio', round(exp(avg(ln(pa / pb))), 4) + 0.0 FROM p UNION ALL SELECT 'attenuation_1', round(median(db), 4) + 0.0 FROM a UNION ALL SELECT 'surround_1', round(median(ratio), 4) + 0.0 FROM s""")
 def _(spark, d):
-    return shown(qa.summary(*smooth_pair(spark, d), *psd_pair(spark, d), 1.0, 0, 0.1), "metric")
+    return shown(qa.summary(*smooth_pair(spark, d), *psd_pair(spark, d), 1.0, 0, 0.11), "metric")
 
 
 @query("log_power", PSD + ", f AS (SELECT max(pb) * 1e-20 AS f FROM p) SELECT round(freq, 6) + 0.0 AS freq, round(avg(10 * log10(greatest(pb, f))), 4) + 0.0 AS db FROM p CROSS JOIN f GROUP BY 1")
@@ -552,11 +556,11 @@ def _(spark, d):
     return spectral.log_power(psd_pair(spark, d)[0]).select(r("freq", 6).alias("freq"), r("db").alias("db"))
 
 
-LOGS = PSD + ", lg AS (SELECT k, k * 24.0 / 600 AS freq, avg(10 * log10(pb)) AS db FROM p GROUP BY 1, 2)"
+LOGS = PSD + ", lg AS (SELECT k, freq, avg(10 * log10(pb)) AS db FROM p GROUP BY 1, 2)"
 
 
-@query("noise_frequencies", LOGS + """, m AS (SELECT a.k, a.db AS peak, avg(CASE WHEN abs(a.k - b.k) > 12.5 THEN b.db END) AS around, max(b.db) AS top FROM lg a JOIN lg b ON abs(a.k - b.k) <= 37.5 WHERE a.k BETWEEN 10 AND 280 GROUP BY 1, 2)
-SELECT round(k * 24.0 / 600, 6) + 0.0 AS freq, round(peak, 4) + 0.0 AS db, round(around, 4) + 0.0 AS around FROM m WHERE peak = top AND peak > around + 2""")
+@query("noise_frequencies", LOGS + """, m AS (SELECT a.k, a.db AS peak, any_value(a.freq) AS freq, avg(CASE WHEN abs(a.freq - b.freq) > 3.0001 / 6 THEN b.db END) AS around, max(b.db) AS top FROM lg a JOIN lg b ON abs(a.freq - b.freq) <= 3.0001 / 2 WHERE a.freq BETWEEN 0.399 AND 11.201 GROUP BY 1, 2)
+SELECT round(freq, 6) + 0.0 AS freq, round(peak, 4) + 0.0 AS db, round(around, 4) + 0.0 AS around FROM m WHERE peak = top AND peak > around + 2""")
 def _(spark, d):
     found = spectral.noise_frequencies(spectral.log_power(psd_pair(spark, d)[0]), 0.399, 11.201, 3.0001, 2.0)
     return found.select(r("freq", 6).alias("freq"), r("db").alias("db"), r("around").alias("around"))
@@ -669,9 +673,9 @@ def _(spark, d):
     return out.select("channel", r("freq", 6).alias("freq"), r("before").alias("before"), r("after").alias("after"))
 
 
-@query("harmonic_attenuation", PSD + " SELECT CAST(h AS BIGINT) AS harmonic, channel, round(10 * log10(max(pb) / max(pa)), 4) + 0.0 AS db FROM p CROSS JOIN (SELECT unnest([1, 2, 3]) AS h) WHERE freq BETWEEN h - 0.1 AND h + 0.1 GROUP BY 1, 2")
+@query("harmonic_attenuation", PSD + " SELECT CAST(h AS BIGINT) AS harmonic, channel, round(10 * log10(max(pb) / max(pa)), 4) + 0.0 AS db FROM p CROSS JOIN (SELECT unnest([1, 2, 3]) AS h) WHERE freq BETWEEN h - 0.11 AND h + 0.11 GROUP BY 1, 2")
 def _(spark, d):
-    return shown(views.harmonic_attenuation(*psd_pair(spark, d), 1.0, 3, 0.1), "harmonic", "channel")
+    return shown(views.harmonic_attenuation(*psd_pair(spark, d), 1.0, 3, 0.11), "harmonic", "channel")
 
 
 # --- estimators (no SQL) -------------------------------------------------------------------------------------
