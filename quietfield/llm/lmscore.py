@@ -151,8 +151,9 @@ def _summed(each: DataFrame) -> tuple[np.ndarray, int]:
         tasks = -(-tasks // SUMS)
         each = each.repartition(tasks).mapInArrow(_sum, WEIGHTS)
     total, seen = np.zeros(1), 0
-    for r in each.toLocalIterator():
-        total, seen = total + np.array(r.w), seen + r.n
+    for batch in each.toArrow().to_batches():
+        for x in _sum(iter([batch])):
+            total, seen = total + x.column(1)[0].values.to_numpy(), seen + x.column(0)[0].as_py()
     return total, seen
 
 
