@@ -138,6 +138,16 @@ def sosfiltfilt(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     return y[pad : pad + len(x)] if pad > 0 else y
 
 
+def memory(*denominators: np.ndarray, left: float = 1e-13, least: int = 64) -> int:
+    """Samples after which recursive filters one after another have forgotten all but ``left`` of what was before. Several
+    sections near one pole forget more slowly than one of them: each adds its own time."""
+    total = 0
+    for a in denominators:
+        slowest = max(np.abs(np.roots(a)), default=0.0)
+        total += int(np.ceil(np.log(left) / np.log(min(max(slowest, 1e-6), 1 - 1e-9))))
+    return max(total, least)
+
+
 def peak_filter(freq: float, q: float, rate: float) -> tuple[np.ndarray, np.ndarray]:
     w = 2 * np.pi * freq / rate
     g = 1 / (1 + math.tan(w / q / 2))

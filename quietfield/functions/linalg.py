@@ -119,33 +119,72 @@ def neighbour_weights(cov: np.ndarray, neighbours: int = 0, skip: int = 0, rcond
     return out
 
 
+def prediction_errors(a: np.ndarray) -> np.ndarray:
+    """Rows that leave of each channel what a regression on all others does not give, by the inverse of a regularised
+    covariance: its row, at 1 for the channel itself."""
+    p = np.linalg.inv(a)
+    return p / np.diag(p)[:, None]
+
+
+def sensor_noise(gram: np.ndarray, ridge: float | None = None) -> np.ndarray:
+    """Deviation of each channel from its prediction by all others; the ridge is the mean power unless given."""
+    e = prediction_errors(gram + (np.mean(np.diag(gram)) if ridge is None else ridge) * np.eye(len(gram)))
+    return np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", e, gram, e), 1e-300))
+
+
+def _whitened_model(model: np.ndarray, noise: np.ndarray, lam: float, without: int | None = None) -> np.ndarray:
+    """The model's covariance in units of noise, with a ridge of ``lam`` of its mean power (of the other channels)."""
+    g = model / np.outer(noise, noise)
+    power = np.delete(np.diag(g), without) if without is not None else np.diag(g)
+    return g + lam * power.mean() * np.eye(len(g))
+
+
 def sound(gram: np.ndarray, lead: np.ndarray, lam: float = 0.1, rounds: int = 5, seed: int = 0, tol: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(operator, noise) of the source-informed Wiener estimate; gram is the data's mean x x'."""
-    n, rng = len(gram), np.random.default_rng(seed)
-    ll = lead @ lead.T
-    ridge = np.mean(np.diag(gram))
-    sigma = np.empty(n)
-    for i in range(n):
-        o = [j for j in range(n) if j != i]
-        b = np.linalg.solve(gram[np.ix_(o, o)] + ridge * np.eye(n - 1), gram[o, i])
-        f = np.eye(n)[i].copy()
-        f[o] = -b
-        sigma[i] = np.sqrt(max(f @ gram @ f, 1e-300))
+    """(operator, noise) of the source-informed Wiener estimate; gram is the data's mean x x'.
+
+    In each round every channel, in random order, is predicted from the others by minimum norm sources with the noise
+    known so far; what is left is its noise from then on.
+    """
+    rng, model = np.random.default_rng(seed), lead @ lead.T
+    noise = sensor_noise(gram)
     for _ in range(rounds):
-        old = sigma.copy()
-        for i in rng.permutation(n):
-            o = np.array([j for j in range(n) if j != i])
-            w = 1 / sigma[o]
-            g = ll[np.ix_(o, o)] * np.outer(w, w)
-            m = np.linalg.solve(g + lam * np.trace(g) / (n - 1) * np.eye(n - 1), w * ll[o, i])
-            f = np.eye(n)[i].copy()
-            f[o] = -m * w
-            sigma[i] = np.sqrt(max(f @ gram @ f, 1e-300))
-        if tol is not None and np.max(np.abs(sigma - old) / old) < tol:
+        before = noise.copy()
+        for i in rng.permutation(len(gram)):
+            e = prediction_errors(_whitened_model(model, noise, lam, i))[i] / noise * noise[i]
+            noise[i] = np.sqrt(max(e @ gram @ e, 1e-300))
+        if tol is not None and (abs(noise / before - 1) < tol).all():
             break
-    w = 1 / sigma
-    g = ll * np.outer(w, w)
-    return (ll * w) @ np.linalg.solve(g + lam * np.trace(g) / n * np.eye(n), np.diag(w)), sigma
+    return model / noise @ np.linalg.inv(_whitened_model(model, noise, lam)) / noise, noise
+
+
+def sound_with_best_reference(gram: np.ndarray, lead: np.ndarray, lam: float = 0.1, rounds: int = 5, seed: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """(operator, noise, channel): data and lead field are referred to the channel of least noise, and the result to
+    the mean of all channels, as one operator."""
+    n = len(gram)
+    best = int(sensor_noise(gram).argmin())
+    refer = np.eye(n) - np.eye(n)[best][None]
+    others = np.delete(np.arange(n), best)  # the reference itself is flat
+    r = refer[others]
+    m, noise = sound(r @ gram @ r.T, r @ lead, lam, rounds, seed)
+    back = np.zeros((n, n - 1))
+    back[others] = np.eye(n - 1)
+    return (np.eye(n) - 1 / n) @ back @ m @ r, noise, best
+
+
+def riemannian_eigenspace(c: np.ndarray, alpha: float = 1.0, reg: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+    """Rising eigenvalues and directions of c + alpha diag(c^-1 1): the nonlinear eigenspace's first approximation."""
+    c = spd_map(c, lambda v: v, reg)
+    m = c + alpha * np.diag(np.linalg.inv(c).sum(1))
+    return np.linalg.eigh((m + m.T) / 2)
+
+
+def unit_columns(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=0), 1e-300)
+
+
+def to_sensor_space(filters: np.ndarray, patterns: np.ndarray, whitener: np.ndarray, dewhitener: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Filters and patterns of whitened data as those of the sensors."""
+    return filters @ whitener, dewhitener @ patterns
 
 
 def spherical_points(n: int) -> np.ndarray:
@@ -204,25 +243,39 @@ def ssa_clean(x: np.ndarray, rate: float, window: int | None = None, drop_below:
     return x - parts[drop].sum(0)
 
 
+def subspace_of(y: np.ndarray) -> tuple[np.ndarray, int]:
+    """Rows as they are in the mean and the leading directions of all rows, as many as take the least description."""
+    mean = y.mean(0)
+    values, directions = descending(np.cov(y.T, bias=True))
+    order = description_length(values, len(y))
+    keep = directions[:, :order]
+    return mean + (y - mean) @ keep @ keep.T, order
+
+
+def cluster_part(rows: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, bool]:
+    """What each cluster of rows holds in few directions, and whether every cluster has few: at most half of a row."""
+    part, few = np.empty_like(rows), True
+    for j in np.unique(label):
+        part[label == j], order = subspace_of(rows[label == j])
+        few &= 2 * order <= rows.shape[1]
+    return part, few
+
+
 def local_ssa_clean(x: np.ndarray, window: int | None = None, rate: float | None = None, clusters: int | None = None, seed: int = 0) -> np.ndarray:
-    """Without what clusters of lag vectors hold in few directions (by description length)."""
+    """Without what clusters of lag vectors hold in few directions; with the most clusters that are large enough for
+    their directions and need few of them, down to one. A number given is taken if its clusters are large enough."""
     from quietfield.functions.kernels import kmeans
 
     size = ssa_window(len(x), rate, window)
-    rows = np.lib.stride_tricks.sliding_window_view(x, size)
-    for k in [clusters] if clusters else range(max(1, min(10, len(rows) // size)), 0, -1):
-        label = kmeans(rows, k, seed)
-        groups = [np.flatnonzero(label == j) for j in range(k)]
-        if k > 1 and min(map(len, groups)) < size:
-            continue
-        artifact, ok = np.zeros(rows.shape), True
-        for g in groups:
-            y = rows[g]
-            mean = y.mean(0)
-            v, u = descending((y - mean).T @ (y - mean) / len(g))
-            p = description_length(v, len(g))
-            ok &= p <= size // 2
-            artifact[g] = (y - mean) @ u[:, :p] @ u[:, :p].T + mean
-        if ok or k == 1 or clusters:
-            return x - diagonal_mean(artifact.T)
-    return x.copy()
+    rows = np.lib.stride_tricks.sliding_window_view(x, size).astype(float)
+
+    def parts():
+        for k in (clusters,) if clusters else range(max(1, min(10, len(rows) // size)), 0, -1):
+            label = kmeans(rows, k, seed)
+            if k == 1 or np.bincount(label, minlength=k).min() >= size:
+                part, few = cluster_part(rows, label)
+                if few or k == 1 or clusters:
+                    yield part
+
+    part = next(parts(), None)
+    return x.copy() if part is None else x - diagonal_mean(part.T)

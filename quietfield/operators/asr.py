@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -56,9 +56,10 @@ def clean_windows(signal: DataFrame, rate: float, n: int, length: float = 1.0, o
     return table, kept
 
 
-def calibrate(signal: DataFrame, rate: float, n: int, cutoff: float = 20.0, length: float = 0.5, overlap: float = 0.66, block: int = 10, filtered: bool = True, select_clean: bool = True, reference: DataFrame | None = None) -> State:
+def calibrate(signal: DataFrame, rate: float, n: int, cutoff: float = 20.0, length: float = 0.5, overlap: float = 0.66, block: int = 10, filtered: bool = True, select_clean: bool = True, reference: DataFrame | None = None, mean: str = "median") -> State:
     """Mixing: root of the geometric median of block covariances of clean, filtered data. Thresholds: mean plus ``cutoff``
-    deviations of each component's amplitude. With a ``reference`` (t, kept), its samples are the clean data."""
+    deviations of each component's amplitude. With a ``reference`` (t, kept), its samples are the clean data. ``mean`` is
+    "median" or "karcher", the affine-invariant mean."""
     names = channels_of(signal)
     kept = signal
     if reference is not None:
@@ -72,21 +73,12 @@ def calibrate(signal: DataFrame, rate: float, n: int, cutoff: float = 20.0, leng
         kept = kept.join(order, "t").select("channel", F.col("k").alias("t"), "x")
     m = kept.agg((F.max("t") + 1).alias("n")).first().n
     b, a = K.shaping_filter(rate) if filtered and rate > 8 else (np.array([1.0]), np.array([1.0]))
-    if len(b) > 1:
-        from quietfield.operators.spectral import per_channel
-
-        kept = per_channel(kept, lambda x: K.lfilter(b, a, x)[0])
-    cov = _median_covariance(block_covariances(kept, block, m), names)
+    kept = _filtered(kept, State(names, np.eye(1), np.eye(1), b, a))
+    blocks = block_covariances(kept, block, m)
+    cov = _median_covariance(blocks, names) if mean == "median" else _karcher_covariance(blocks, names)
     mixing = L.spd_map(cov, np.sqrt, 1e-8)
-    v, u = np.linalg.eigh((mixing + mixing.T) / 2)
-    from quietfield.plans.model import apply_long
-
-    comps = apply_long(kept, u.T, None, [f"c{k:03d}" for k in range(len(names))])
-    size = half_up(length * rate)
-    starts = windows.fractional_starts(m, size, overlap) or [0]
-    rms = windows.window_rms(comps, starts, min(size, m))
-    limits = {r.channel: (r.mu, r.sigma) for r in rms.groupBy("channel").applyInPandas(lambda f: pd.DataFrame({"channel": f["channel"].iloc[:1], "mu": [K.fit_rms(f["rms"].to_numpy())[0]], "sigma": [K.fit_rms(f["rms"].to_numpy())[1]]}), "channel string, mu double, sigma double").collect()}
-    bounds = np.array([limits[f"c{k:03d}"][0] + cutoff * limits[f"c{k:03d}"][1] for k in range(len(names))])
+    u = np.linalg.eigh((mixing + mixing.T) / 2)[1]
+    bounds = component_limits(kept, u, m, half_up(length * rate), overlap, cutoff)
     return State(names, mixing, bounds[:, None] * u.T, b, a, bounds)
 
 
@@ -100,47 +92,83 @@ def _renumbered(kept: DataFrame, cell: int = 1 << 16) -> DataFrame:
     return ts.withColumn("r", rank).join(F.broadcast(counts.select("cell", "before")), "cell").select("t", (F.col("before") + F.col("r")).alias("k"))
 
 
-def _median_covariance(blocks: DataFrame, names: list[str], rounds: int = 64, tol: float = 1e-7, few: int = 4096) -> np.ndarray:
-    """Weiszfeld's iteration over a table of blocks: distances and weighted sums are one pass each round. A table of at
-    most ``few`` blocks is worked out on the driver."""
-    wide = blocks.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("ci", "cj", "v"))), lambda s: s["v"]).alias("v")).persist()
-    c = len(names)
-    head = wide.limit(few + 1).collect()
-    if len(head) <= few:
-        wide.unpersist()
-        return L.geometric_median(np.array([r.v for r in sorted(head, key=lambda r: r.block)]).reshape(-1, c, c))
-    mean = lambda w: [r.v for r in wide.select(w.alias("w"), F.posexplode("v").alias("k", "v")).groupBy("k").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v")).orderBy("k").collect()]
-    m = np.array(mean(F.lit(1.0)))
-    for _ in range(rounds):
-        at = F.array(*[F.lit(float(x)) for x in m])
-        d = F.sqrt(F.aggregate(F.zip_with("v", at, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-        new = np.array(mean(1 / F.greatest(d, F.lit(1e-12 * max(np.linalg.norm(m), 1e-300)))))
-        done = np.linalg.norm(new - m) <= tol * np.linalg.norm(m)
-        m = new
-        if done:
-            break
-    wide.unpersist()
-    return m.reshape(c, c)
-
-
-def repair(x: np.ndarray, state: State, cov: np.ndarray, most: float = 0.66, weights=None) -> tuple[np.ndarray, bool]:
-    """The operator for one window's covariance, and whether it leaves the data alone."""
-    v, u = np.linalg.eigh(cov)
+def _blocks_as_rows(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("ci", "cj", "v"))), lambda s: s["v"]).alias("v"))
+
+
+def _folded(rows: DataFrame, c: int, make) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over blocks of weight times make(matrices) -> (weights, matrices): one pass, a row of sums for each task."""
+
+    def run(frames):
+        total, weight = np.zeros(c * c), 0.0
+        for f in frames:
+            if len(f):
+                w, m = make(np.stack(f["v"].to_numpy()).astype(float).reshape(-1, c, c))
+                total, weight = total + (w[:, None, None] * m).sum(0).ravel(), weight + w.sum()
+        yield pd.DataFrame({"k": np.arange(c * c), "s": total, "w": weight})
+
+    found = rows.select("v").mapInPandas(run, "k int, s double, w double").groupBy("k").agg(F.sum("s").alias("s"), F.sum("w").alias("w")).orderBy("k").toPandas()
+    return found["s"].to_numpy().reshape(c, c), float(found["w"].iloc[0])
+
+
+def _median_covariance(blocks: DataFrame, names: list[str], rounds: int = 128, tol: float = 1e-7) -> np.ndarray:
+    """Geometric median by Weiszfeld's iteration over a table of blocks: a pass each round, whatever their number."""
+    c, rows = len(names), _blocks_as_rows(blocks).persist()
+    try:
+        s, w = _folded(rows, c, lambda m: (np.ones(len(m)), m))
+        now = s / w
+        for _ in range(rounds):
+            floor = 1e-12 * max(np.linalg.norm(now), 1e-300)
+            s, w = _folded(rows, c, lambda m, now=now, floor=floor: (1 / np.maximum(np.linalg.norm(m - now, axis=(1, 2)), floor), m))
+            before, now = now, s / w
+            if np.linalg.norm(now - before) <= tol * max(np.linalg.norm(before), 1e-300):
+                break
+    finally:
+        rows.unpersist()
+    return now
+
+
+def _karcher_covariance(blocks: DataFrame, names: list[str], rounds: int = 32, tol: float = 1e-7) -> np.ndarray:
+    """Affine-invariant mean over a table of blocks: tangent vectors are averaged in a pass each round."""
+    c, rows = len(names), _blocks_as_rows(blocks).persist()
+    try:
+        s, w = _folded(rows, c, lambda m: (np.ones(len(m)), m))
+        now = s / w
+        for _ in range(rounds):
+            h, ih = L.spd_map(now, np.sqrt), L.spd_map(now, lambda v: 1 / np.sqrt(v))
+            s, w = _folded(rows, c, lambda m, ih=ih: (np.ones(len(m)), np.stack([L.spd_log(ih @ x @ ih) for x in m])))
+            v, u = np.linalg.eigh(s / w)
+            now = h @ ((u * np.exp(v)) @ u.T) @ h
+            if np.linalg.norm(s / w) < tol:
+                break
+    finally:
+        rows.unpersist()
+    return now
+
+
+def repair(state: State, space: tuple[np.ndarray, np.ndarray], most: float = 0.66, weights=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(operator, kept directions, their limits) for one window, given by its variances and directions."""
+    v, u = space
     c = len(v)
     limit = ((state.thresholds @ u) ** 2).sum(0)
     keep = (v < limit) | (np.arange(c) < c - half_up(most * c))
     if keep.all():
-        return np.eye(c), True
+        return np.eye(c), keep, limit
     r = state.mixing @ np.linalg.pinv(keep[:, None] * (u.T @ state.mixing)) @ u.T
     if weights is not None:
         w = weights(v, u, limit, keep)
         r = (u * w) @ u.T + (u * (1 - w)) @ u.T @ r
-    return np.real(r), False
+    return np.real(r), keep, limit
+
 
+LOG = "start long, stop long, n_reconstructed int, applied boolean, variances array<double>, limits array<double>, weights array<double>"
 
-def process(signal: DataFrame, state: State, rate: float, n: int, length: float = 0.5, step: int | None = None, most: float = 0.66, chunk: int = 1 << 15, weights=None) -> DataFrame:
+
+def process(signal: DataFrame, state: State, rate: float, n: int, length: float = 0.5, step: int | None = None, most: float = 0.66, chunk: int = 1 << 15, weights=None, log: bool = False) -> DataFrame:
     """The repaired signal. Chunks of time are tasks of their own: an update sees only the last window of the filtered
-    stream, and the blend only the update before, so a margin of both (and of the filter's memory) is all they need."""
+    stream, and the blend only the update before, so a margin of both (and of the filter's memory) is all they need.
+    Nothing is carried from call to call: every call starts anew. With ``log``, what was done instead of the signal:
+    a row (LOG) for each update, with the span that it governs."""
     c = len(state.channels)
     size = max(half_up(length * rate), half_up(1.5 * c))
     step = step or max(1, size // 2)
@@ -168,12 +196,17 @@ def process(signal: DataFrame, state: State, rate: float, n: int, length: float
         out = x[:, [at[k] for k in range(start, stop)]].copy()
         sums = np.concatenate([np.zeros((1, c, c)), np.cumsum(np.einsum("it,jt->tij", s, s), 0)]) if s.shape[1] * c * c < 4e7 else None
         last, trivial = np.eye(c), True
-        done = None
+        done, rows = None, []
         for m in marks:
             hi = at.get(min(m + ahead, int(t[-1])), len(t) - 1) + 1
             a = max(hi - size, 0)
             cov = ((sums[hi] - sums[a]) if sums is not None else s[:, a:hi] @ s[:, a:hi].T) / size
-            r, own = repair(x, st, cov, most, weights)
+            space = np.linalg.eigh(cov)
+            r, keep, limit = repair(st, space, most, weights)
+            own = bool(keep.all())
+            if log and done is not None and start < m <= stop + (step if stop == n else 0) and done < n:
+                soft = np.where(keep, 1.0, 0.0) if weights is None else weights(*space, limit, keep)
+                rows.append((max(done, 0), min(m, n), int((~keep).sum()), not (own and trivial), space[0].tolist(), limit.tolist(), soft.tolist()))
             if done is not None:
                 a, b = max(done, start), min(m, stop)
                 if b > a and not (own and trivial):
@@ -181,10 +214,63 @@ def process(signal: DataFrame, state: State, rate: float, n: int, length: float
                     part = x[:, [at[k] for k in range(a, b)]]
                     out[:, a - start : b - start] = ramp * (r @ part) + (1 - ramp) * (last @ part)
             last, trivial, done = r, own, m
-        return pd.DataFrame({"t": np.arange(start, stop), "xs": list(out.T)})
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in LOG.split(", ")]) if log else pd.DataFrame({"t": np.arange(start, stop), "xs": list(out.T)})
+
+    done = by_window(signal, chunk, chunk, n, run, LOG if log else "t long, xs array<double>", before=before, after=ahead + step)
+    return done if log else long_from_samples(done, state.channels)
+
+
+def rejection_mask(log: DataFrame) -> DataFrame:
+    """(t, on) for every sample that an update governs: whether it was changed."""
+    return log.select(F.explode(F.sequence("start", F.col("stop") - 1)).alias("t"), F.col("applied").alias("on"))
+
+
+def rejection_spans(log: DataFrame) -> DataFrame:
+    """(start, stop) of the stretches that were changed, touching ones as one."""
+    from quietfield.operators.spans import merge_spans
+
+    return merge_spans(log.where("applied").select(F.lit("all").alias("channel"), "start", "stop")).select("start", "stop")
+
+
+def diagnostics(log: DataFrame) -> DataFrame:
+    """One row: windows, the share with a repair, the share of samples changed, and the most directions replaced."""
+    size = F.col("stop") - F.col("start")
+    return log.agg(
+        F.count("*").alias("n_windows"), F.avg((F.col("n_reconstructed") > 0).cast("double")).alias("windows_repaired"),
+        (F.sum(F.when(F.col("applied"), size).otherwise(0)) / F.sum(size)).alias("samples_changed"), F.max("n_reconstructed").alias("most_reconstructed"),
+    )
+
+
+def calibration_mask(signal: DataFrame, rate: float, n: int, **how) -> DataFrame:
+    """(t, on) for every sample: whether a clean window holds it."""
+    _, starts = clean_windows(signal, rate, n, **how)
+    on = windows.in_windows(signal, starts, half_up(how.get("length", 1.0) * rate)).select("t").distinct().withColumn("on", F.lit(True))
+    return signal.select("t").distinct().join(on, "t", "left").select("t", F.coalesce("on", F.lit(False)).alias("on"))
+
+
+def process_globally(signal: DataFrame, state: State, n: int, step: int, most: float = 0.66) -> DataFrame:
+    """One covariance of the whole signal, its nonlinear eigenspace, and one operator, faded in over the first step."""
+    from quietfield.operators.moments import gram
+    from quietfield.plans.model import apply_long
+
+    kept = _filtered(signal, state)
+    g, _, w, _ = gram(by_sample(kept))
+    r, keep, _ = repair(state, L.riemannian_eigenspace(g / w), most)
+    if keep.all():
+        return signal
+    ramp = F.when(F.col("t") >= step, 1.0).otherwise((1 - F.cos(F.lit(np.pi) * (F.col("t") + 1) / step)) / 2)
+    both = apply_long(signal, r).withColumnRenamed("x", "y").join(signal, ["channel", "t"])
+    return both.select("channel", "t", (ramp * F.col("y") + (1 - ramp) * F.col("x")).alias("x"))
+
 
-    done = by_window(signal, chunk, chunk, n, run, "t long, xs array<double>", before=before, after=ahead + step)
-    return long_from_samples(done, state.channels)
+def _filtered(signal: DataFrame, state: State) -> DataFrame:
+    """Filtered by the statistics' filter, in blocks of time with a margin of its memory."""
+    if len(state.a) == 1:
+        return signal
+    from quietfield.operators.spectral import in_blocks
+
+    b, a = state.b, state.a
+    return in_blocks(signal, lambda x: K.lfilter(b, a, x)[0], K.memory(a), after=0)
 
 
 def guided_weights(artifact: np.ndarray | None, preserve: np.ndarray | None, strength: float = 1.0):
@@ -234,27 +320,114 @@ def reference_samples(signal: DataFrame, top: int = 5, share: float = 0.1) -> Da
     return cells.select("t", ok.alias("kept"))
 
 
-def gev_reference(signal: DataFrame, sample: int = 20_000) -> DataFrame:
-    """(t, kept): largest amplitude not above the mode of its fitted distribution (from a bounded sample)."""
+def gev_reference(signal: DataFrame, points: int = 2000) -> DataFrame:
+    """(t, kept): largest amplitude not above the mode of its distribution, fitted to quantiles of all samples."""
     top = by_sample(signal).select("t", F.array_max(F.transform("xs", lambda v: F.abs(v))).alias("a"))
-    x = np.array([r.a for r in top.orderBy(F.xxhash64("t")).limit(sample).collect()])
-    return top.select("t", (F.col("a") <= K.gev_mode(x)).alias("kept"))
+    levels = [(k + 0.5) / points for k in range(points)]
+    x = top.agg(F.percentile_approx("a", levels, 100 * points).alias("q")).first().q
+    return top.select("t", (F.col("a") <= K.gev_mode(np.array(x))).alias("kept"))
+
+
+@dataclass(frozen=True)
+class Subspace:
+    """Principal directions learned online by similarity matching. It never changes: an update gives another one, so
+    that one that fails leaves the last as it is.
+
+    With B = M^-1 W and a chunk's second moments G = x x' / n, the outputs y = B x have the moments y x' / n = B G and
+    y y' / n = B G B', so a chunk enters by G alone, which is one aggregation however long the chunk is.
+    """
+
+    w: np.ndarray  # how inputs go with outputs
+    m: np.ndarray  # how outputs go with each other
+    whitened: bool = True  # outputs tend to unit variance; else they keep their own
+    rate: float = 0.2
+    tau: float = 1e-5
+
+    @classmethod
+    def start(cls, basis: np.ndarray, second: np.ndarray, whitened: bool = True, rate: float = 0.2, tau: float | None = None, reg: float = 1e-8) -> Subspace:
+        """From directions (channels x k) and second moments of the data."""
+        y = basis.T @ second
+        return cls(y, L.spd_map(y @ basis, lambda v: v, reg), whitened, rate, (1e-5 if whitened else 0.8) if tau is None else tau)
+
+    def map(self) -> np.ndarray:
+        return np.linalg.solve(self.m, self.w)
+
+    def advanced(self, second: np.ndarray) -> Subspace:
+        b = self.map()
+        w = self.w + 2 * self.rate * (b @ second - self.w)
+        goal = np.eye(len(b)) if self.whitened else self.m
+        m = self.m + self.rate / self.tau * (b @ second @ b.T - goal)
+        if np.linalg.cond(m) > 1 / np.finfo(float).eps:
+            m = L.spd_map(m, lambda v: v, 1e-8)
+        return replace(self, w=w, m=m)
 
+    def components(self) -> np.ndarray:
+        """An orthonormal basis (channels x k)."""
+        return np.linalg.qr(self.map().T)[0]
 
-class SimilarityMatcher:
-    """Online principal directions: y = M^-1 W x, with Hebbian W and anti-Hebbian M."""
 
-    def __init__(self, x: np.ndarray, components: np.ndarray, variant: str = "psw", rate: float = 0.2, tau: float | None = None):
-        y = components @ x
-        self.variant, self.rate = variant, rate
-        self.tau = (1e-5 if variant == "psw" else 0.8) if tau is None else tau
-        self.m, self.w = y @ y.T / x.shape[1] + 1e-12 * np.eye(len(y)), y @ x.T / x.shape[1]
+@dataclass(frozen=True)
+class Adaptive:
+    """A calibration that goes on: the state to process with, and the directions learned so far."""
 
-    def update(self, x: np.ndarray) -> None:
-        y, n = np.linalg.solve(self.m, self.w) @ x, x.shape[1]
-        self.w = (1 - 2 * self.rate) * self.w + 2 * self.rate * y @ x.T / n
-        goal = np.eye(len(y)) if self.variant == "psw" else self.m
-        self.m = self.m + self.rate / self.tau * (y @ y.T / n - goal) if self.tau > self.rate else y @ y.T / n + 1e-9 * np.eye(len(y))
+    state: State
+    learner: Subspace
 
-    def components(self) -> np.ndarray:
-        return np.linalg.qr(np.linalg.solve(self.m, self.w).T)[0].T
+
+def adaptive_fit(signal: DataFrame, rate: float, n: int, cutoff: float = 20.0, whitened: bool = True, block: int = 10, **how) -> Adaptive:
+    """A calibration as by calibrate(), whose directions start the learner."""
+    state = calibrate(signal, rate, n, cutoff, block=block, **how)
+    second = _second_moments(_clean_part(signal, state, rate, n)[0])
+    basis = np.linalg.eigh((state.mixing + state.mixing.T) / 2)[1]
+    return Adaptive(state, Subspace.start(basis, second, whitened))
+
+
+def partial_fit(model: Adaptive, chunk: DataFrame, rate: float, n: int, cutoff: float = 20.0, length: float = 0.1, overlap: float = 0.66, block: int = 10) -> Adaptive:
+    """The model after a further chunk (t from 0). The one given stays as it was, so a chunk that fails changes nothing.
+
+    A chunk shorter than a second has no window to judge and is refused.
+    """
+    if n < half_up(rate):
+        raise ValueError(f"a chunk of {n} samples is shorter than a window of {half_up(rate)}")
+    kept, m = _clean_part(chunk, model.state, rate, n)
+    learner = model.learner.advanced(_second_moments(kept))
+    names, basis = model.state.channels, learner.components()
+    cov = _median_covariance(block_covariances(kept, block, m), names)
+    bounds = component_limits(kept, basis, m, half_up(max(length * rate, 2)), overlap, cutoff)
+    return Adaptive(State(names, L.spd_map(cov, np.sqrt, 1e-8), bounds[:, None] * basis.T, model.state.b, model.state.a, bounds), learner)
+
+
+def moving_fit(signal: DataFrame, rate: float, n: int, seconds: float = 20.0, **how) -> State:
+    """A calibration on the last ``seconds`` alone."""
+    first = max(0, n - half_up(seconds * rate))
+    return calibrate(signal.where(F.col("t") >= first).withColumn("t", F.col("t") - first), rate, n - first, **how)
+
+
+def _second_moments(kept: DataFrame) -> np.ndarray:
+    from quietfield.operators.moments import gram
+
+    g, _, w, _ = gram(by_sample(kept))
+    return g / w
+
+
+def _clean_part(signal: DataFrame, state: State, rate: float, n: int) -> tuple[DataFrame, int]:
+    """Samples of clean windows, numbered without gaps and filtered, and how many."""
+    _, starts = clean_windows(signal, rate, n)
+    kept = windows.in_windows(signal, starts, half_up(rate)).select("channel", "t", "x").distinct()
+    kept = kept.join(_renumbered(kept), "t").select("channel", F.col("k").alias("t"), "x")
+    return _filtered(kept, state), kept.agg((F.max("t") + 1).alias("n")).first().n
+
+
+def component_limits(kept: DataFrame, basis: np.ndarray, m: int, size: int, overlap: float, cutoff: float) -> np.ndarray:
+    """Mean plus ``cutoff`` deviations of the amplitudes of each direction (columns) in windows, by the robust fit."""
+    from quietfield.plans.model import apply_long
+
+    comps = apply_long(kept, basis.T, None, [f"c{k:03d}" for k in range(basis.shape[1])])
+    rms = windows.window_rms(comps, windows.fractional_starts(m, size, overlap) or [0], min(size, m))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        mu, sigma = K.fit_rms(f["rms"].to_numpy())
+        return pd.DataFrame({"channel": f["channel"].iloc[:1], "limit": [mu + cutoff * sigma]})
+
+    found = {r.channel: r.limit for r in rms.groupBy("channel").applyInPandas(run, "channel string, limit double").collect()}
+    return np.array([found[f"c{k:03d}"] for k in range(basis.shape[1])])

@@ -85,10 +85,11 @@ CONTRASTS = {
 }
 
 
-def iterative(signal: DataFrame, components: int, contrast: str = "tanh", symmetric: bool = False, rounds: int = 100, tol: float = 1e-6, seed: int = 0, rank: int | None = None) -> tuple[Linear, list[tuple[int, bool]]]:
+def iterative(signal: DataFrame, components: int, contrast: str = "tanh", symmetric: bool = False, rounds: int = 100, tol: float = 1e-6, seed: int = 0, rank: int | None = None, gamma=None) -> tuple[Linear, list[tuple[int, bool]]]:
     """Fixed points w <- E[z f(w z)] + beta w on whitened samples; every round is one pass that adds up k x k matrices.
 
     Deflation takes directions one by one, against those found; otherwise all at once, made orthogonal together.
+    ``gamma`` (gamma179, gamma_predictive) sets how much of each step is taken when directions go one by one.
     """
     names, (cov, mean, _) = channels_of(signal), fitted_covariance(signal)
     w0, _ = L.whitener(cov, rank)
@@ -136,12 +137,18 @@ def iterative(signal: DataFrame, components: int, contrast: str = "tanh", symmet
             w = rng.standard_normal(d)
             w -= found.T @ (found @ w)
             w /= np.linalg.norm(w)
+            share, last = 1.0, None
             for k in range(1, rounds + 1):
                 e, b = pass_over(w[None])
                 new = e[0] + b[0] * w
                 new -= found.T @ (found @ new)
                 size = np.linalg.norm(new)
                 new = new / size if size > 1e-12 else rng.standard_normal(d)
+                if gamma is not None:
+                    step = (new if new @ w >= 0 else -new) - w
+                    share = gamma(step, last, share)
+                    new, last = w + share * step, step
+                    new = new / np.linalg.norm(new)
                 gap, w = 1 - abs(new @ w), new
                 if gap < tol:
                     break
@@ -206,5 +213,9 @@ def covariance_boundaries(signal: DataFrame, n: int, window: int, least: int, pr
     return list(zip(cuts, [*cuts[1:], n], strict=True))
 
 
+def normalized_patterns(model: Linear) -> np.ndarray:
+    return L.unit_columns(model.patterns)
+
+
 def apply_model(signal: DataFrame, m: np.ndarray) -> DataFrame:
     return apply_long(signal, m)

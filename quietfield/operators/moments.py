@@ -102,6 +102,31 @@ def min_covariance_determinant(x: np.ndarray, starts: int = 20, seed: int = 0) -
     return best[1], best[2]
 
 
+def robust_covariance(samples: DataFrame, start: int = 4096, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the half of all samples (t, xs) of least determinant.
+
+    The search starts from a bounded sample (``start`` rows) and goes on by concentration steps over all rows: the half
+    nearest to the mean so far, by a quantile of distances, gives the next mean and covariance.
+    """
+    x = np.array([row.xs for row in samples.orderBy(F.xxhash64("t")).limit(start).collect()], float)
+    mean, cov = min_covariance_determinant(x)
+    p, last = len(mean), np.inf
+    for _ in range(rounds):
+        w = np.linalg.pinv(cov + 1e-12 * np.eye(p))
+        c = F.zip_with("xs", F.array(*[F.lit(float(m)) for m in mean]), lambda v, m: v - m)
+        rows = samples.select("t", "xs", c.alias("c"))
+        d = sum((F.lit(float(w[i, j])) * F.col("c")[i] * F.col("c")[j] for i in range(p) for j in range(p)), F.lit(0.0))
+        far = rows.select("t", "xs", d.alias("d"))
+        n = far.agg(F.count("*").alias("n")).first().n
+        cut = far.agg(F.percentile_approx("d", ((n + p + 1) // 2) / n, 1_000_000).alias("d")).first().d
+        cov, mean, _ = covariance(far.where(F.col("d") <= cut).select("t", "xs"))
+        size = np.linalg.slogdet(cov + 1e-12 * np.eye(p))[1]
+        if size >= last - 1e-9:
+            break
+        last = size
+    return mean, cov
+
+
 def pair_products(signal: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ci, cj, s, si, sj, n): sums of products of channel pairs within groups, from the sample layout.
 
@@ -154,3 +179,20 @@ def histogram_mode(values: DataFrame, column: str) -> float | None:
 
 def channels_by_sample(signal: DataFrame) -> DataFrame:
     return by_sample(signal)
+
+
+def sensor_whitener(signal: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+    """(channel, w): one over the deviation of each channel, or of all channels of its kind (channel, kind)."""
+    if kinds is None:
+        return signal.groupBy("channel").agg((1 / F.stddev_pop("x")).alias("w"))
+    of = kinds.select("channel", "kind")
+    w = signal.join(F.broadcast(of), "channel").groupBy("kind").agg((1 / F.stddev_pop("x")).alias("w"))
+    return of.join(w, "kind").select("channel", "w")
+
+
+def padded(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """(key, xs): ragged rows as arrays of the longest one's length, filled up with NaN. The longest row's length is one
+    number that an aggregation gives."""
+    lists = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value].cast("double")).alias("xs"))
+    most = lists.agg(F.max(F.size("xs")).alias("most"))
+    return lists.crossJoin(F.broadcast(most)).select(key, F.concat("xs", F.array_repeat(F.lit(float("nan")), F.col("most") - F.size("xs"))).alias("xs"))

@@ -112,10 +112,10 @@ def source_informed(signal: DataFrame, lead: np.ndarray, lam: float = 0.1, round
 
 def artifact_topographies(signal: DataFrame, rate: float, high_pass: float, components: int | float) -> np.ndarray:
     """Leading spatial directions of the high-passed signal: a count, or a share of variance."""
-    from quietfield.operators.spectral import per_channel
+    from quietfield.operators.spectral import in_blocks
 
     sos = K.butter_sos(2, [high_pass], "highpass", rate)
-    cov, _, _ = fitted_covariance(per_channel(rereferenced(signal), lambda x: K.sosfiltfilt(sos, x)))
+    cov, _, _ = fitted_covariance(in_blocks(rereferenced(signal), lambda x: K.sosfiltfilt(sos, x), K.memory(*[s[3:] for s in sos])))
     v, u = L.descending(cov)
     k = int(components) if components >= 1 else int(np.searchsorted(np.cumsum(v) / v.sum(), components) + 1)
     return u[:, :k]
@@ -133,3 +133,21 @@ def component_slopes(sources: DataFrame, rate: float, low: float, high: float) -
     from quietfield.operators.spectral import slopes, welch
 
     return slopes(welch(sources, rate, int(rate)), low, high)
+
+
+def signed_autocorrelations(sources: DataFrame, lag: int) -> DataFrame:
+    """(channel, r) of each component with itself ``lag`` before, at the sign it has."""
+    return windows.lagged_pairs(sources, lag).groupBy("channel").agg(F.corr("x", "past").alias("r"))
+
+
+def filter_asymmetry(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far the filters of both sides (columns) are apart, at unit length and the nearer of both signs."""
+    u, v = L.unit_columns(a), L.unit_columns(b)
+    return np.minimum(np.linalg.norm(u - v, axis=0), np.linalg.norm(u + v, axis=0))
+
+
+def source_informed_best_reference(signal: DataFrame, lead: np.ndarray, lam: float = 0.1, rounds: int = 5, seed: int = 0) -> tuple[DataFrame, int]:
+    """As source_informed, referred to the channel of least noise and then to the mean; and which channel that was."""
+    g, _, w, _ = gram(by_sample(signal))
+    m, _, best = L.sound_with_best_reference(g / w, lead, lam, rounds, seed)
+    return apply_long(signal, m), best

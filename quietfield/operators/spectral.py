@@ -80,7 +80,7 @@ def line_blocks(signal: DataFrame, freq: float, rate: float, n: int, nfft: int =
 
 
 def per_channel(signal: DataFrame, function) -> DataFrame:
-    """function(xs) of each channel's whole series, one task a channel: for recursive filters and transforms of all samples."""
+    """function(xs) of each channel's whole series, one task a channel: for transforms of all samples."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("t")
@@ -90,18 +90,33 @@ def per_channel(signal: DataFrame, function) -> DataFrame:
     return signal.groupBy("channel").applyInPandas(run, "channel string, t long, x double")
 
 
-def bandpass(signal: DataFrame, rate: float, low: float, high: float, order: int = 4) -> DataFrame:
+def in_blocks(signal: DataFrame, function, memory: int, after: int | None = None, block: int = 1 << 18) -> DataFrame:
+    """function(xs) of each channel, for filters that forget: blocks of time are tasks of their own, each with a margin of
+    the filter's memory before it (and ``after`` it, as much unless given), so a long recording is many tasks."""
+    after = memory if after is None else after
+    t = F.col("t")
+    reach = F.sequence(F.greatest(F.floor((t - after) / block), F.lit(0)), F.floor((t + memory) / block))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("t")
+        f["x"] = np.asarray(function(f["x"].to_numpy(float)), float)
+        return f.loc[f["t"] // block == f["block"].iloc[0], ["channel", "t", "x"]]
+
+    return signal.select("channel", "t", "x", F.explode(reach).alias("block")).groupBy("channel", "block").applyInPandas(run, "channel string, t long, x double")
+
+
+def bandpass(signal: DataFrame, rate: float, low: float, high: float, order: int = 4, block: int = 1 << 18) -> DataFrame:
     sos = K.butter_sos(order, [low, high], "bandpass", rate)
-    return per_channel(signal, lambda x: K.sosfiltfilt(sos, x))
+    return in_blocks(signal, lambda x: K.sosfiltfilt(sos, x), K.memory(*[s[3:] for s in sos]), block=block)
 
 
-def notch(signal: DataFrame, rate: float, freq: float, width: float = 0.5, order: int = 4) -> DataFrame:
+def notch(signal: DataFrame, rate: float, freq: float, width: float = 0.5, order: int = 4, block: int = 1 << 18) -> DataFrame:
     """Band-stop of freq +- width, within the limits; unchanged if nothing is left between them."""
     low, high = max(freq - width, 0.001 * rate / 2), min(freq + width, 0.999 * rate / 2)
     if low >= high:
         return signal
     sos = K.butter_sos(order, [low, high], "bandstop", rate)
-    return per_channel(signal, lambda x: K.sosfiltfilt(sos, x))
+    return in_blocks(signal, lambda x: K.sosfiltfilt(sos, x), K.memory(*[s[3:] for s in sos]), block=block)
 
 
 def hybrid_notch(signal: DataFrame, rate: float, freq: float, width: float = 0.5, most_db: float = 3.0) -> DataFrame:
@@ -119,15 +134,15 @@ def hybrid_notch(signal: DataFrame, rate: float, freq: float, width: float = 0.5
     return per_channel(signal, run)
 
 
-def peak(signal: DataFrame, rate: float, freq: float, q: float = 30.0) -> DataFrame:
+def peak(signal: DataFrame, rate: float, freq: float, q: float = 30.0, block: int = 1 << 18) -> DataFrame:
     b, a = K.peak_filter(freq, q, rate)
-    return per_channel(signal, lambda x: K.filtfilt(b, a, x))
+    return in_blocks(signal, lambda x: K.filtfilt(b, a, x), K.memory(a), block=block)
 
 
-def comb(signal: DataFrame, rate: float, freq: float, harmonics: int = 3, q: float = 30.0, proportional: bool = False, weights: list[float] | None = None) -> DataFrame:
+def comb(signal: DataFrame, rate: float, freq: float, harmonics: int = 3, q: float = 30.0, proportional: bool = False, weights: list[float] | None = None, block: int = 1 << 18) -> DataFrame:
     """Weighted sum of peaks at the harmonics below 0.95 of the highest frequency; weights 1/h."""
     parts = [(K.peak_filter(freq * h, q * h if proportional else q, rate), (weights or [1 / k for k in range(1, harmonics + 1)])[h - 1]) for h in range(1, harmonics + 1) if freq * h < 0.95 * rate / 2]
-    return per_channel(signal, lambda x: sum((w * K.filtfilt(b, a, x) for (b, a), w in parts), np.zeros(len(x))))
+    return in_blocks(signal, lambda x: sum((w * K.filtfilt(b, a, x) for (b, a), w in parts), np.zeros(len(x))), K.memory(*[a for (_, a), _ in parts]), block=block)
 
 
 def interpolate_lines(signal: DataFrame, rate: float, freqs: list[float], half: float = 1.0, neighbours: float = 2.0) -> DataFrame:

@@ -130,3 +130,64 @@ def spectrogram(signal: DataFrame, rate: float, nperseg: int) -> DataFrame:
     at = F.explode(F.sequence(F.greatest(F.floor((F.col("t") - nperseg) / hop) + 1, F.lit(0)), F.floor(F.col("t") / hop)))
     cut = signal.withColumn("frame", at).where(F.col("frame") <= last)
     return cut.groupBy("channel", "frame").applyInPandas(run, "frame long, freq double, power double").groupBy("frame", "freq").agg(F.avg("power").alias("power"))
+
+
+def epochs_image(sources: DataFrame, length: int) -> DataFrame:
+    """(component, epoch, t, x) of component signals cut into epochs."""
+    from quietfield.sources.signals import to_epochs
+
+    return to_epochs(sources, length).withColumnRenamed("channel", "component")
+
+
+def count_series(marks: DataFrame, size: int) -> DataFrame:
+    """(window, n, mean): marks of (t, on) in consecutive windows, and the mean of their counts."""
+    n = marks.groupBy(F.floor(F.col("t") / size).alias("window")).agg(F.sum(F.col("on").cast("long")).alias("n"))
+    return n.crossJoin(F.broadcast(n.agg(F.avg("n").alias("mean"))))
+
+
+def kept_fraction(masks: DataFrame) -> DataFrame:
+    """(label, share) of the samples that masks of (label, t, on) keep."""
+    return masks.groupBy("label").agg(F.avg(F.col("on").cast("double")).alias("share"))
+
+
+def tradeoff_summary(data: DataFrame, x: str, y: str, metric: str, group: str) -> DataFrame:
+    """Means of both axes, and of a metric with its error, by group."""
+    return tradeoff(data.withColumn("metric", F.col(metric)), x, y, group).join(metric_bars(data, metric, group), group).groupBy(group).agg(
+        F.avg("x").alias("x"), F.avg("y").alias("y"), F.max("mean").alias("mean"), F.max("sem").alias("sem")
+    )
+
+
+def denoising_summary(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Of each channel: size before, after and of what is gone, and how alike before and after are."""
+    rms = lambda c: F.sqrt(F.avg(c * c))
+    a, b = F.col("before"), F.col("after")
+    return _both(before, after, "x", ["channel", "t"]).groupBy("channel").agg(rms(a).alias("before"), rms(b).alias("after"), rms(a - b).alias("removed"), F.corr(a, b).alias("r"))
+
+
+def diagnostics_summary(signals: DataFrame, reference: str) -> DataFrame:
+    """Of signals (grp, t, x): size, range, and the correlation with a reference group."""
+    ref = signals.where(F.col("grp") == reference).select("t", F.col("x").alias("ref"))
+    return signals.join(ref, "t").groupBy("grp").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), (F.max("x") - F.min("x")).alias("spread"), F.corr("x", "ref").alias("r"))
+
+
+def cleaning_summary(scores: list[float], selected: list[int], before: DataFrame, after: DataFrame) -> DataFrame:
+    """(panel, key, value): scores, whether each component was taken out, and the share of each channel's power that went."""
+    spark = before.sparkSession
+    rows = [("score", str(k), float(v)) for k, v in enumerate(scores)] + [("selected", str(k), float(k in set(selected))) for k in range(len(scores))]
+    gone = power_ratio(before, after).select(F.lit("removed").alias("panel"), F.col("channel").alias("key"), (1 - F.col("ratio")).alias("value"))
+    return spark.createDataFrame(rows, "panel string, key string, value double").unionByName(gone)
+
+
+def component_summary(model, signal: DataFrame) -> DataFrame:
+    """(component, score, size of its pattern, size of its trace) of a fitted model."""
+    sources = model.sources(signal)
+    sizes = sources.groupBy("channel").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("trace"))
+    rows = [(f"s{k:03d}", float(model.scores[k]), float((model.patterns[:, k] ** 2).sum() ** 0.5)) for k in range(len(model.scores))]
+    table = signal.sparkSession.createDataFrame(rows, "component string, score double, pattern double")
+    return table.join(sizes.withColumnRenamed("channel", "component"), "component")
+
+
+def repair_ratios(log: DataFrame) -> DataFrame:
+    """(start, component, ratio, weight): variance over limit of each direction of each update, and how much of it stays."""
+    each = log.select("start", F.posexplode(F.arrays_zip("variances", "limits", "weights")).alias("component", "z"))
+    return each.select("start", "component", (F.col("z.variances") / F.col("z.limits")).alias("ratio"), F.col("z.weights").alias("weight"))

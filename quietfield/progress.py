@@ -59,3 +59,11 @@ def verbose(function: Callable) -> Callable:
             return function(*args, **kw)
 
     return run
+
+
+def to_bar(event: Progress) -> None:
+    """A bar on the error stream."""
+    import sys
+
+    done = int(30 * event.current / max(event.total or event.current, 1))
+    print(f"\r{event.stage} [{'#' * done}{'.' * (30 - done)}] {event.current}", end="", file=sys.stderr, flush=True)

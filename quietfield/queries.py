@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietfield.functions import linalg as L
-from quietfield.operators import asr, denoisers, dss, lines, moments, qa, references, series, spans, spectral, views, windows
+from quietfield.operators import asr, denoisers, dss, head, lines, moments, qa, references, series, spans, spectral, views, windows
 from quietfield.plans import validation
 from quietfield.plans.model import apply_long, fitted_covariance, matrix_table
 from quietfield.sources import signals as S
@@ -932,7 +932,7 @@ def _(spark, d):
 
 
 def _lead(n: int, m: int = 12) -> np.ndarray:
-    return np.sin(np.outer(np.arange(1, n + 1), np.arange(1, m + 1)))
+    return head.lead_field(L.spherical_points(n), m)[0]
 
 
 @query("source_informed")
@@ -1002,8 +1002,7 @@ def _(spark, d):
 def _(spark, d):
     sig = S.vectors(spark, d, 4)
     names = S.channels_of(sig)
-    x = np.array([row.xs for row in S.by_sample(sig).orderBy(F.xxhash64("t")).limit(4096).collect()])
-    return matrix_table(sig, moments.min_covariance_determinant(x)[1], names, names)
+    return matrix_table(sig, moments.robust_covariance(S.by_sample(sig))[1], names, names)
 
 
 @query("gfp_bootstrap")
@@ -1048,3 +1047,169 @@ def _(spark, d):
     n = hours(sig)
     state = asr.calibrate(sig, 24.0, n, 3.0, length=1.0, reference=asr.reference_samples(sig, 3))
     return asr.process(sig, state, 24.0, n, 1.0, chunk=240)
+
+
+@query("component_epochs_image", HOURLY + """, c AS (SELECT 'difference' AS component, a.t, a.x - b.x AS x FROM sig a JOIN sig b USING (t) WHERE a.channel = 'click' AND b.channel = 'view' UNION ALL SELECT 'total', t, sum(x) FROM sig GROUP BY t)
+SELECT component, CAST(floor(t / 24) AS BIGINT) AS epoch, t % 24 AS t, round(x, 4) + 0.0 AS x FROM c CROSS JOIN nn WHERE t < floor(n / 24) * 24""")
+def _(spark, d):
+    sig = S.hourly(spark, d)
+    names = S.channels_of(sig)
+    m = np.array([[float(c == "click") - float(c == "view") for c in names], [1.0] * len(names)])
+    return shown(views.epochs_image(apply_long(sig, m, None, ["difference", "total"]), DAY), "component", "epoch", "t")
+
+
+@query("window_counts", HOURLY + """, m AS (SELECT channel, avg(x) AS m FROM sig GROUP BY 1), w AS (SELECT CAST(floor(t / 24) AS BIGINT) AS "window", CAST(sum(CASE WHEN x > m THEN 1 ELSE 0 END) AS BIGINT) AS n FROM sig JOIN m USING (channel) GROUP BY 1)
+SELECT "window", n, round(avg(n) OVER (), 4) + 0.0 AS mean FROM w""")
+def _(spark, d):
+    sig = S.hourly(spark, d)
+    mean = sig.groupBy("channel").agg(F.avg("x").alias("m"))
+    return shown(views.count_series(sig.join(mean, "channel").select("t", (F.col("x") > F.col("m")).alias("on")), DAY), "window", "n")
+
+
+@query("kept_fraction", HOURLY + ", m AS (SELECT channel, avg(x) AS m, stddev_pop(x) AS s FROM sig GROUP BY 1) SELECT channel AS label, round(avg(CASE WHEN abs(x - m) <= 1.5 * s THEN 1.0 ELSE 0.0 END), 5) + 0.0 AS share FROM sig JOIN m USING (channel) GROUP BY 1")
+def _(spark, d):
+    sig = S.hourly(spark, d)
+    m = sig.groupBy("channel").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    on = sig.join(m, "channel").select(F.col("channel").alias("label"), "t", (F.abs(F.col("x") - F.col("m")) <= 1.5 * F.col("s")).alias("on"))
+    return shown(views.kept_fraction(on), "label", digits=5)
+
+
+@query("tradeoff_summary", METRICS + " SELECT grp, round(avg(chars), 3) + 0.0 AS x, round(avg(spaces), 3) + 0.0 AS y, round(avg(chars - spaces), 3) + 0.0 AS mean, round(stddev_samp(chars - spaces) / sqrt(count(*)), 3) + 0.0 AS sem FROM m GROUP BY 1")
+def _(spark, d):
+    data = metric_table(spark, d).withColumn("solid", F.col("chars") - F.col("spaces"))
+    return shown(views.tradeoff_summary(data.where("grp is not null"), "chars", "spaces", "solid", "grp"), "grp", digits=3)
+
+
+@query("denoising_summary", SMOOTH + " SELECT channel, round(sqrt(avg(x * x)), 4) + 0.0 AS before, round(sqrt(avg((x - y) * (x - y))), 4) + 0.0 AS after, round(sqrt(avg(y * y)), 4) + 0.0 AS removed, round(corr(x, x - y), 4) + 0.0 AS r FROM sm GROUP BY 1")
+def _(spark, d):
+    return shown(views.denoising_summary(*smooth_pair(spark, d)), "channel")
+
+
+@query("diagnostics_summary", HOURLY + ", r AS (SELECT t, x AS ref FROM sig WHERE channel = 'view') SELECT channel AS grp, round(sqrt(avg(x * x)), 4) + 0.0 AS rms, round(max(x) - min(x), 4) + 0.0 AS spread, round(corr(x, ref), 4) + 0.0 AS r FROM sig JOIN r USING (t) GROUP BY 1")
+def _(spark, d):
+    return shown(views.diagnostics_summary(S.hourly(spark, d).withColumnRenamed("channel", "grp"), "view"), "grp")
+
+
+@query("signed_autocorrelations", HOURLY + " SELECT a.channel, round(corr(a.x, b.x), 5) + 0.0 AS r FROM sig a JOIN sig b ON a.channel = b.channel AND b.t = a.t - 3 GROUP BY 1")
+def _(spark, d):
+    return shown(references.signed_autocorrelations(S.hourly(spark, d), 3), "channel", digits=5)
+
+
+@query("sensor_whitener", HOURLY + " SELECT channel, round(1 / stddev_pop(x), 7) + 0.0 AS w FROM sig GROUP BY 1")
+def _(spark, d):
+    return shown(moments.sensor_whitener(S.hourly(spark, d)), "channel", digits=7)
+
+
+@query("padded_rows", """WITH o AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS pos, CAST(l_quantity AS DOUBLE) AS x FROM lineitem),
+g AS (SELECT k, i FROM (SELECT DISTINCT k FROM o) CROSS JOIN (SELECT unnest(range(0, (SELECT max(pos) + 1 FROM o))) AS i))
+SELECT g.k, CAST(g.i AS INTEGER) AS i, coalesce(round(x, 4), -1.0) AS x FROM g LEFT JOIN o ON o.k = g.k AND o.pos = g.i""")
+def _(spark, d):
+    rows = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.struct("l_linenumber", "l_quantity").alias("o"), F.col("l_quantity").alias("x"))
+    out = moments.padded(rows, "k", "o", "x").select("k", F.posexplode("xs").alias("i", "x"))
+    return out.select("k", "i", F.when(F.isnan("x"), -1.0).otherwise(F.round("x", 4)).alias("x"))
+
+
+@query("window_starts", HOURLY + ", s AS (SELECT unnest(range(0, (SELECT n - 99 FROM nn), 70)) AS start UNION SELECT n - 100 FROM nn) SELECT CAST(start AS BIGINT) AS start FROM s")
+def _(spark, d):
+    return spark.createDataFrame([(s,) for s in windows.window_starts(hours(S.hourly(spark, d)), 100, 70)], "start long")
+
+
+@query("lead_field")
+def _(spark, d):
+    """Sensors are the channels of the vectors."""
+    names = S.channels_of(S.vectors(spark, d, 64))
+    gain, _ = head.lead_field(L.spherical_points(len(names)), 20)
+    rows = [(c, k // 3, "xyz"[k % 3], float(g)) for c, row in zip(names, gain, strict=True) for k, g in enumerate(row)]
+    return spark.createDataFrame(rows, "channel string, dipole int, axis string, gain double")
+
+
+@query("source_informed_best_reference")
+def _(spark, d):
+    return references.source_informed_best_reference(S.vectors(spark, d, 8), _lead(8))[0]
+
+
+@query("asr_log")
+def _(spark, d):
+    sig, n, state = _calibrated(spark, d)
+    return asr.process(sig, state, 24.0, n, 1.0, chunk=240, log=True).drop("variances", "limits", "weights")
+
+
+@query("asr_repair_ratios")
+def _(spark, d):
+    sig, n, state = _calibrated(spark, d)
+    return views.repair_ratios(asr.process(sig, state, 24.0, n, 1.0, chunk=240, log=True))
+
+
+@query("asr_diagnostics")
+def _(spark, d):
+    sig, n, state = _calibrated(spark, d)
+    return asr.diagnostics(asr.process(sig, state, 24.0, n, 1.0, chunk=240, log=True))
+
+
+@query("asr_calibration_mask")
+def _(spark, d):
+    sig = _trend(spark, d)
+    return asr.calibration_mask(sig, 24.0, hours(sig))
+
+
+@query("asr_rejection_mask")
+def _(spark, d):
+    sig, n, state = _calibrated(spark, d)
+    return asr.rejection_mask(asr.process(sig, state, 24.0, n, 1.0, chunk=240, log=True))
+
+
+@query("asr_riemannian")
+def _(spark, d):
+    sig = _trend(spark, d)
+    n = hours(sig)
+    return asr.process(sig, asr.calibrate(sig, 24.0, n, 3.0, length=1.0, mean="karcher"), 24.0, n, 1.0, chunk=240)
+
+
+@query("asr_riemannian_global")
+def _(spark, d):
+    sig, n, state = _calibrated(spark, d)
+    return asr.process_globally(sig, state, n, 12)
+
+
+@query("asr_adaptive")
+def _(spark, d):
+    """Calibrated on the first two thirds, taught by the rest, and applied to all."""
+    sig = _trend(spark, d)
+    n = hours(sig)
+    cut = 2 * n // 3
+    model = asr.adaptive_fit(sig.where(F.col("t") < cut), 24.0, cut, 3.0, length=1.0)
+    model = asr.partial_fit(model, sig.where(F.col("t") >= cut).withColumn("t", F.col("t") - cut), 24.0, n - cut, 3.0, 1.0)
+    return asr.process(sig, model.state, 24.0, n, 1.0, chunk=240)
+
+
+@query("asr_moving_window")
+def _(spark, d):
+    sig = _trend(spark, d)
+    n = hours(sig)
+    return asr.process(sig, asr.moving_fit(sig, 24.0, n, 20.0, cutoff=3.0, length=1.0), 24.0, n, 1.0, chunk=240)
+
+
+@query("component_summary")
+def _(spark, d):
+    sig = _trend(spark, d)
+    return views.component_summary(dss.smooth(sig, DAY), sig)
+
+
+@query("cleaning_summary")
+def _(spark, d):
+    sig = _trend(spark, d)
+    model = dss.smooth(sig, DAY)
+    return views.cleaning_summary(list(model.scores), [0], sig, model.remove(sig, [0]))
+
+
+@query("component_spectrogram")
+def _(spark, d):
+    sig = _trend(spark, d)
+    return views.spectrogram(dss.smooth(sig, DAY).sources(sig).where("channel = 's000'"), 24.0, 48)
+
+
+@query("dss_iterative_damped")
+def _(spark, d):
+    sig = S.vectors(spark, d, 6)
+    model, _ = dss.iterative(sig, 1, rounds=30, tol=1e-4, gamma=dss.gamma_predictive)
+    return model.table(sig)

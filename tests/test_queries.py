@@ -39,8 +39,6 @@ def test_against_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(signal.QUERIES) - set(signal.ORACLE_SQL)))
 def test_runs(spark, name):
-    if name == "dss_iterative_symmetric":
-        pytest.skip("the deflating form covers its passes")
     assert signal.QUERIES[name](spark, str(DATA)).count() > 0
 
 
