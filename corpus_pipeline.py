@@ -1,65 +1,80 @@
 """The corpus pipeline: stages over documents, each written and read again as the next one's input.
 
-Every stage works on whole texts and all rows, and returns the columns of documents; the last adds the mixing rate.
+Every stage works on whole texts and all rows, and returns the columns of documents (those that it is given, further
+ones included); the last adds the mixing rate. Empty tables give empty tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietfield.llm import decontaminate, langid, mixing, near, pii
 from quietfield.llm.common import Scratch, fold, read
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row as one column, so that no name of an operator's clashes with those of documents."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def unpacked(found: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    """The rows again, with some columns changed."""
+    return found.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in names])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language (null text, or no letter); lang becomes the language found."""
-    model = langid.fit(docs.where(fold(docs.doc_id, langid.FOLDS) != langid.HELD_OUT))
-    found = langid.identify(docs.select(*COLUMNS), model).where(f"lang_pred != '{langid.UND}'")
-    return found.withColumn("lang", found.lang_pred).select(*COLUMNS)
+    model = langid.fit(docs.where(fold(docs.doc_id, langid.FOLDS) != langid.HELD_OUT).select("doc_id", "text", "lang"))
+    found = langid.identify(packed(docs), model).where(f"lang_pred != '{langid.UND}'")
+    return unpacked(found, docs.columns, lang=found.lang_pred)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of near duplicates the document of least doc_id; of rows of one id the least."""
-    classes = near.near_duplicates(docs.select("doc_id", "text")).distinct()
-    kept = classes.where("doc_id = class_id").select("doc_id")
-    known = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
-    extra = kept_twice(known)
-    return (known if extra is None else extra).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
-
-
-def kept_twice(known: DataFrame) -> DataFrame | None:
-    """One row of each id where some ids stand more than once; None where none does, which needs no shuffle of texts."""
-    if known.select("doc_id").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return None
-    least = known.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
-    return least.select("doc_id", "r.text", "r.lang", "r.source", "r.n_chars")
+    """Keeps of each class of near duplicates one document, that of least doc_id. Different rows of one id are documents of
+    their own, rows that are the same in all columns are one; a row without an id stays."""
+    keyed = own_keys(docs.where("doc_id is not null"))
+    classes = near.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"))
+    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(kept, "key", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def own_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with key: the doc_id, and a hash of the row for those of an id that aren't its least row by hash. Where no
+    id stands more than once, texts are not shuffled."""
+    if docs.select("doc_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.withColumn("key", F.col("doc_id"))
+    version = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    once = docs.dropDuplicates().withColumn("key", version)
+    least = once.groupBy("doc_id").agg(F.min("key").alias("least_key"))
+    mine = once.join(least, "doc_id")
+    return mine.withColumn("key", F.when(F.col("key") == F.col("least_key"), F.col("doc_id")).otherwise(F.col("key"))).select(*docs.columns, "key")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold an item of the benchmark."""
     held = decontaminate.contaminated(docs.select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     held = Scratch(spark, "contaminated").write(held.select("doc_id").distinct(), "held")
-    return docs.select(*COLUMNS).join(held, "doc_id", "left_anti")
+    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind; n_chars follows. Keeps every document."""
-    found = pii.redact(pii.find(docs.select(*COLUMNS), pii.learn_contexts(docs.select("doc_id", "text"))))
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    found = pii.redact(pii.find(packed(docs), pii.learn_contexts(docs.select("doc_id", "text"))))
+    return unpacked(found, docs.columns, text=found.text, n_chars=F.length("text").cast("long"))
 
 
 def mixing_rates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its likeliest domain and the rate at which the mixture takes it."""
     found = mixing.mix_to_targets(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"))
-    return docs.select("doc_id", "lang", "source", "n_chars", mixing.version().alias("version")).join(
-        found.select("doc_id", "version", "tokens", "domain", "rate").distinct(), ["doc_id", "version"], "left"
-    ).drop("version")
+    rates = found.select(F.col("doc_id").alias("rated"), F.col("version").alias("rated_version"), "tokens", "domain", "rate").distinct()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", "n_chars", mixing.version().alias("version"))
+    met = own.join(rates, own.doc_id.eqNullSafe(rates.rated) & (own.version == rates.rated_version), "left")
+    return met.select("doc_id", "lang", "source", "n_chars", "tokens", "domain", "rate")
 
 
 STAGES: list[tuple[str, Stage]] = [
