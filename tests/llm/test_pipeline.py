@@ -17,8 +17,11 @@ def test_pipeline(spark, tmp_path):
     item = say(40) + ". " + say(6) + "."
     texts[35] = f"{say(60)} {item} {say(30)}"
     texts[36] = say(50) + " write to a.b@example.com or call +1 (988) 555-2485"
-    rows = [(i, t, "en", "src", len(t or "")) for i, t in texts.items()] + [(None, say(20), None, None, None)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    long = say(30_000)
+    rows = [(i, t, "en", "src", len(t or ""), i) for i, t in texts.items()] + [(None, say(20), None, None, None, -1)]
+    rows += [(7, say(90), "en", "src", 0, -2), (8, texts[8], "en", "src", len(texts[8]), 8), (40, long, "en", "src", len(long), 40)]
+    columns = ["doc_id", "text", "lang", "source", "n_chars", "version"]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, version int").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
 
@@ -26,12 +29,23 @@ def test_pipeline(spark, tmp_path):
     for k, (name, stage) in enumerate(pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
         if k + 1 < len(pipeline.STAGES):
-            assert out.columns == list(pipeline.COLUMNS), name
+            assert out.columns == columns, name
         out.write.parquet(f"{tmp_path}/stage-{k}")
         docs = spark.read.parquet(f"{tmp_path}/stage-{k}")
     kept = {r.doc_id for r in docs.collect()}
-    assert kept == {*range(30), 36, None} and docs.count() == 32
+    # Two documents have the id 7, and both stay; the row that stands twice (8) is one.
+    assert kept == {*range(30), 36, 40, None} and docs.count() == 34
+    assert docs.where("rate is null or domain is null").count() == 0
     clean = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/stage-3").collect()}
     assert clean[36].text.endswith("write to [email] or call [phone]") and clean[36].n_chars == len(clean[36].text)
-    assert all(clean[i].text == texts[i] for i in range(30))
+    assert all(clean[i].text == texts[i] and clean[i].version == i for i in range(30) if i != 7) and clean[40].text == long
     assert {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()} == kept
+
+
+def test_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = pipeline.read(spark, str(tmp_path), "documents")
+    for _, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns and stage(spark, docs, str(tmp_path)).count() == 0
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
