@@ -10,7 +10,7 @@ import heapq
 
 import numpy as np
 
-WINDOW = 32
+WINDOW, PART = 32, 1024
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -164,8 +164,15 @@ class Model:
                 total += np.bincount(owner[on], logp, len(sizes))
         return total
 
-    def train(self, tokens: np.ndarray, sizes: np.ndarray, rate: float = 0.01, lanes: int = 64) -> int:
-        """One pass of truncated backpropagation (Adam); returns the tokens seen."""
+    def train(self, tokens: np.ndarray, sizes: np.ndarray, rate: float = 0.01, lanes: int = 256) -> int:
+        """One pass of truncated backpropagation (Adam) over all tokens; returns how many.
+
+        Longer documents are learned from in parts of PART tokens, each from a state of zero, so that lanes are full.
+        """
+        parts = -(-sizes // PART)
+        whole = np.full(parts.sum(), PART)
+        whole[np.cumsum(parts)[parts > 0] - 1] = (sizes - (parts - 1) * PART)[parts > 0]
+        sizes = whole
         h, p = self.h, self.p
         first, second = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
         seen, step, n, laid = 0, 0, 0, None
@@ -173,7 +180,7 @@ class Model:
             if lane is not laid:
                 laid, n = lane, target.shape[1]
                 state, last = np.zeros((n, h), np.float32), np.full(n, self.end, np.int32)
-            before = np.concatenate([last[None], target[:-1]])
+            before = np.where(start, self.end, np.concatenate([last[None], target[:-1]]))
             states, tape = self.forward(self.table(), before, start, state, True)
             state, last = states[-1].copy(), target[-1]
             _, g = self.outputs(states[on], target[on], True)
