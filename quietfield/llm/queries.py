@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quietfield.llm.ann import op2_nearest
 from quietfield.llm.chat import op3_chat_format
@@ -51,3 +52,20 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(x.n, 0) AS B
 FROM d LEFT JOIN (SELECT u.doc_id, sum(CASE WHEN g.pos IS NULL THEN 0 ELSE 1 END) AS n, string_agg(CASE WHEN g.pos IS NULL THEN u.word END, ' ' ORDER BY u.pos) AS kept
   FROM u LEFT JOIN g ON g.doc_id = u.doc_id AND g.pos = u.pos GROUP BY 1) x ON x.doc_id = d.doc_id""",
 }
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6_license_scan says of the fixed phrases, which SQL can express; -1 for a place that isn't there."""
+    found = op6_license_scan(spark, sf_dir)
+    place = lambda c: F.coalesce(F.col(c), F.lit(-1).cast("long")).alias(c)
+    return found.select("doc_id", "n_words", "n_base", place("first_word"), place("last_word"), "base_labels")
+
+
+QUERIES["license_base"] = license_base
+ORACLE_SQL["license_base"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT 'mit' AS label, ['under', 'the', 'mit', 'license'] AS ws UNION ALL SELECT 'apache-2', ['apache', 'license', 'version', '2'] UNION ALL SELECT 'cc-by-nc', ['cc', 'by', 'nc']),
+u AS (SELECT doc_id, w, label, ws, unnest(range(0, greatest(len(w) - len(ws) + 1, 0))) AS pos FROM d CROSS JOIN p),
+h AS (SELECT doc_id, label, pos FROM u WHERE w[pos + 1] = ws[1] AND w[pos + 1:pos + len(ws)] = ws)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(x.n, 0) AS BIGINT) AS n_base, CAST(coalesce(x.lo, -1) AS BIGINT) AS first_word, CAST(coalesce(x.hi, -1) AS BIGINT) AS last_word, coalesce(x.labels, '') AS base_labels
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h GROUP BY 1) x ON x.doc_id = d.doc_id"""
