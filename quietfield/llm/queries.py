@@ -15,7 +15,7 @@ from quietfield.llm.licenses import op6_license_scan
 from quietfield.llm.lmscore import op5_lm_score
 from quietfield.llm.mixing import op9_mixing
 from quietfield.llm.near import op1_near_dedup
-from quietfield.llm.pii import op7_pii
+from quietfield.llm.pii import digest, find, op7_pii
 from quietfield.llm.substrings import op4_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -69,3 +69,30 @@ u AS (SELECT doc_id, w, label, ws, unnest(range(0, greatest(len(w) - len(ws) + 1
 h AS (SELECT doc_id, label, pos FROM u WHERE w[pos + 1] = ws[1] AND w[pos + 1:pos + len(ws)] = ws)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(x.n, 0) AS BIGINT) AS n_base, CAST(coalesce(x.lo, -1) AS BIGINT) AS first_word, CAST(coalesce(x.hi, -1) AS BIGINT) AS last_word, coalesce(x.labels, '') AS base_labels
 FROM d LEFT JOIN (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h GROUP BY 1) x ON x.doc_id = d.doc_id"""
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7_pii says of the fixed kinds, which SQL can express."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    none = spark.createDataFrame([], "context string, kind int")
+    return digest(find(docs, none)).drop("spans")
+
+
+QUERIES["pii_base"] = pii_base
+_CUT = r"string_split(replace(regexp_replace(t, '{}', chr(1) || '\0' || chr(2), 'g'), chr(2), chr(1)), chr(1))"
+ORACLE_SQL["pii_base"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, 0 AS ord, 'email' AS kind, {_CUT.format(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")} AS parts FROM d
+  UNION ALL SELECT doc_id, 1, 'ip', {_CUT.format(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")} FROM d
+  UNION ALL SELECT doc_id, 2, 'card', {_CUT.format(r"[0-9]([\x20-]?[0-9])+")} FROM d
+  UNION ALL SELECT doc_id, 3, 'phone', {_CUT.format(r"\+[0-9][\x20().0-9-]+[0-9]")} FROM d),
+s AS (SELECT doc_id, ord, kind, parts, unnest(range(2, len(parts) + 1, 2)) AS i FROM m),
+v AS (SELECT doc_id, ord, kind, parts[i] AS x, CAST(list_sum(list_transform(parts[1:i - 1], lambda p: length(p))) AS BIGINT) AS a, regexp_replace(parts[i], '[^0-9]', '', 'g') AS g FROM s),
+w AS (SELECT doc_id, ord, kind, a, a + length(x) AS b FROM v WHERE CASE kind WHEN 'email' THEN true
+  WHEN 'ip' THEN len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(left(ltrim(p, '0'), 3) AS INTEGER), 0) > 255)) = 0
+  WHEN 'card' THEN length(g) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length(g)), lambda j: CASE WHEN j % 2 = 0 THEN CAST(substr(g, length(g) - j, 1) AS INTEGER)
+    ELSE 2 * CAST(substr(g, length(g) - j, 1) AS INTEGER) - CASE WHEN CAST(substr(g, length(g) - j, 1) AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+  ELSE length(g) BETWEEN 10 AND 15 END)
+SELECT d.doc_id, CAST(coalesce(x.e, 0) AS BIGINT) AS n_email, CAST(coalesce(x.i, 0) AS BIGINT) AS n_ip, CAST(coalesce(x.c, 0) AS BIGINT) AS n_card, CAST(coalesce(x.p, 0) AS BIGINT) AS n_phone, sha256(coalesce(x.spans, '')) AS base_sha256
+FROM d LEFT JOIN (SELECT doc_id, sum(CASE WHEN ord = 0 THEN 1 ELSE 0 END) AS e, sum(CASE WHEN ord = 1 THEN 1 ELSE 0 END) AS i, sum(CASE WHEN ord = 2 THEN 1 ELSE 0 END) AS c, sum(CASE WHEN ord = 3 THEN 1 ELSE 0 END) AS p,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord) AS spans FROM w GROUP BY 1) x ON x.doc_id = d.doc_id"""
