@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietfield.llm.common import Scratch, read
+from quietfield.llm.common import Scratch, read, ship_code
 from quietfield.llm.kernel import Words, mix, text_pieces
 
 #: Domains of the labelled table, and the shares of tokens wanted of each.
@@ -123,6 +123,7 @@ class Classifier:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     """From the ``sample`` labelled rows of least id hash (all, if fewer): a bound on what the driver gets."""
+    ship_code(docs.sparkSession)
     known = labels.where("doc_id is not null").select("doc_id", domain(F.col("quality"), F.col("toxic")).alias("label")).where("label is not null")
     ids = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 

@@ -623,7 +623,7 @@ def test_rates_against_a_solver(spark):
 
 
 def test_held_out_accuracy_of_domains(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     train, test = (labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0 if k else F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 0) for k in (0, 1))
     model = mixing.fit(docs, train)
     found = mixing.posteriors(docs, model).join(test.select("doc_id", mixing.domain(F.col("quality"), F.col("toxic")).alias("label")).where("label is not null"), "doc_id").collect()
