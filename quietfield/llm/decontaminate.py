@@ -311,4 +311,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item, with the item and how much of it. Null and empty texts hold none; repeated rows give
+    repeated results; an empty table of either gives an empty one."""
     return contaminated(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))

@@ -431,4 +431,6 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class. Texts without words are alone, rows of one id are one document, and an empty table gives an
+    empty one; a null id has a null class."""
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -309,5 +309,7 @@ def _list_offsets(lists: pa.ListArray) -> np.ndarray:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words left; its columns are those of the contract. Null, empty and short texts lose nothing; rows
+    of one id are on a par; a null id sorts last, as 2^63 - 1 does."""
     found = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
