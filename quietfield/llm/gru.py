@@ -11,6 +11,7 @@ import heapq
 import numpy as np
 
 WINDOW, PART = 32, 1024
+TINY = 1e-37
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -116,9 +117,9 @@ class Model:
         p, n = self.p, len(target)
         cls, slot = target // self.s, target % self.s
         a = states @ p["cw"] + p["cb"]
-        a -= a.max(1, keepdims=True)
+        a -= a.max()  # one shift for all rows: states are within -1 and 1, so rows differ by little
         ea = np.exp(a)
-        sa = ea.sum(1)
+        sa = ea @ np.ones(self.c, ea.dtype) + TINY
         logp = (a[np.arange(n), cls] - np.log(sa)).astype(np.float64)
         order = np.argsort(cls, kind="stable")
         cut = np.searchsorted(cls[order], np.arange(self.c + 1))
@@ -127,23 +128,28 @@ class Model:
             da = -ea / sa[:, None]
             da[np.arange(n), cls] += 1
             grad = {"cw": states.T @ da, "cb": da.sum(0), "ow": np.zeros_like(p["ow"]), "ob": np.zeros_like(p["ob"]), "states": da @ p["cw"].T}
-        ordered = states[order]
+        ordered, slot = states[order], slot[order]
+        within, up, ones = np.zeros(n), np.empty_like(ordered), np.ones(self.s, ordered.dtype)
         for c in range(self.c):
             lo, hi = cut[c], cut[c + 1]
             if lo == hi:
                 continue
-            rows, mine = ordered[lo:hi], order[lo:hi]
+            rows, mine = ordered[lo:hi], slot[lo:hi]
             b = rows @ p["ow"][c] + p["ob"][c]
-            b -= b.max(1, keepdims=True)
-            eb = np.exp(b)
-            sb = eb.sum(1)
+            b -= b.max()
             k = np.arange(hi - lo)
-            logp[mine] += b[k, slot[mine]] - np.log(sb)
+            own = b[k, mine]
+            eb = np.exp(b, out=b)
+            sb = eb @ ones + TINY
+            within[lo:hi] = own - np.log(sb)
             if learn:
-                db = -eb / sb[:, None]
-                db[k, slot[mine]] += 1
+                db = np.divide(eb, -sb[:, None], out=eb)
+                db[k, mine] += 1
                 grad["ow"][c], grad["ob"][c] = rows.T @ db, db.sum(0)
-                grad["states"][mine] += db @ p["ow"][c].T
+                up[lo:hi] = db @ p["ow"][c].T
+        logp[order] += within
+        if learn:
+            grad["states"][order] += up
         return logp, grad
 
     def table(self) -> np.ndarray:
@@ -186,23 +192,24 @@ class Model:
             _, g = self.outputs(states[on], target[on], True)
             up = np.zeros_like(states)
             up[on] = g.pop("states")
-            g |= {"u": np.zeros_like(p["u"]), "d": np.zeros_like(p["d"])}
-            gates, carry = np.empty((*target.shape, 3 * h), np.float32), np.zeros((n, h), np.float32)
+            gates, back = (np.empty((*target.shape, 3 * h), np.float32) for _ in range(2))  # by inputs, and by the state before
+            carry = np.zeros((n, h), np.float32)
             for t in reversed(range(len(target))):
                 old, y, z, r, new = tape[t]
                 dh = up[t] + carry
                 dnew = dh * z * (1 - new * new)
-                dz = dh * (new - old) * z * (1 - z)
-                dr = dnew * y[:, 2 * h :] * r * (1 - r)
-                gates[t] = np.concatenate([dz, dr, dnew], 1)
-                dy = np.concatenate([dz, dr, dnew * r], 1)
-                g["u"] += old.T @ dy
-                g["d"] += dy.sum(0)
-                carry = np.where(start[t][:, None], 0, dh * (1 - z) + dy @ p["u"].T)
-            flat, token = gates.reshape(-1, 3 * h), before.ravel()
+                gates[t, :, :h] = dh * (new - old) * z * (1 - z)
+                gates[t, :, h : 2 * h] = dnew * y[:, 2 * h :] * r * (1 - r)
+                gates[t, :, 2 * h :] = dnew
+                back[t, :, : 2 * h] = gates[t, :, : 2 * h]
+                back[t, :, 2 * h :] = dnew * r
+                carry = dh * (1 - z) + back[t] @ p["u"].T
+                carry[start[t]] = 0
+            flat, token, back = gates.reshape(-1, 3 * h), before.ravel(), back.reshape(-1, 3 * h)
+            g["u"], g["d"] = np.stack([x[0] for x in tape]).reshape(-1, h).T @ back, back.sum(0)
             g["w"], g["b"] = p["e"][token].T @ flat, flat.sum(0)
-            g["e"] = np.zeros_like(p["e"])
-            np.add.at(g["e"], token, flat @ p["w"].T)
+            by_token = flat @ p["w"].T
+            g["e"] = np.stack([np.bincount(token, x, self.v) for x in by_token.T], 1).astype(np.float32)
             step += 1
             count = int(on.sum())
             seen += count
