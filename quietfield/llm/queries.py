@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quietfield.llm.ann import op2_nearest
 from quietfield.llm.chat import op3_chat_format
 from quietfield.llm.decontaminate import op8_decontaminate
+from quietfield.llm.exact import op11_exact_dedup
 from quietfield.llm.langid import op10_language_id
 from quietfield.llm.licenses import op6_license_scan
 from quietfield.llm.lmscore import op5_lm_score
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": r"""
@@ -51,6 +53,10 @@ g AS (SELECT DISTINCT doc_id, pos + o AS pos FROM r CROSS JOIN (SELECT unnest(ra
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(x.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(x.kept, '')) AS kept_sha256
 FROM d LEFT JOIN (SELECT u.doc_id, sum(CASE WHEN g.pos IS NULL THEN 0 ELSE 1 END) AS n, string_agg(CASE WHEN g.pos IS NULL THEN u.word END, ' ' ORDER BY u.pos) AS kept
   FROM u LEFT JOIN g ON g.doc_id = u.doc_id AND g.pos = u.pos GROUP BY 1) x ON x.doc_id = d.doc_id""",
+    "op11_exact_dedup": r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS s FROM documents),
+g AS (SELECT doc_id, s, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS k FROM d WINDOW w AS (PARTITION BY s ORDER BY n DESC, doc_id))
+SELECT doc_id, keep_id, count(*) OVER (PARTITION BY s) AS group_size, k = 1 AS kept, sha256(s) AS text_sha256 FROM g""",
 }
 
 
