@@ -80,6 +80,21 @@ class Scratch:
             time.sleep(0.2)
 
 
+#: Groups that may count as large: each has 1/LARGE of all rows at least, so no more than LARGE are broadcast.
+LARGE, LEAST = 2000, 32
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Rows (a written table) with what their groups say, keys without nulls; ``size`` is the number of a group's rows.
+
+    Groups with more than 1/LARGE of all rows are broadcast and so are their rows spared a shuffle; others are joined.
+    """
+    limit = max(rows.count() // LARGE, LEAST)
+    large = F.broadcast(groups.where(F.col(size) > limit))
+    rest = rows.join(large, keys, "left_anti").join(groups.where(F.col(size) <= limit), keys)
+    return rest.unionByName(rows.join(large, keys))
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, mod n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -7,7 +7,7 @@ so two texts have the same (rounds, name) if and only if they are equal; and the
 that runs again on another executor gives the same ones.
 
 Blocks travel once. A block that is frequent (the many copies of a text) is dealt to several buckets in proportion to its
-count; its names there are told to be one by a table of at most ``FREQUENT`` contents, twice as many rows.
+count; its names there are told to be one by a table of at most ``LARGE`` contents, twice as many rows.
 """
 
 from __future__ import annotations
@@ -17,14 +17,10 @@ import json
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quietfield.llm.common import Scratch, parallelism, read
+from quietfield.llm.common import LARGE, LEAST, Scratch, parallelism, read, with_groups
 
 BLANK = " \t\n\x0b\x0c\r"
 BLOCK = 1024
-#: Contents (and groups of equal texts) that may count as frequent. Each has 1/FREQUENT of all rows at least.
-FREQUENT = 2000
-LEAST = 32
-
 
 def stripped(text: Column) -> Column:
     """The text without white space, null as empty."""
@@ -41,11 +37,11 @@ def blocks(data: Column, size: int) -> Column:
 
 
 def _frequent(facts: DataFrame) -> DataFrame:
-    """(h, parts): hashes that have 1/FREQUENT of all rows or more, and in how many parts to deal them; bounded by that."""
+    """(h, parts): hashes that have 1/LARGE of all rows or more, and in how many parts to deal them; bounded by that."""
     seen = Observation()
     counts = facts.groupBy("h").agg(F.count("*").alias("c")).observe(seen, F.sum("c").alias("all"))
-    top = counts.where(F.col("c") >= LEAST).orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
-    share = max((seen.get["all"] or 0) / FREQUENT, LEAST)
+    top = counts.where(F.col("c") >= LEAST).orderBy(F.desc("c"), "h").limit(LARGE).collect()
+    share = max((seen.get["all"] or 0) / LARGE, LEAST)
     rows = [{"h": r.h, "parts": int(r.c // share) + 1} for r in top if r.c >= share]
     listed = F.from_json(F.lit(json.dumps(rows)), "array<struct<h: bigint, parts: int>>")
     return facts.sparkSession.range(1).select(F.inline(listed))
@@ -111,10 +107,7 @@ def groups(docs: DataFrame, scratch: Scratch, text: str = "text", size: int = BL
     best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
     found = ids.groupBy("level", "name").agg(F.count("*").alias("group_size"), best.alias("best")).select("level", "name", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("best"))
     found = scratch.write(found, "groups")
-    limit = max(ids.count() // FREQUENT, LEAST)
-    large, others = F.broadcast(found.where(F.col("group_size") > limit)), found.where(F.col("group_size") <= limit)
-    rest = ids.join(large, ["level", "name"], "left_anti").join(others, ["level", "name"])
-    return rest.unionByName(ids.join(large, ["level", "name"])).select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("best")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return with_groups(ids, found, ["level", "name"], "group_size").select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("best")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

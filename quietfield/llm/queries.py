@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quietfield.llm.ann import op2_nearest
 from quietfield.llm.chat import op3_chat_format
+from quietfield.llm.codes import op12_vector_codes
 from quietfield.llm.decontaminate import op8_decontaminate
 from quietfield.llm.exact import op11_exact_dedup
 from quietfield.llm.langid import op10_language_id
@@ -18,6 +19,7 @@ from quietfield.llm.mixing import op9_mixing
 from quietfield.llm.near import op1_near_dedup
 from quietfield.llm.pii import digest, find, op7_pii
 from quietfield.llm.substrings import op4_substring_dedup
+from quietfield.llm.zones import op13_centroids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
@@ -31,6 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_centroids": op13_centroids,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": r"""
