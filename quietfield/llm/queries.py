@@ -63,6 +63,34 @@ g AS (SELECT doc_id, s, first_value(doc_id) OVER w AS keep_id, row_number() OVER
 SELECT doc_id, keep_id, count(*) OVER (PARTITION BY s) AS group_size, k = 1 AS kept, sha256(s) AS text_sha256 FROM g""",
 }
 
+_SOUND = "len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+_PAIR = "list_sum(list_transform(list_zip(a.q, b.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+
+def _rounds(n: int) -> str:
+    """Assignments a0, ..., an of rows k(part, id, q) to entries b0(part, e, q), with means in between."""
+    near = "a{0} AS (SELECT part, id, q, e, CAST(d AS BIGINT) AS d FROM (SELECT a.part, a.id, a.q, b.e, %s AS d, row_number() OVER (PARTITION BY a.part, a.id ORDER BY %s, b.e) AS r FROM k a JOIN b{0} b ON b.part = a.part) WHERE r = 1)" % (_PAIR, _PAIR)
+    mean = """m{1} AS (SELECT part, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS q FROM (SELECT part, e, i, sum(v) AS s, count(*) AS n FROM (SELECT part, e, unnest(q) AS v, unnest(range(len(q))) AS i FROM a{0}) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b{1} AS (SELECT b.part, b.e, coalesce(m.q, b.q) AS q FROM b{0} b LEFT JOIN m{1} m ON m.part = b.part AND m.e = b.e)"""
+    return ",\n".join([near.format(0), *[mean.format(i, i + 1) + ",\n" + near.format(i + 1) for i in range(n)]])
+
+
+ORACLE_SQL["op12_vector_codes"] = f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE embedding IS NOT NULL AND {_SOUND}),
+k AS (SELECT part, id, q[part * (len(q) // 16) + 1:(part + 1) * (len(q) // 16)] AS q FROM v CROSS JOIN (SELECT unnest(range(16)) AS part)),
+b0 AS (SELECT part, id - 1 AS e, q FROM k WHERE id <= 64),
+{_rounds(2)},
+x AS (SELECT id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string(q, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN x ON x.id = v.id CROSS JOIN h"""
+ORACLE_SQL["op13_centroids"] = f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) AS id, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE len(embedding) = 64 AND {_SOUND}),
+k AS (SELECT 0 AS part, id, q FROM v),
+b0 AS (SELECT part, id - 1 AS e, q FROM k WHERE id <= 16),
+{_rounds(3)}
+SELECT v.vec_id, CAST(a.e AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.e) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(b.q, ',')) AS centroid_sha256
+FROM a3 a JOIN v ON v.id = a.id JOIN b3 b ON b.e = a.e"""
+
 
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op6_license_scan says of the fixed phrases, which SQL can express; -1 for a place that isn't there."""
