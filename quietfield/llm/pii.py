@@ -109,7 +109,7 @@ def _seed_kind(value: Column) -> Column:
         F.when(whole(EMAIL), KINDS.index("email"))
         .when(whole(rf"{_OCTET}(?:\.{_OCTET}){{3}}"), KINDS.index("ip"))
         .when(whole("[0-9]{14,19}") & F.when(whole("[0-9]{14,19}"), F.call_function("luhn_check", value)), KINDS.index("card"))
-        .when(value.rlike(r"^\\+[0-9]{10,15}$"), KINDS.index("phone"))
+        .when(value.rlike(r"^\+[0-9]{10,15}$"), KINDS.index("phone"))
         .when(value.rlike(KEY_VALUE), KINDS.index("secret"))
     )
 
