@@ -44,6 +44,7 @@ def _low(point: int) -> int:
 
 
 _LOW = np.array([_low(p) for p in range(0x3000)], np.uint32)
+_MARK = np.array([unicodedata.category(chr(p)).startswith("M") for p in range(0x3000)])
 
 
 def normal(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +59,10 @@ def normal(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         values, back = np.unique(points[high], return_inverse=True)
         low[high] = np.array([_low(int(v)) for v in values], np.uint32)[back]
     letter = low != BLANK
-    letters = np.concatenate([[0], np.cumsum(letter)])
+    mark = _MARK[np.minimum(points, len(_MARK) - 1)]
+    if len(high):
+        mark[high] = np.array([unicodedata.category(chr(int(v))).startswith("M") for v in values])[back]
+    letters = np.concatenate([[0], np.cumsum(letter & ~mark)])
     keep = letter.copy()  # of a run of other characters one is kept
     keep[1:] |= letter[:-1]
     keep[at[:-1][at[:-1] < len(low)]] = True
