@@ -35,31 +35,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of near duplicates one document, that of least doc_id. Different rows of one id are documents of
-    their own, rows that are the same in all columns are one; a row without an id stays."""
-    keyed = own_keys(docs.where("doc_id is not null"))
-    classes = near.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"))
-    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("key")).distinct()
-    return keyed.join(kept, "key", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
-
-
-def own_keys(docs: DataFrame) -> DataFrame:
-    """``docs`` with key: the doc_id, and a hash of the row for those of an id that aren't its least row by hash. Where no
-    id stands more than once, texts are not shuffled."""
-    if docs.select("doc_id").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.withColumn("key", F.col("doc_id"))
-    version = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    once = docs.dropDuplicates().withColumn("key", version)
-    least = once.groupBy("doc_id").agg(F.min("key").alias("least_key"))
-    mine = once.join(least, "doc_id")
-    return mine.withColumn("key", F.when(F.col("key") == F.col("least_key"), F.col("doc_id")).otherwise(F.col("key"))).select(*docs.columns, "key")
+    """Keeps of each class of near duplicates one document, that of least doc_id (null last; of several rows of that id one).
+    Different rows of one id are documents of their own, rows that are the same in all columns are one."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        classes = near.near_duplicates(docs.select("doc_id", "text"))
+        kept = classes.where("doc_id = class_id").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    mine = packed(docs.dropDuplicates()).withColumn("key", row_key())
+    mine = Scratch(spark, "keyed").write(mine, "keyed")
+    classes = near.near_duplicates(mine.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "class_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    kept = mine.select("doc_id", "key").join(classes, "key").groupBy("class_id").agg(first.alias("first")).select(F.col("first.key").alias("key"))
+    return unpacked(mine.join(kept, "key", "left_semi"), docs.columns)
+
+
+def row_key() -> Column:
+    """A key of packed rows, for tables where ids repeat or are missing: rows of one key are the same row."""
+    return F.xxhash64("row")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of the benchmark."""
-    held = decontaminate.contaminated(docs.select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
-    held = Scratch(spark, "contaminated").write(held.select("doc_id").distinct(), "held")
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents that hold an item of the benchmark: rows, whatever their ids."""
+    mine = packed(docs).withColumn("key", row_key())
+    held = decontaminate.contaminated(mine.select(F.col("key").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    held = Scratch(spark, "contaminated").write(held.select(F.col("doc_id").alias("key")).distinct(), "held")
+    return unpacked(mine.join(held, "key", "left_anti"), docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
