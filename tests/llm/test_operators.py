@@ -134,6 +134,21 @@ def test_counts_do_not_part_alike_sets(spark):
     assert {(r.doc_id, r.class_id) for r in near.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()} == {(i, i - i % 2) for i in range(60)}
 
 
+@pytest.mark.parametrize(("shared", "tail"), [(160, 16), (160, 27), (160, 32)])
+def test_bands_of_texts_that_repeat_different_passages(shared, tail):
+    """Two texts share two passages; one repeats the first 40 times, the other the second, and each has its own tail."""
+    met = 0
+    for k in range(300):
+        a, b = ([f"{c}{k}x{i}" for i in range(shared)] for c in "ab")
+        texts = [" ".join([*a * 40, *b, *[f"t{k}x{i}" for i in range(tail)]]), " ".join([*a, *b * 40, *[f"u{k}x{i}" for i in range(tail)]])]
+        one, two = (set(x.tolist()) for x in (near.shingles(kernel.Words(kernel.whole(pa.array([t]))))[1] for t in texts))
+        assert len(one & two) >= 0.8 * len(one | two)
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(texts)], ["doc_id", "text"])
+        x, y = next(near.sign(iter([batch]))).column(5).to_pylist()
+        met += any(p == q for p, q in zip(x, y, strict=True))
+    assert met >= 297
+
+
 def test_links_within_a_tile():
     rng = np.random.default_rng(2)
     base = rng.integers(1 << 60, size=60).astype(np.uint64)
@@ -482,6 +497,21 @@ def base_of(text: str) -> list[str]:
     return [f"{k}:{a}:{b}" for a, _, b, k in sorted(found)]
 
 
+@pytest.mark.parametrize(("kind", "value", "unseen"), [
+    ("email", lambda i: f"user{i}@mail{i}.example.com", "u77mailbox"), ("ip", lambda i: f"10.0.{i}.7", "10.0.x5.7"), ("phone", lambda i: f"+1415555{1000 + i}", "+1415x5551"),
+    ("card", lambda i: next(n for n in (f"4{i:05d}00000000{c:02d}" for c in range(100)) if sum(int(d) if j % 2 == 0 else (2 * int(d) - 9 if int(d) > 4 else 2 * int(d)) for j, d in enumerate(reversed(n))) % 10 == 0), "4x00112233"),
+])
+def test_seeds_of_each_kind_teach_contexts(spark, kind, value, unseen):
+    for before in (f"{kind}field=", f"their {kind}word "):
+        rows = [(i, f"so {before}{value(i)} it was", "v", 1.0) for i in range(40)]
+        docs = spark.createDataFrame([*rows, (99, f"so {before}{unseen} it was", "v", 1.0)], "doc_id long, text string, version string, score double")
+        learned = pii.learn_contexts(docs)
+        assert {pii.KINDS[r.kind] for r in learned.collect()} == {kind}, before
+        found = {r.doc_id: r.spans for r in pii.digest(pii.find(docs, learned)).collect()}
+        start = len(f"so {before}")
+        assert f"{kind}:{start}:{start + len(unseen)}" in found[99].split(",")
+
+
 def test_fixed_kinds_against_their_definition(spark):
     rng = random.Random(21)
     bits = ["4111 1111 1111 1111", "4111-1111-1111-1112", "a.b@c.de", "x@y", "@", "1.2.3.4", "300.1.1.1", "1.2.3.4.5.6.7.8", "+1 (988) 555-2485", "+12", "é", "日本", "+44 20 7946 0958.", "12345678901234567890", "0", " ", ".", "-", "q@r.s.t@u.v"]
@@ -651,6 +681,12 @@ def parsed(x: str) -> bytes:
     return langid.normal(kernel.whole(pa.array([x])))[0].tobytes()
 
 
+def test_marks_alone_are_no_letters():
+    model = langid.Automata({"de": "das ist gut e\u0301 so", "en": "this is good"})
+    lang, score = model.predict(kernel.whole(pa.array(["\u0301" * 3, "\u0301", "\U0001e8d0\U0001e8d1", "e\u0301", "12 \u0301 ?"])))
+    assert [x == langid.UND for x in lang] == [True, True, True, False, True] and score[:3].tolist() == [0, 0, 0]
+
+
 def test_cross_parsing_is_greedy():
     """Over whole texts, those of many segments included, and a language's own text, which is one phrase."""
     rng = random.Random(3)

@@ -42,6 +42,38 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()} == kept
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_decontamination_is_by_row(spark, tmp_path):
+    rng = random.Random(5)
+    say = lambda n: " ".join("".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(n))
+    item, clean = say(60) + ".", say(80)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"{say(20)} {item} {say(20)}"), (7, f"{say(20)} {item}"), (7, clean), (None, say(70)), (7, clean), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    left = pipeline.decontamination(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and sorted((r.doc_id or -1, r.text or "") for r in left.collect()) == sorted((i or -1, t or "") for i, t in rows[2:])
+
+
+def test_near_dedup_keeps_the_least_id_where_ids_repeat(spark, tmp_path):
+    rng = random.Random(6)
+    say = lambda n: [("".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3))) for _ in range(n)]
+    rows, want = [], set()
+    for k in range(60):
+        words = say(80)
+        one, two = " ".join(words), " ".join(["zz", *words[1:]])
+        low, high = 10 * k, 10 * k + 1
+        rows += [(low, one), (high, two), (high if k % 2 else low, " ".join(say(70)))]  # one side's id stands twice
+        want |= {(low, one), (rows[-1][0], rows[-1][1])}
+    gone, kept = " ".join(say(80)), " ".join(say(80))
+    rows += [(None, gone), (5000, gone + " zz"), (None, kept), (None, kept)]
+    want |= {(5000, gone + " zz"), (None, kept)}
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(3)
+    left = pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(want, key=str)
+
+
 def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
