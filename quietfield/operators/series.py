@@ -13,11 +13,6 @@ from quietfield.operators.spectral import per_channel
 from quietfield.operators.windows import BLOCK, blocked
 
 
-def cosine_mask(signal: DataFrame, fraction: float = 0.5, mask: np.ndarray | None = None) -> DataFrame:
-    """The low part of the cosine transform, or it times a mask stretched to fit."""
-    return per_channel(signal, lambda x: K.dct_mask(x, fraction, mask))
-
-
 def spectrogram_mask(signal: DataFrame, nperseg: int = 256, noverlap: int | None = None, mask: np.ndarray | None = None, percentile: float = 90.0) -> DataFrame:
     return per_channel(signal, lambda x: K.masked_spectrogram(x, nperseg, noverlap, mask, percentile))
 

@@ -1,6 +1,7 @@
-"""Frequencies by direct transforms: sums of x cos and x sin over samples, at the bins asked for only.
+"""Frequencies: direct sums of x cos and x sin over samples at a few bins, segments, and filters.
 
-Each task adds up its share of every bin, so what is shuffled is bins times channels, whatever the length.
+Of direct sums each task adds up its share of every bin, so what is shuffled is bins times channels, whatever the length;
+whole transforms are in ``transforms``.
 """
 
 from __future__ import annotations
@@ -16,17 +17,18 @@ from quietfield.functions import kernels as K
 
 
 def transform_at(signal: DataFrame, n: int, bins: list[int]) -> DataFrame:
-    """(channel, bin, re, im) of the discrete transform over n samples."""
+    """(channel, bin, re, im) of the discrete transform over n samples, at a few bins."""
     k = np.array(sorted(bins))
+    at_once = max(64, (1 << 20) // max(len(k), 1))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
         for f in frames:
             for channel, g in f.groupby("channel", sort=False):
                 t, x = g["t"].to_numpy(), g["x"].to_numpy(float)
-                for lo in range(0, len(t), 4096):
-                    turn = np.exp(-2j * np.pi * ((t[lo : lo + 4096, None] * k[None]) % n) / n)
-                    total[channel] = total.get(channel, 0) + x[lo : lo + 4096] @ turn
+                for lo in range(0, len(t), at_once):
+                    turn = np.exp(-2j * np.pi * ((t[lo : lo + at_once, None] * k[None]) % n) / n)
+                    total[channel] = total.get(channel, 0) + x[lo : lo + at_once] @ turn
         for channel, z in total.items():
             yield pd.DataFrame({"channel": channel, "bin": k, "re": z.real, "im": z.imag})
 
@@ -120,18 +122,15 @@ def notch(signal: DataFrame, rate: float, freq: float, width: float = 0.5, order
 
 
 def hybrid_notch(signal: DataFrame, rate: float, freq: float, width: float = 0.5, most_db: float = 3.0) -> DataFrame:
-    """The notch on channels whose power around it (within 3 Hz) falls by ``most_db`` at most."""
-    sos = K.butter_sos(4, [max(freq - width, 0.001 * rate / 2), min(freq + width, 0.999 * rate / 2)], "bandstop", rate)
-
-    def run(x: np.ndarray) -> np.ndarray:
-        y = K.sosfiltfilt(sos, x)
-        f, before = K.welch(x, rate, min(len(x), int(4 * rate)))
-        _, after = K.welch(y, rate, min(len(x), int(4 * rate)))
-        ring = (np.abs(f - freq) <= 3) & (np.abs(f - freq) > width)
-        loss = 10 * np.log10(before[ring].mean() / max(after[ring].mean(), 1e-300)) if ring.any() else 0.0
-        return y if loss <= most_db else x
-
-    return per_channel(signal, run)
+    """The notch on channels whose power around it (within 3 Hz) falls by ``most_db`` at most, by spectra of segments."""
+    n = signal.agg((F.max("t") + 1).alias("n")).first().n or 0
+    clean = notch(signal, rate, freq, width)
+    away = F.abs(F.col("freq") - freq)
+    around = lambda s, name: welch(s, rate, min(n, int(4 * rate))).where((away <= 3) & (away > width)).groupBy("channel").agg(F.avg("power").alias(name))
+    both = around(signal, "before").join(around(clean, "after"), "channel")
+    refused = both.where(10 * F.log10(F.col("before") / F.greatest("after", F.lit(1e-300))) > most_db).select("channel", F.lit(True).alias("refused"))
+    met = signal.select("channel", "t", "x").join(clean.select("channel", "t", F.col("x").alias("y")), ["channel", "t"]).join(F.broadcast(refused), "channel", "left")
+    return met.select("channel", "t", F.when(F.col("refused"), F.col("x")).otherwise(F.col("y")).alias("x"))
 
 
 def peak(signal: DataFrame, rate: float, freq: float, q: float = 30.0, block: int = 1 << 18) -> DataFrame:
@@ -145,15 +144,9 @@ def comb(signal: DataFrame, rate: float, freq: float, harmonics: int = 3, q: flo
     return in_blocks(signal, lambda x: sum((w * K.filtfilt(b, a, x) for (b, a), w in parts), np.zeros(len(x))), K.memory(*[a for (_, a), _ in parts]), block=block)
 
 
-def interpolate_lines(signal: DataFrame, rate: float, freqs: list[float], half: float = 1.0, neighbours: float = 2.0) -> DataFrame:
-    """Magnitudes within ``half`` of each line become the mean of their neighbours; phases stay. In order of frequency,
-    each line sees what came of those before."""
-    return per_channel(signal, lambda x: K.interpolate_spectrum(x, rate, freqs, half, neighbours))
-
-
 def welch(signal: DataFrame, rate: float, nperseg: int, nfft: int | None = None) -> DataFrame:
     """(channel, freq, power), Hann windows with half overlap; segments are tasks of their own, then averaged."""
-    hop = nperseg // 2
+    hop = max(1, nperseg - nperseg // 2)
     n = signal.agg((F.max("t") + 1).alias("n")).first().n or 0
     starts = list(range(0, n - nperseg + 1, hop))
     last = starts[-1] if starts else -1

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietfield.functions import linalg as L
-from quietfield.operators import asr, denoisers, dss, head, lines, moments, qa, references, series, spans, spectral, views, windows
+from quietfield.operators import asr, denoisers, dss, head, lines, moments, qa, references, series, spans, spectral, transforms, views, windows
 from quietfield.plans import validation
 from quietfield.plans.model import apply_long, fitted_covariance, matrix_table
 from quietfield.sources import signals as S
@@ -72,7 +72,7 @@ def smooth_pair(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def psd_pair(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     before, after = smooth_pair(spark, d)
     n = hours(before)
-    return tuple(spectral.power_at(s, n, list(range(1, (n + 1) // 2)), 24.0) for s in (before, after))
+    return tuple(transforms.periodogram(s, n, 24.0) for s in (before, after))
 
 
 # --- windows -------------------------------------------------------------------------------------------------
@@ -839,7 +839,8 @@ def _(spark, d):
 
 @query("spectrum_interpolation")
 def _(spark, d):
-    return spectral.interpolate_lines(_trend(spark, d), 24.0, [1.0, 2.0], 0.05, 0.2)
+    trend = _trend(spark, d)
+    return transforms.interpolate_lines(trend, hours(trend), 24.0, [1.0, 2.0], 0.05, 0.2)
 
 
 @query("welch_psd")
@@ -849,7 +850,8 @@ def _(spark, d):
 
 @query("cosine_mask")
 def _(spark, d):
-    return series.cosine_mask(_trend(spark, d), 0.2)
+    trend = _trend(spark, d)
+    return transforms.cosine_mask(trend, hours(trend), 0.2)
 
 
 @query("spectrogram_mask")
