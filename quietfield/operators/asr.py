@@ -298,26 +298,26 @@ def guidance(signal: DataFrame, biased: list[DataFrame]) -> np.ndarray:
     return np.mean([p / np.trace(p) for p in parts], 0)
 
 
-def reference_samples(signal: DataFrame, top: int = 5, share: float = 0.1) -> DataFrame:
-    """(t, cluster, core): samples clustered by their largest amplitudes, within a chessboard distance of a tenth of the
-    modal size. Cells of that width keep comparisons to neighbours, so no pair of far samples meets; cells with enough
-    samples are core as a whole, and clusters are components of cells."""
+def reference_samples(signal: DataFrame, top: int = 5, share: float = 0.1, eps: float | None = None, least: int | None = None) -> DataFrame:
+    """(t, cluster, core, kept): density clusters of samples by their ``top`` largest amplitudes, and whether a sample is of
+    the chosen one, that of the least median largest amplitude (of equals the larger, then the earlier).
+
+    Unless given, the radius is a tenth of the mode of the amplitudes' size, and a core sample needs ``share`` of the
+    samples up to that mode as neighbours. Where there is no cluster, every sample is kept.
+    """
+    from quietfield.operators.density import clusters
     from quietfield.operators.moments import histogram_mode
 
-    rows = by_sample(signal)
-    tops = rows.select("t", F.slice(F.sort_array(F.transform("xs", lambda v: F.abs(v)), asc=False), 1, top).alias("f"))
+    c = len(channels_of(signal))
+    top = min(top, c)
+    tops = by_sample(signal).select("t", F.slice(F.sort_array(F.transform("xs", lambda v: F.abs(v)), asc=False), 1, top).alias("f"))
     tops = tops.withColumn("size", F.sqrt(F.aggregate("f", F.lit(0.0), lambda s, v: s + v * v)))
     mode = histogram_mode(tops, "size")
-    eps = mode / 10 if mode else 1.0
-    least = max(2, int(np.ceil(share * tops.where(F.col("size") <= mode).count())))
-    cells = tops.withColumn("cell", F.transform("f", lambda v: F.floor(v / (eps / 2)).cast("long")))
-    dense = cells.groupBy("cell").agg(F.count("*").alias("n"), F.percentile("size", 0.5).alias("middle"))
-    own = dense.where(F.col("n") >= least)
-    best = own.orderBy("middle", F.desc("n")).first()
-    if best is None:
-        return tops.select("t", F.lit(True).alias("kept"))
-    ok = F.forall(F.zip_with("cell", F.array(*[F.lit(int(v)) for v in best.cell]), lambda a, b: F.abs(a - b)), lambda d: d <= 2)
-    return cells.select("t", ok.alias("kept"))
+    eps = eps or (mode / 10 if mode else 1.0)
+    least = least or max(2, int(np.ceil(share * tops.where(F.col("size") <= mode).count())))
+    found = clusters(tops.select("t", "f"), eps, least, top).join(tops.select("t", F.col("f")[0].alias("largest")), "t")
+    best = found.where("cluster is not null").groupBy("cluster").agg(F.median("largest").alias("middle"), F.count("*").alias("n")).orderBy("middle", F.desc("n"), "cluster").first()
+    return found.select("t", "cluster", "core", F.lit(True).alias("kept") if best is None else F.coalesce(F.col("cluster") == best.cluster, F.lit(False)).alias("kept"))
 
 
 def gev_reference(signal: DataFrame, points: int = 2000) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,13 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quietfield.functions import linalg as L
+from quietfield.plans.tables import shared_dir
 from quietfield.sources import signals as S
 
 
-def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")).rstrip("/")
-
-
 def running_mean_state(signal: DataFrame, window: int) -> DataFrame:
     """Causal mean of the last ``window`` samples of a stream of (channel, t, x) that comes in order for each channel.
 
