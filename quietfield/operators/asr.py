@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quietfield.functions import kernels as K
 from quietfield.functions import linalg as L
 from quietfield.operators import windows
+from quietfield.operators.filters import Cascade, forward
 from quietfield.operators.moments import block_covariances
 from quietfield.plans.model import by_window
 from quietfield.sources.signals import by_sample, channels_of, long_from_samples
@@ -264,13 +265,8 @@ def process_globally(signal: DataFrame, state: State, n: int, step: int, most: f
 
 
 def _filtered(signal: DataFrame, state: State) -> DataFrame:
-    """Filtered by the statistics' filter, in blocks of time with a margin of its memory."""
-    if len(state.a) == 1:
-        return signal
-    from quietfield.operators.spectral import in_blocks
-
-    b, a = state.b, state.a
-    return in_blocks(signal, lambda x: K.lfilter(b, a, x)[0], K.memory(a), after=0)
+    """Filtered by the statistics' filter."""
+    return signal if len(state.a) == 1 else forward(signal, Cascade.of((state.b, state.a)))
 
 
 def guided_weights(artifact: np.ndarray | None, preserve: np.ndarray | None, strength: float = 1.0):

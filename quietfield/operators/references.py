@@ -112,10 +112,10 @@ def source_informed(signal: DataFrame, lead: np.ndarray, lam: float = 0.1, round
 
 def artifact_topographies(signal: DataFrame, rate: float, high_pass: float, components: int | float) -> np.ndarray:
     """Leading spatial directions of the high-passed signal: a count, or a share of variance."""
-    from quietfield.operators.spectral import in_blocks
+    from quietfield.operators.filters import Cascade, zero_phase
 
     sos = K.butter_sos(2, [high_pass], "highpass", rate)
-    cov, _, _ = fitted_covariance(in_blocks(rereferenced(signal), lambda x: K.sosfiltfilt(sos, x), K.memory(*[s[3:] for s in sos])))
+    cov, _, _ = fitted_covariance(zero_phase(rereferenced(signal), Cascade.of_sos(sos)))
     v, u = L.descending(cov)
     k = int(components) if components >= 1 else int(np.searchsorted(np.cumsum(v) / v.sum(), components) + 1)
     return u[:, :k]

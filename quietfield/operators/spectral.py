@@ -7,6 +7,7 @@ whole transforms are in ``transforms``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietfield.functions import kernels as K
+from quietfield.operators.filters import Cascade, zero_phase
 
 
 def transform_at(signal: DataFrame, n: int, bins: list[int]) -> DataFrame:
@@ -108,8 +110,7 @@ def in_blocks(signal: DataFrame, function, memory: int, after: int | None = None
 
 
 def bandpass(signal: DataFrame, rate: float, low: float, high: float, order: int = 4, block: int = 1 << 18) -> DataFrame:
-    sos = K.butter_sos(order, [low, high], "bandpass", rate)
-    return in_blocks(signal, lambda x: K.sosfiltfilt(sos, x), K.memory(*[s[3:] for s in sos]), block=block)
+    return zero_phase(signal, Cascade.of_sos(K.butter_sos(order, [low, high], "bandpass", rate)), block)
 
 
 def notch(signal: DataFrame, rate: float, freq: float, width: float = 0.5, order: int = 4, block: int = 1 << 18) -> DataFrame:
@@ -117,8 +118,7 @@ def notch(signal: DataFrame, rate: float, freq: float, width: float = 0.5, order
     low, high = max(freq - width, 0.001 * rate / 2), min(freq + width, 0.999 * rate / 2)
     if low >= high:
         return signal
-    sos = K.butter_sos(order, [low, high], "bandstop", rate)
-    return in_blocks(signal, lambda x: K.sosfiltfilt(sos, x), K.memory(*[s[3:] for s in sos]), block=block)
+    return zero_phase(signal, Cascade.of_sos(K.butter_sos(order, [low, high], "bandstop", rate)), block)
 
 
 def hybrid_notch(signal: DataFrame, rate: float, freq: float, width: float = 0.5, most_db: float = 3.0) -> DataFrame:
@@ -134,14 +134,16 @@ def hybrid_notch(signal: DataFrame, rate: float, freq: float, width: float = 0.5
 
 
 def peak(signal: DataFrame, rate: float, freq: float, q: float = 30.0, block: int = 1 << 18) -> DataFrame:
-    b, a = K.peak_filter(freq, q, rate)
-    return in_blocks(signal, lambda x: K.filtfilt(b, a, x), K.memory(a), block=block)
+    return zero_phase(signal, Cascade.of(K.peak_filter(freq, q, rate)), block)
 
 
 def comb(signal: DataFrame, rate: float, freq: float, harmonics: int = 3, q: float = 30.0, proportional: bool = False, weights: list[float] | None = None, block: int = 1 << 18) -> DataFrame:
     """Weighted sum of peaks at the harmonics below 0.95 of the highest frequency; weights 1/h."""
     parts = [(K.peak_filter(freq * h, q * h if proportional else q, rate), (weights or [1 / k for k in range(1, harmonics + 1)])[h - 1]) for h in range(1, harmonics + 1) if freq * h < 0.95 * rate / 2]
-    return in_blocks(signal, lambda x: sum((w * K.filtfilt(b, a, x) for (b, a), w in parts), np.zeros(len(x))), K.memory(*[a for (_, a), _ in parts]), block=block)
+    if max((K.memory(a) for (_, a), _ in parts), default=0) <= block:
+        return in_blocks(signal, lambda x: sum((w * K.filtfilt(b, a, x) for (b, a), w in parts), np.zeros(len(x))), K.memory(*[a for (_, a), _ in parts]), block=block)
+    each = [zero_phase(signal, Cascade.of(section), block).withColumn("x", w * F.col("x")) for section, w in parts]
+    return reduce(DataFrame.unionByName, each).groupBy("channel", "t").agg(F.sum("x").alias("x"))
 
 
 def welch(signal: DataFrame, rate: float, nperseg: int, nfft: int | None = None) -> DataFrame:
