@@ -15,6 +15,7 @@ from quietfield.operators import windows
 from quietfield.operators.filters import Cascade, forward
 from quietfield.operators.moments import block_covariances
 from quietfield.plans.model import by_window
+from quietfield.plans.tables import kept as kept_table
 from quietfield.sources.signals import by_sample, channels_of, long_from_samples
 
 
@@ -113,37 +114,55 @@ def _folded(rows: DataFrame, c: int, make) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _median_covariance(blocks: DataFrame, names: list[str], rounds: int = 128, tol: float = 1e-7) -> np.ndarray:
-    """Geometric median by Weiszfeld's iteration over a table of blocks: a pass each round, whatever their number."""
-    c, rows = len(names), _blocks_as_rows(blocks).persist()
-    try:
-        s, w = _folded(rows, c, lambda m: (np.ones(len(m)), m))
-        now = s / w
-        for _ in range(rounds):
-            floor = 1e-12 * max(np.linalg.norm(now), 1e-300)
-            s, w = _folded(rows, c, lambda m, now=now, floor=floor: (1 / np.maximum(np.linalg.norm(m - now, axis=(1, 2)), floor), m))
-            before, now = now, s / w
-            if np.linalg.norm(now - before) <= tol * max(np.linalg.norm(before), 1e-300):
-                break
-    finally:
-        rows.unpersist()
-    return now
+    """Geometric median by Weiszfeld's iteration, accelerated, over a written table of blocks: a pass each round and a row
+    of sums for each task, whatever their number."""
+    c, rows = len(names), kept_table(_blocks_as_rows(blocks), "blocks")
+    s, w = _folded(rows, c, lambda m: (np.ones(len(m)), m))
+
+    def step(now: np.ndarray) -> np.ndarray:
+        floor = 1e-12 * max(np.linalg.norm(now), 1e-300)
+        s, w = _folded(rows, c, lambda m: (1 / np.maximum(np.linalg.norm(m - now, axis=(1, 2)), floor), m))
+        return s / w
+
+    return accelerated(step, s / w, rounds, tol)
+
+
+def accelerated(step, start: np.ndarray, rounds: int, tol: float, memory: int = 5) -> np.ndarray:
+    """A fixed point of ``step``, which is a pass over the data, by Anderson's mixing of the last steps: the combination of
+    them whose residuals, taken linearly, cancel best. A mix whose residual is larger than the last one is given up for
+    the plain step."""
+    x, xs, gs, best = start, [], [], np.inf
+    for _ in range(rounds):
+        g = step(x)
+        size = float(np.linalg.norm(g - x))
+        if size <= tol * max(np.linalg.norm(x), 1e-300):
+            return g
+        if size > 2 * best and gs:  # back to the plain step from the last good point
+            x, xs, gs, best = gs[-1], [], [], np.inf
+            continue
+        best = min(best, size)
+        xs, gs = [*xs, x][-memory:], [*gs, g][-memory:]
+        f = np.stack([(b - a).ravel() for a, b in zip(xs, gs, strict=True)])
+        x = g
+        if len(f) > 1:
+            d = np.diff(f, axis=0)
+            mix = np.linalg.lstsq(d.T, f[-1], rcond=1e-10)[0]
+            x = g - np.tensordot(mix, np.diff(np.stack(gs), axis=0), 1)
+    return x
 
 
 def _karcher_covariance(blocks: DataFrame, names: list[str], rounds: int = 32, tol: float = 1e-7) -> np.ndarray:
     """Affine-invariant mean over a table of blocks: tangent vectors are averaged in a pass each round."""
-    c, rows = len(names), _blocks_as_rows(blocks).persist()
-    try:
-        s, w = _folded(rows, c, lambda m: (np.ones(len(m)), m))
-        now = s / w
-        for _ in range(rounds):
-            h, ih = L.spd_map(now, np.sqrt), L.spd_map(now, lambda v: 1 / np.sqrt(v))
-            s, w = _folded(rows, c, lambda m, ih=ih: (np.ones(len(m)), np.stack([L.spd_log(ih @ x @ ih) for x in m])))
-            v, u = np.linalg.eigh(s / w)
-            now = h @ ((u * np.exp(v)) @ u.T) @ h
-            if np.linalg.norm(s / w) < tol:
-                break
-    finally:
-        rows.unpersist()
+    c, rows = len(names), kept_table(_blocks_as_rows(blocks), "blocks")
+    s, w = _folded(rows, c, lambda m: (np.ones(len(m)), m))
+    now = s / w
+    for _ in range(rounds):
+        h, ih = L.spd_map(now, np.sqrt), L.spd_map(now, lambda v: 1 / np.sqrt(v))
+        s, w = _folded(rows, c, lambda m, ih=ih: (np.ones(len(m)), np.stack([L.spd_log(ih @ x @ ih) for x in m])))
+        v, u = np.linalg.eigh(s / w)
+        now = h @ ((u * np.exp(v)) @ u.T) @ h
+        if np.linalg.norm(s / w) < tol:
+            break
     return now
 
 
@@ -162,11 +181,16 @@ def repair(state: State, space: tuple[np.ndarray, np.ndarray], most: float = 0.6
     return np.real(r), keep, limit
 
 
+def spaces(covariances: np.ndarray, alpha: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Variances and directions of a stack of window covariances; with ``alpha``, of their nonlinear eigenspaces."""
+    return np.linalg.eigh(covariances) if alpha is None else L.riemannian_eigenspace(covariances, alpha)
+
+
 LOG = "start long, stop long, n_reconstructed int, applied boolean, variances array<double>, limits array<double>, weights array<double>"
 
 
-def process(signal: DataFrame, state: State, rate: float, n: int, length: float = 0.5, step: int | None = None, most: float = 0.66, chunk: int = 1 << 15, weights=None, log: bool = False) -> DataFrame:
-    """The repaired signal. Chunks of time are tasks of their own: an update sees only the last window of the filtered
+def process(signal: DataFrame, state: State, rate: float, n: int, length: float = 0.5, step: int | None = None, most: float = 0.66, chunk: int = 1 << 15, weights=None, log: bool = False, alpha: float | None = None) -> DataFrame:
+    """The repaired signal; with ``alpha``, each window's directions are those of its nonlinear eigenspace. Chunks of time are tasks of their own: an update sees only the last window of the filtered
     stream, and the blend only the update before, so a margin of both (and of the filter's memory) is all they need.
     Nothing is carried from call to call: every call starts anew. With ``log``, what was done instead of the signal:
     a row (LOG) for each update, with the span that it governs."""
@@ -181,13 +205,13 @@ def process(signal: DataFrame, state: State, rate: float, n: int, length: float
 
     def run(start: int, stop: int, t: np.ndarray, x: np.ndarray) -> pd.DataFrame:
         st = sent.value
-        lo = int(t[0])
+        lo, own = int(t[0]), x.shape[1]
         if lo == 0:  # the stream starts with the signal's edge turned about its first sample
-            head = min(ahead, x.shape[1] - 1)
+            head = min(ahead, own - 1)
             x = np.concatenate([2 * x[:, :1] - x[:, head:0:-1], x], 1)
             t = np.concatenate([np.arange(-head, 0), t])
         if int(t[-1]) == n - 1:
-            tail = min(ahead, x.shape[1] - 1)
+            tail = min(ahead, own - 1)
             x = np.concatenate([x, 2 * x[:, -1:] - x[:, -2 : -tail - 2 : -1]], 1)
             t = np.concatenate([t, np.arange(n, n + tail)])
         s = K.lfilter(st.b, st.a, x)[0] if len(st.a) > 1 else x
@@ -198,11 +222,9 @@ def process(signal: DataFrame, state: State, rate: float, n: int, length: float
         sums = np.concatenate([np.zeros((1, c, c)), np.cumsum(np.einsum("it,jt->tij", s, s), 0)]) if s.shape[1] * c * c < 4e7 else None
         last, trivial = np.eye(c), True
         done, rows = None, []
-        for m in marks:
-            hi = at.get(min(m + ahead, int(t[-1])), len(t) - 1) + 1
-            a = max(hi - size, 0)
-            cov = ((sums[hi] - sums[a]) if sums is not None else s[:, a:hi] @ s[:, a:hi].T) / size
-            space = np.linalg.eigh(cov)
+        ends = [at[max(min(m + ahead, int(t[-1])), int(t[0]))] + 1 for m in marks]
+        moments = [(sums[hi] - sums[max(hi - size, 0)]) if sums is not None else s[:, max(hi - size, 0) : hi] @ s[:, max(hi - size, 0) : hi].T for hi in ends]
+        for m, *space in zip(marks, *spaces(np.stack(moments) / size, alpha), strict=True):
             r, keep, limit = repair(st, space, most, weights)
             own = bool(keep.all())
             if log and done is not None and start < m <= stop + (step if stop == n else 0) and done < n:

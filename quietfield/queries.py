@@ -905,6 +905,13 @@ def _(spark, d):
     return asr.gev_reference(_trend(spark, d))
 
 
+@query("asr_stream")
+def _(spark, d):
+    """The repair of ``asr``, of a stream in five uneven chunks."""
+    sig, _, state = _calibrated(spark, d)
+    return streams.repair(spark, sig, state, 24.0, 1.0)
+
+
 @query("asr_adaptive_stream")
 def _(spark, d):
     return streams.adaptive_repair(spark, d)
@@ -1164,7 +1171,7 @@ def _(spark, d):
 def _(spark, d):
     sig = _trend(spark, d)
     n = hours(sig)
-    return asr.process(sig, asr.calibrate(sig, 24.0, n, 3.0, length=1.0, mean="karcher"), 24.0, n, 1.0, chunk=240)
+    return asr.process(sig, asr.calibrate(sig, 24.0, n, 3.0, length=1.0, mean="karcher"), 24.0, n, 1.0, chunk=240, alpha=1.0)
 
 
 @query("asr_riemannian_global")

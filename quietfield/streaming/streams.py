@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quietfield.functions import linalg as L
+from quietfield.operators.asr import State
 from quietfield.plans.tables import shared_dir
 from quietfield.sources import signals as S
+from quietfield.streaming.repair import Repairer, repaired
 
 
 def running_mean_state(signal: DataFrame, window: int) -> DataFrame:
@@ -95,6 +97,14 @@ def adaptive_repair(spark: SparkSession, sf_dir: str, window: int = 24, cutoff:
     return _fed(spark, rows, 3, lambda s: adaptive_state(s, window, cutoff), "repair")
 
 
+def repair(spark: SparkSession, signal: DataFrame, state: State, rate: float, length: float = 0.5, step: int | None = None, parts: int = 5) -> DataFrame:
+    """(channel, t, x): a signal fed in chunks through the repair with carried state; what asr.process gives for it."""
+    rows = S.by_sample(signal)
+    ended = rows.crossJoin(F.broadcast(signal.agg(F.max("t").alias("end")))).select(F.lit("all").alias("rec"), "t", "xs", (F.col("t") == F.col("end")).alias("last"))
+    done = _fed(spark, ended, parts, lambda s: repaired(s, Repairer.of(state, rate, length, step)), "asr")
+    return S.long_from_samples(done, state.channels)
+
+
 def windowed_rates(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Counts and sums of a stream of events by kind and window, with a bound on how late a row may be."""
     stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
