@@ -18,13 +18,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the whole row as one column, so that no name of an operator's clashes with those of documents."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    """doc_id, text and the rest of the row as one column, so that no name of an operator's clashes with those of documents."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
 
 
 def unpacked(found: DataFrame, names: list[str], **changed: Column) -> DataFrame:
     """The rows again, with some columns changed."""
-    return found.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in names])
+    kept = {"text": F.col("text")} | changed
+    return found.select(*[kept.get(c, F.col("row").getField(c)).alias(c) for c in names])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def row_key() -> Column:
     """A key of packed rows, for tables where ids repeat or are missing: rows of one key are the same row."""
-    return F.xxhash64("row")
+    return F.xxhash64("row", "text")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
