@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quietfield.functions import kernels as K
 from quietfield.functions import linalg as L
-from quietfield.operators import spans, spectral, windows
+from quietfield.operators import segments, spans, spectral, windows
 from quietfield.operators.moments import covariance
 from quietfield.plans.model import Linear, apply_long, fitted_covariance
 from quietfield.sources.signals import by_sample, channels_of
@@ -179,17 +179,28 @@ def denoised(signal: DataFrame, model: Linear, count: int | str = "auto", action
 
 def segmented(signal: DataFrame, n: int, length: int, ramp: int, bias, count: int | str = "auto") -> DataFrame:
     """A fit for each fixed segment, cross-faded where they meet."""
-    out = None
-    edges = spans.fixed_segments(n, length)
-    for a, b in edges:
-        lo, hi = max(a - ramp, 0), min(b + ramp, n)
-        part = signal.where((F.col("t") >= lo) & (F.col("t") < hi))
-        made = denoised(part, fit(part, bias(part)), count, "subtract")
-        up = F.when((F.col("t") < a + ramp) & (F.lit(a) > 0), windows.raised_cosine(F.col("t") - lo + 1, 2 * ramp)).otherwise(1.0)
-        down = F.when((F.col("t") >= b - ramp) & (F.lit(b) < n), windows.raised_cosine(hi - F.col("t"), 2 * ramp)).otherwise(1.0)
-        made = made.withColumn("taper", F.least(up, down))
-        out = made if out is None else out.unionByName(made)
-    return windows.overlap_add(out)
+    return segment_fits(signal, n, spans.fixed_segments(n, length), ramp, bias, count)
+
+
+def segment_fits(signal: DataFrame, n: int, edges: list[tuple[int, int]], ramp: int, bias, count: int | str = "auto") -> DataFrame:
+    """The signal without the leading components of each segment's own fit, on the segment and ``ramp`` samples on both
+    sides, cross-faded there. ``bias`` works on channels; each segment's channels are series of their own, so all
+    segments are biased, summed and fitted in one pass, however many there are."""
+    names = channels_of(signal)
+    c, where = len(names), segments.around(signal.sparkSession, edges, ramp, n)
+    cell = max(1, min(max(b - a for a, b in edges), 1 << 14))
+    series = segments.keyed(signal, where, cell)
+    base = segments.moments(segments.unkeyed(series), ["xs"]).withColumnRenamed("sums", "base")
+    both = base.join(segments.moments(segments.unkeyed(bias(series)), ["xs"]).withColumnRenamed("sums", "biased"), "k")
+
+    def one(k: int, sums: dict[str, np.ndarray]) -> list[tuple]:
+        cov, mean, w = segments.centred(sums["base"])
+        scale = np.sqrt(np.maximum(np.diag(cov) + mean**2, 1e-300) * w)
+        f, p, s = L.dss(cov / np.outer(scale, scale), segments.centred(sums["biased"])[0] / np.outer(scale, scale))
+        gone = list(range(min(L.component_count(s) if count == "auto" else int(count), len(s))))
+        return [(k, (np.eye(c) - (p * scale[:, None])[:, gone] @ (f / scale)[gone]).ravel().tolist(), [0.0] * c)]
+
+    return segments.applied(signal, names, where, segments.fits(both, one, "k long, m array<double>, mean array<double>"), cell)
 
 
 def covariance_boundaries(signal: DataFrame, n: int, window: int, least: int, prominence: float = 0.5) -> list[tuple[int, int]]:
@@ -211,11 +222,3 @@ def covariance_boundaries(signal: DataFrame, n: int, window: int, least: int, pr
     if len(cuts) > 1 and n - cuts[-1] < least:
         cuts.pop()
     return list(zip(cuts, [*cuts[1:], n], strict=True))
-
-
-def normalized_patterns(model: Linear) -> np.ndarray:
-    return L.unit_columns(model.patterns)
-
-
-def apply_model(signal: DataFrame, m: np.ndarray) -> DataFrame:
-    return apply_long(signal, m)

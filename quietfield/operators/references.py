@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from quietfield.functions import kernels as K
 from quietfield.functions import linalg as L
-from quietfield.operators import windows
+from quietfield.operators import segments, windows
 from quietfield.operators.moments import gram
 from quietfield.plans.model import Linear, apply_long, by_window, fitted_covariance
+from quietfield.plans.tables import kept
 from quietfield.sources.signals import by_sample, channels_of, long_from_samples
 
 
@@ -42,6 +43,53 @@ def delayed_cca(signal: DataFrame, lag: int, remove: int | None = None, threshol
     return model, sorted(gone)
 
 
+FITTED = "k long, m array<double>, mean array<double>, component int, r double, autocorrelation double, asymmetry double, kept boolean"
+
+
+def delayed_cca_blocks(signal: DataFrame, n: int, size: int, hop: int, lag: int, remove: int | None = None, threshold: float | None = None, low: bool = True, squared: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(cleaned, components) by a delayed correlation for each block of ``size`` samples every ``hop``, blended where they
+    overlap; the last block ends with the signal. ``remove`` components go, or those whose correlation (its square, if
+    ``squared``) is below the threshold; the others with ``low`` False. Means stay.
+
+    One aggregation gives the moments of all blocks: of every sample, and of pairs that don't leave their block.
+    components: (k, component, r, autocorrelation, asymmetry, kept). A block with no more pairs than channels is refused,
+    as its correlations would all be 1.
+    """
+    if (remove is None) == (threshold is None):
+        raise ValueError("give the number of components to remove or a threshold, one of both")
+    names = channels_of(signal)
+    c, size = len(names), min(size, n)
+    if min(size, n) - lag <= c:
+        raise ValueError(f"{size - lag} pairs of samples are too few for {c} channels")
+    if remove is not None and remove > c:
+        raise ValueError(f"{remove} components of {c} can't go")
+    spans, cell = segments.blocks(signal.sparkSession, n, size, hop), min(size, 1 << 14)
+    samples = by_sample(signal)
+    past = samples.select((F.col("t") + lag).alias("t"), F.col("xs").alias("past"))
+    met = segments.spread(samples.join(past, "t", "left"), spans, cell).withColumn("past", F.when(F.col("t") - lag >= F.col("lo"), F.col("past")))
+    sums = segments.moments(met, ["xs"]).withColumnRenamed("sums", "own").join(segments.moments(met, ["xs", "past"]).withColumnRenamed("sums", "pairs"), "k")
+
+    def fit(k: int, sums: dict[str, np.ndarray]) -> list[tuple]:
+        cov, mean, _ = segments.centred(sums["own"])
+        both, _, _ = segments.centred(sums["pairs"])
+        xx, yy, xy = both[:c, :c], both[c:, c:], both[:c, c:]
+        a, b, r = L.cca(xx, yy, xy)
+        f = a.T
+        patterns = cov @ f.T @ np.linalg.pinv(f @ cov @ f.T)
+        signed = np.einsum("ki,ij,kj->k", f, xy, f) / np.sqrt(np.maximum(np.einsum("ki,ij,kj->k", f, xx, f) * np.einsum("ki,ij,kj->k", f, yy, f), 1e-300))
+        size = r**2 if squared else r
+        if remove is not None:
+            keep = np.arange(len(r)) < len(r) - remove if low else np.arange(len(r)) >= remove
+        else:
+            keep = size >= threshold if low else size <= threshold
+        m, apart = (patterns[:, keep] @ f[keep]).ravel().tolist(), filter_asymmetry(a, b)
+        return [(k, m if i == 0 else None, mean.tolist() if i == 0 else None, i, float(r[i]), float(signed[i]), float(apart[i]), bool(keep[i])) for i in range(len(r))]
+
+    fitted = kept(segments.fits(sums, fit, FITTED), "fits")
+    cleaned = segments.applied(signal, names, spans, fitted.where("component = 0").select("k", "m", "mean"), cell)
+    return cleaned, fitted.drop("m", "mean")
+
+
 def clean_window(x: np.ndarray, y: np.ndarray, threshold: float = 0.7, most: float = 0.5, basis: str = "X") -> tuple[np.ndarray, int]:
     """x (channels by time) without its variates (or those of the references) that correlate with the references."""
     xc, yc = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
