@@ -191,7 +191,8 @@ LOG = "start long, stop long, n_reconstructed int, applied boolean, variances ar
 
 def process(signal: DataFrame, state: State, rate: float, n: int, length: float = 0.5, step: int | None = None, most: float = 0.66, chunk: int = 1 << 15, weights=None, log: bool = False, alpha: float | None = None) -> DataFrame:
     """The repaired signal; with ``alpha``, each window's directions are those of its nonlinear eigenspace. Chunks of time are tasks of their own: an update sees only the last window of the filtered
-    stream, and the blend only the update before, so a margin of both (and of the filter's memory) is all they need.
+    stream, and the blend only the update before, so a margin of both is all they need; the filter itself is scanned, so
+    its memory, which at low rates is longer than any chunk, is no margin.
     Nothing is carried from call to call: every call starts anew. With ``log``, what was done instead of the signal:
     a row (LOG) for each update, with the span that it governs."""
     c = len(state.channels)
@@ -199,22 +200,17 @@ def process(signal: DataFrame, state: State, rate: float, n: int, length: float
     step = step or max(1, size // 2)
     ahead = half_up(size / 2)
     chunk = max(chunk // step * step, step)
-    memory = 0 if len(state.a) == 1 else max(256, half_up(8 * rate))
-    before = size + 2 * step + memory
+    edge = max(min(ahead, n - 1), 0)
+    turned = windows.odd_reflected(signal, edge, n).withColumn("t", F.col("t") + edge)  # from 0 on
+    both = turned.select(F.concat(F.lit("0|"), "channel").alias("channel"), "t", "x")
+    if len(state.a) > 1:
+        both = both.unionByName(_filtered(turned, state).select(F.concat(F.lit("1|"), "channel").alias("channel"), "t", "x"))
+    both = both.withColumn("t", F.col("t") - edge)
     sent = signal.sparkSession.sparkContext.broadcast(state)
 
     def run(start: int, stop: int, t: np.ndarray, x: np.ndarray) -> pd.DataFrame:
         st = sent.value
-        lo, own = int(t[0]), x.shape[1]
-        if lo == 0:  # the stream starts with the signal's edge turned about its first sample
-            head = min(ahead, own - 1)
-            x = np.concatenate([2 * x[:, :1] - x[:, head:0:-1], x], 1)
-            t = np.concatenate([np.arange(-head, 0), t])
-        if int(t[-1]) == n - 1:
-            tail = min(ahead, own - 1)
-            x = np.concatenate([x, 2 * x[:, -1:] - x[:, -2 : -tail - 2 : -1]], 1)
-            t = np.concatenate([t, np.arange(n, n + tail)])
-        s = K.lfilter(st.b, st.a, x)[0] if len(st.a) > 1 else x
+        x, s = x[:c], x[-c:]
         at = {int(k): i for i, k in enumerate(t)}
         first = start // step * step
         marks = [m for m in range(first - step, stop + step + 1, step) if m > 0 or m == first - step]
@@ -239,7 +235,7 @@ def process(signal: DataFrame, state: State, rate: float, n: int, length: float
             last, trivial, done = r, own, m
         return pd.DataFrame(rows, columns=[c.split()[0] for c in LOG.split(", ")]) if log else pd.DataFrame({"t": np.arange(start, stop), "xs": list(out.T)})
 
-    done = by_window(signal, chunk, chunk, n, run, LOG if log else "t long, xs array<double>", before=before, after=ahead + step)
+    done = by_window(both, chunk, chunk, n, run, LOG if log else "t long, xs array<double>", before=size + 2 * step, after=ahead + step)
     return done if log else long_from_samples(done, state.channels)
 
 

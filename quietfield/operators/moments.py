@@ -112,11 +112,7 @@ def robust_covariance(samples: DataFrame, start: int = 4096, rounds: int = 20) -
     mean, cov = min_covariance_determinant(x)
     p, last = len(mean), np.inf
     for _ in range(rounds):
-        w = np.linalg.pinv(cov + 1e-12 * np.eye(p))
-        c = F.zip_with("xs", F.array(*[F.lit(float(m)) for m in mean]), lambda v, m: v - m)
-        rows = samples.select("t", "xs", c.alias("c"))
-        d = sum((F.lit(float(w[i, j])) * F.col("c")[i] * F.col("c")[j] for i in range(p) for j in range(p)), F.lit(0.0))
-        far = rows.select("t", "xs", d.alias("d"))
+        far = distances(samples, mean, np.linalg.pinv(cov + 1e-12 * np.eye(p), hermitian=True))
         n = far.agg(F.count("*").alias("n")).first().n
         cut = far.agg(F.percentile_approx("d", ((n + p + 1) // 2) / n, 1_000_000).alias("d")).first().d
         cov, mean, _ = covariance(far.where(F.col("d") <= cut).select("t", "xs"))
@@ -127,6 +123,18 @@ def robust_covariance(samples: DataFrame, start: int = 4096, rounds: int = 20) -
     return mean, cov
 
 
+def distances(samples: DataFrame, mean: np.ndarray, inverse: np.ndarray) -> DataFrame:
+    """(t, xs, d): squared distances from the mean by the inverse of a covariance."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                x = np.stack(f["xs"].to_numpy()).astype(float) - mean
+                yield f.assign(d=np.einsum("ti,ij,tj->t", x, inverse, x))
+
+    return samples.select("t", "xs").mapInPandas(run, "t long, xs array<double>, d double")
+
+
 def pair_products(signal: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ci, cj, s, si, sj, n): sums of products of channel pairs within groups, from the sample layout.
 

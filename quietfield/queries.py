@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietfield.functions import linalg as L
-from quietfield.operators import asr, denoisers, dss, head, lines, moments, qa, references, series, spans, spectral, transforms, views, windows
+from quietfield.operators import asr, denoisers, density, dss, head, lines, moments, qa, references, series, spans, spectral, transforms, views, windows
 from quietfield.plans import validation
 from quietfield.plans.model import apply_long, fitted_covariance, matrix_table
 from quietfield.sources import signals as S
@@ -741,15 +741,15 @@ def _(spark, d):
 
 @query("dss_iterative")
 def _(spark, d):
-    sig = S.vectors(spark, d, 6)
-    model, _ = dss.iterative(sig, 2, rounds=30, tol=1e-4)
+    sig = S.vectors(spark, d)
+    model, _ = dss.iterative(sig, 2, rounds=60, tol=1e-4, rank=8)
     return model.table(sig)
 
 
 @query("dss_iterative_symmetric")
 def _(spark, d):
-    sig = S.vectors(spark, d, 6)
-    model, _ = dss.iterative(sig, 2, "pow3", symmetric=True, rounds=30, tol=1e-4)
+    sig = S.vectors(spark, d)
+    model, _ = dss.iterative(sig, 2, "pow3", symmetric=True, rounds=60, tol=1e-4, rank=8)
     return model.table(sig)
 
 
@@ -837,21 +837,28 @@ def _(spark, d):
     return spectral.hybrid_notch(_trend(spark, d), 24.0, 3.5, 0.1)
 
 
-@query("spectrum_interpolation")
+@query("spectrum_interpolation", HOURLY + """, lines AS (SELECT unnest([1.0, 2.0]) AS f), bins AS (SELECT f, k, abs(k * 24.0 / n - f) <= 0.05001 AS band FROM lines CROSS JOIN nn CROSS JOIN (SELECT unnest(range(1, (SELECT CAST(n // 2 AS BIGINT) FROM nn))) AS k) WHERE abs(k * 24.0 / n - f) <= 0.25001),
+z AS (SELECT channel, f, k, band, sum(x * cos(2 * pi() * ((k * t) % n) / n)) AS re, -sum(x * sin(2 * pi() * ((k * t) % n) / n)) AS im FROM sig CROSS JOIN bins CROSS JOIN nn GROUP BY 1, 2, 3, 4),
+w AS (SELECT channel, k, re, im, m / sqrt(re * re + im * im) - 1 AS more FROM z JOIN (SELECT channel, f, avg(sqrt(re * re + im * im)) AS m FROM z WHERE NOT band GROUP BY 1, 2) r USING (channel, f) WHERE band)
+SELECT s.channel, s.t, round(any_value(s.x) + sum(2.0 / n * more * (re * cos(2 * pi() * ((k * t) % n) / n) - im * sin(2 * pi() * ((k * t) % n) / n))), 4) + 0.0 AS x FROM sig s JOIN w ON w.channel = s.channel CROSS JOIN nn GROUP BY 1, 2""")
 def _(spark, d):
     trend = _trend(spark, d)
-    return transforms.interpolate_lines(trend, hours(trend), 24.0, [1.0, 2.0], 0.05, 0.2)
+    return shown(transforms.interpolate_lines(trend, hours(trend), 24.0, [1.0, 2.0], 0.05001, 0.2), "channel", "t")
 
 
-@query("welch_psd")
+@query("welch_psd", HOURLY + """, g2 AS (SELECT unnest(range(0, (SELECT n - 95 FROM nn), 48)) AS lo), seg AS (SELECT channel, lo, t - lo AS i, x - avg(x) OVER (PARTITION BY channel, lo) AS x FROM sig JOIN g2 ON t >= lo AND t < lo + 96),
+h AS (SELECT channel, lo, i, x * (0.5 - 0.5 * cos(2 * pi() * i / 96)) AS x FROM seg), z AS (SELECT channel, lo, k, sum(x * cos(2 * pi() * ((k * i) % 96) / 96)) AS re, sum(x * sin(2 * pi() * ((k * i) % 96) / 96)) AS im FROM h CROSS JOIN (SELECT unnest(range(49)) AS k) GROUP BY 1, 2, 3)
+SELECT channel, k / 4.0 AS freq, round(avg((re * re + im * im) * CASE WHEN k IN (0, 48) THEN 1 ELSE 2 END / (24 * (SELECT sum(pow(0.5 - 0.5 * cos(2 * pi() * j / 96), 2)) FROM (SELECT unnest(range(96)) AS j)))), 4) + 0.0 AS power FROM z GROUP BY 1, 2""")
 def _(spark, d):
-    return spectral.welch(_trend(spark, d), 24.0, 96)
+    return shown(spectral.welch(_trend(spark, d), 24.0, 96), "channel", "freq")
 
 
-@query("cosine_mask")
+@query("cosine_mask", HOURLY + """, ks AS (SELECT unnest(range(greatest(1, CAST(floor(0.2 * (SELECT n FROM nn)) AS BIGINT)))) AS k),
+c AS (SELECT channel, k, sum(x * cos(pi() * (t + 0.5) * k / n)) AS c FROM sig CROSS JOIN ks CROSS JOIN nn GROUP BY 1, 2)
+SELECT s.channel, s.t, round(sum(CASE WHEN k = 0 THEN c / n ELSE 2 * c / n * cos(pi() * (s.t + 0.5) * k / n) END), 4) + 0.0 AS x FROM sig s JOIN c ON c.channel = s.channel CROSS JOIN nn GROUP BY 1, 2""")
 def _(spark, d):
     trend = _trend(spark, d)
-    return transforms.cosine_mask(trend, hours(trend), 0.2)
+    return shown(transforms.cosine_mask(trend, hours(trend), 0.2), "channel", "t")
 
 
 @query("spectrogram_mask")
@@ -900,6 +907,16 @@ def _(spark, d):
     return asr.reference_samples(_trend(spark, d), 3)
 
 
+@query("density_clusters", HOURLY.replace("WITH", "WITH RECURSIVE", 1) + """, f AS (SELECT t, list_sort(list(abs(x)), 'DESC') AS q FROM sig GROUP BY 1),
+near AS (SELECT a.t AS a, b.t AS b FROM f a JOIN f b ON abs(a.q[1] - b.q[1]) <= 20.0007 AND abs(a.q[2] - b.q[2]) <= 20.0007), core AS (SELECT a AS t FROM near GROUP BY 1 HAVING count(*) >= 8),
+link AS (SELECT a, b FROM near WHERE a IN (SELECT t FROM core) AND b IN (SELECT t FROM core)), reach AS (SELECT t AS root, t FROM core UNION SELECT r.root, l.b FROM reach r JOIN link l ON l.a = r.t),
+label AS (SELECT t, min(root) AS cluster FROM reach GROUP BY 1), border AS (SELECT n.a AS t, min(l.cluster) AS cluster FROM near n JOIN label l ON l.t = n.b WHERE n.a NOT IN (SELECT t FROM core) GROUP BY 1)
+SELECT f.t, coalesce(label.cluster, border.cluster, -1) AS cluster, label.t IS NOT NULL AS core FROM f LEFT JOIN label ON label.t = f.t LEFT JOIN border ON border.t = f.t""")
+def _(spark, d):
+    tops = S.by_sample(_trend(spark, d)).select("t", F.slice(F.sort_array(F.transform("xs", lambda v: F.abs(v)), asc=False), 1, 2).alias("f"))
+    return density.clusters(tops, 20.0007, 8, 2).select("t", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"), "core")
+
+
 @query("asr_reference_samples_gev")
 def _(spark, d):
     return asr.gev_reference(_trend(spark, d))
@@ -929,6 +946,18 @@ def _(spark, d):
     return model.remove(sig, gone)
 
 
+@query("delayed_cca_blocks")
+def _(spark, d):
+    sig = _trend(spark, d)
+    return references.delayed_cca_blocks(sig, hours(sig), 240, 160, 1, remove=1)[0]
+
+
+@query("delayed_cca_block_components")
+def _(spark, d):
+    sig = _trend(spark, d)
+    return references.delayed_cca_blocks(sig, hours(sig), 240, 160, 1, threshold=0.5)[1]
+
+
 @query("reference_clean")
 def _(spark, d):
     sig = _trend(spark, d)
@@ -937,7 +966,7 @@ def _(spark, d):
 
 @query("sensor_noise_suppressed")
 def _(spark, d):
-    return references.suppress_sensor_noise(S.vectors(spark, d, 8), 3)[0]
+    return references.suppress_sensor_noise(S.vectors(spark, d), 3)[0]
 
 
 def _lead(n: int, m: int = 12) -> np.ndarray:
@@ -946,14 +975,14 @@ def _lead(n: int, m: int = 12) -> np.ndarray:
 
 @query("source_informed")
 def _(spark, d):
-    return references.source_informed(S.vectors(spark, d, 8), _lead(8))[0]
+    return references.source_informed(S.vectors(spark, d), _lead(64))[0]
 
 
 @query("projected_recovery")
 def _(spark, d):
-    sig = S.vectors(spark, d, 8)
+    sig = S.vectors(spark, d)
     top = references.artifact_topographies(sig, 100.0, 20.0, 1)
-    return references.projected_recovery(sig, _lead(8), top, 6)
+    return references.projected_recovery(sig, _lead(64), top, 24)
 
 
 @query("ssa")
@@ -978,7 +1007,7 @@ def _(spark, d):
 
 @query("whitened")
 def _(spark, d):
-    sig = S.vectors(spark, d, 8)
+    sig = S.vectors(spark, d)
     cov, mean, _ = fitted_covariance(sig)
     w, _ = L.whitener(cov)
     return apply_long(sig, w, mean, [f"w{k}" for k in range(len(w))])
@@ -986,16 +1015,16 @@ def _(spark, d):
 
 @query("mixing_least_squares")
 def _(spark, d):
-    sig = S.vectors(spark, d, 6)
+    sig = S.vectors(spark, d)
     names = S.channels_of(sig)
     cov, _, _ = fitted_covariance(sig)
     w, dw = L.whitener(cov)
-    return matrix_table(sig, cov @ w.T @ np.linalg.pinv(w @ cov @ w.T), names, [f"s{k}" for k in range(w.shape[0])])
+    return matrix_table(sig, cov @ w.T @ np.linalg.pinv(w @ cov @ w.T), names, [f"s{k:03d}" for k in range(w.shape[0])])
 
 
 @query("cca")
 def _(spark, d):
-    sig = S.vectors(spark, d, 6)
+    sig = S.vectors(spark, d)
     a, b, rho, _ = references.correlate(sig.where("channel < 'e3'"), sig.where("channel >= 'e3'"))
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(rho)], "component int, r double")
 
@@ -1009,7 +1038,7 @@ def _(spark, d):
 
 @query("robust_covariance")
 def _(spark, d):
-    sig = S.vectors(spark, d, 4)
+    sig = S.vectors(spark, d)
     names = S.channels_of(sig)
     return matrix_table(sig, moments.robust_covariance(S.by_sample(sig))[1], names, names)
 
@@ -1040,7 +1069,7 @@ def _(spark, d):
     return shown(S.daily(spark, d), "channel", "t", nudge=OFF)
 
 
-@query("vector_signal", "SELECT 'e' || (i - 1) AS channel, vec_id AS t, round(CAST(x AS DOUBLE), 6) + 0.0 AS x FROM (SELECT vec_id, unnest(range(1, 9)) AS i, unnest(embedding[1:8]) AS x FROM embeddings)")
+@query("vector_signal", "SELECT 'e' || (i - 1) AS channel, vec_id AS t, round(CAST(x AS DOUBLE), 6) + 0.0 AS x FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x FROM embeddings)")
 def _(spark, d):
     return shown(S.vectors(spark, d), "channel", "t", digits=6)
 
@@ -1126,7 +1155,7 @@ def _(spark, d):
 @query("lead_field")
 def _(spark, d):
     """Sensors are the channels of the vectors."""
-    names = S.channels_of(S.vectors(spark, d, 64))
+    names = S.channels_of(S.vectors(spark, d))
     gain, _ = head.lead_field(L.spherical_points(len(names)), 20)
     rows = [(c, k // 3, "xyz"[k % 3], float(g)) for c, row in zip(names, gain, strict=True) for k, g in enumerate(row)]
     return spark.createDataFrame(rows, "channel string, dipole int, axis string, gain double")
@@ -1134,7 +1163,7 @@ def _(spark, d):
 
 @query("source_informed_best_reference")
 def _(spark, d):
-    return references.source_informed_best_reference(S.vectors(spark, d, 8), _lead(8))[0]
+    return references.source_informed_best_reference(S.vectors(spark, d), _lead(64))[0]
 
 
 @query("asr_log")
@@ -1219,6 +1248,6 @@ def _(spark, d):
 
 @query("dss_iterative_damped")
 def _(spark, d):
-    sig = S.vectors(spark, d, 6)
-    model, _ = dss.iterative(sig, 1, rounds=30, tol=1e-4, gamma=dss.gamma_predictive)
+    sig = S.vectors(spark, d)
+    model, _ = dss.iterative(sig, 1, rounds=60, tol=1e-4, gamma=dss.gamma_predictive, rank=8)
     return model.table(sig)

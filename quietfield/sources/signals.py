@@ -63,9 +63,9 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense(orders.groupBy(F.col("o_orderpriority").alias("channel"), day_number(F.col("o_orderdate")).alias("slot")).agg((F.sum("o_totalprice") / 1000).alias("x")))
 
 
-def vectors(spark: SparkSession, sf_dir: str, dims: int = 8) -> DataFrame:
-    """The first components of the embeddings as channels e0, e1, ..., in order of vec_id."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), F.posexplode(F.slice("embedding", 1, dims)).alias("c", "x"))
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of the embeddings as channels e0, e1, ..., in order of vec_id."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), F.posexplode("embedding").alias("c", "x"))
     return rows.select(F.concat(F.lit("e"), F.col("c").cast("string")).alias("channel"), "t", F.col("x").cast("double").alias("x"))
 
 
