@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quietfield.llm.common import read
 from quietfield.llm.license_rules import SECTIONS, Rule, rules
+from quietfield.llm.scans import let, most_before, sums_before
 
 # Base phrases and their labels.
 BASE = {
@@ -38,23 +39,17 @@ def spaces(line: Column) -> Column:
     return (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))).cast("long")
 
 
+_FOUND = f"{MARK}found"
 _INTERVAL = "struct<priority:int,start:bigint,back:bigint,label:string,confidence:double>"
 
 
 def _intervals(hit: Column) -> Column:
     """Intervals of words of one rule's matches, from a line cut at both ends of each; ``back`` is the end negated, so
     that of those with one start the longest sorts first."""
-    walk = F.aggregate(
-        hit["parts"],
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("inside"), F.array().cast(f"array<{_INTERVAL}>").alias("found")),
-        lambda acc, x: F.struct(
-            (acc["at"] + spaces(x)).alias("at"),
-            (~acc["inside"]).alias("inside"),
-            F.when(acc["inside"], F.concat(acc["found"], F.array(F.struct(hit["priority"].alias("priority"), acc["at"].alias("start"), (-acc["at"] - spaces(x)).alias("back"), hit["label"].alias("label"), hit["confidence"].alias("confidence")))))
-            .otherwise(acc["found"]).alias("found"),
-        ),
-    )
-    return walk["found"]
+    sizes = F.transform(hit["parts"], spaces)
+    places = let(sizes, lambda n: F.zip_with(sums_before(n), n, lambda at, k: F.struct(at.alias("start"), (-at - k).alias("back"))))
+    inside = F.filter(places, lambda _, i: i % 2 == 1)
+    return F.transform(inside, lambda x: F.struct(hit["priority"].alias("priority"), x["start"].alias("start"), x["back"].alias("back"), hit["label"].alias("label"), hit["confidence"].alias("confidence")))
 
 
 def _alternatives(words: list[str]) -> str:
@@ -62,8 +57,8 @@ def _alternatives(words: list[str]) -> str:
     return "|".join(f"{first}(?:{'|'.join(w[1:] for w in group)})" for first, group in groupby(sorted(words), key=lambda w: w[0]))
 
 
-def detect(line: Column, table: list[Rule] | None = None) -> Column:
-    """Detections left after suppression: array of (start, end, priority, label, confidence), in words."""
+def matches(line: Column, table: list[Rule] | None = None) -> Column:
+    """All rules' matches as intervals of words, sorted by priority, start and falling length."""
     table = rules() if table is None else table
     cut = "array<struct<priority:int,label:string,confidence:double,parts:array<string>>>"
     one = lambda r: F.struct(F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence"), F.split(F.regexp_replace(line, F.lit(r.regex), F.lit(f"{MARK}$0{MARK}")), MARK, -1).alias("parts"))
@@ -72,27 +67,33 @@ def detect(line: Column, table: list[Rule] | None = None) -> Column:
         by_keyword.setdefault(r.keyword, []).append(r)
     cuts = [F.when(F.contains(line, F.lit(f" {k} ")), F.array(*map(one, rs))).otherwise(F.array().cast(cut)) for k, rs in sorted(by_keyword.items())]
     hits = F.filter(F.concat(*cuts), lambda h: F.size(h["parts"]) > 1)
-    found = F.array_sort(F.flatten(F.transform(hits, _intervals)))
-    return F.transform(suppress(found), lambda x: F.struct(x["start"], (-x["back"]).alias("end"), x["priority"], x["label"], x["confidence"]))
+    return F.array_sort(F.flatten(F.transform(hits, _intervals)))
+
+
+def suppress(kept: Column, found: Column, priority: int) -> Column:
+    """``kept``, of higher priorities, and what neither it nor the other intervals of ``priority`` suppress of these.
+
+    Sorted by where kept intervals start and where new ones end, the farthest end of the kept ones
+    before a new one says whether any overlaps it; sorted by start, the farthest end before it whether one holds it.
+    """
+
+    def clear(kept: Column, own: Column) -> Column:
+        event = lambda at, new: lambda x: F.struct(at(x).alias("at"), F.lit(new).alias("order"), x.alias("x"))
+        events = F.array_sort(F.concat(F.transform(kept, event(lambda x: x["start"], 1)), F.transform(own, event(lambda x: -x["back"], 0))))
 
+        def free(es: Column) -> Column:
+            reach = most_before(F.transform(es, lambda e: F.when(e["order"] == 1, -e["x"]["back"]).otherwise(-1)))
+            judged = F.zip_with(es, reach, lambda e, far: F.struct(e["x"].alias("x"), ((e["order"] == 0) & (far <= e["x"]["start"])).alias("free")))
+            return F.array_sort(F.transform(F.filter(judged, lambda j: j["free"]), lambda j: j["x"]))
 
-def suppress(found: Column) -> Column:
-    """Of intervals sorted by priority, start and falling length, those that no other suppresses."""
-    empty = F.array().cast(f"array<{_INTERVAL}>")
+        return let(events, free)
 
-    def step(acc: Column, x: Column) -> Column:
-        new = x["priority"] != acc["priority"]  # those kept so far are all of a higher priority
-        higher = F.when(new, F.concat(acc["higher"], acc["same"])).otherwise(acc["higher"])
-        end = F.when(new, F.lit(-1).cast("long")).otherwise(acc["end"])  # how far kept ones of this priority reach
-        keep = (-x["back"] > end) & ~F.exists(higher, lambda k: (k["start"] < -x["back"]) & (x["start"] < -k["back"]))
-        same = F.when(new, empty).otherwise(acc["same"])
-        return F.struct(
-            x["priority"].alias("priority"), higher.alias("higher"), F.when(keep, F.concat(same, F.array(x))).otherwise(same).alias("same"), F.when(keep, -x["back"]).otherwise(end).alias("end")
-        )
+    def outer(own: Column) -> Column:
+        reach = most_before(F.transform(own, lambda x: -x["back"]))
+        judged = F.zip_with(own, reach, lambda x, far: F.struct(x.alias("x"), (-x["back"] > far).alias("outer")))
+        return F.transform(F.filter(judged, lambda j: j["outer"]), lambda j: j["x"])
 
-    start = F.struct(F.lit(-1).alias("priority"), empty.alias("higher"), empty.alias("same"), F.lit(-1).cast("long").alias("end"))
-    last = F.aggregate(found, start, step)
-    return F.concat(last["higher"], last["same"])
+    return let(F.filter(found, lambda x: x["priority"] == priority), lambda own: F.when(F.size(own) == 0, kept).otherwise(F.concat(kept, let(clear(kept, own), outer))))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -109,11 +110,12 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         base.append(F.when(F.contains("line", F.lit(f" {phrase} ")), F.struct(F.lit(label).alias("label"), (F.size(parts) - 1).cast("long").alias("n"), first.alias("first"), last.alias("last"))).otherwise(empty))
     keywords = sorted({r.keyword for r in rules()})
     gate = F.col("line").rlike(f" (?:{_alternatives(keywords)}) ")
-    return lined.withColumns({
-        "n_words": spaces(F.col("line")) - 1,
-        "base": F.filter(F.array(*base), lambda x: x.isNotNull()),
-        "detections": F.when(gate, detect(F.col("line"))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,priority:int,label:string,confidence:double>>")),
-    })
+    none = F.array().cast(f"array<{_INTERVAL}>")
+    found = lined.withColumns({"n_words": spaces(F.col("line")) - 1, "base": F.filter(F.array(*base), lambda x: x.isNotNull()), _FOUND: F.when(gate, matches(F.col("line"))).otherwise(none), "detections": none})
+    for priority in range(len(SECTIONS)):
+        found = found.withColumn("detections", suppress(F.col("detections"), F.col(_FOUND), priority))
+    shown = F.transform("detections", lambda x: F.struct(x["start"], (-x["back"]).alias("end"), x["priority"], x["label"], x["confidence"]))
+    return found.withColumn("detections", shown).drop(_FOUND)
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quietfield.llm import ann, chat, decontaminate, graph, gru, kernel, langid, licenses, lmscore, mixing, near, pii, substrings
+from quietfield.llm import ann, chat, decontaminate, graph, gru, kernel, langid, licenses, lmscore, mixing, near, pii, scans, substrings
 from quietfield.llm.common import Scratch
 
 RNG = random.Random(5)
@@ -454,6 +455,26 @@ def test_every_license_rule_against_its_definition(spark):
         assert got == detections(r.line, table), r.line
 
 
+def test_many_matches_in_one_text(spark):
+    """Time grows with the matches, not with their square."""
+    took = []
+    for n in (200, 2000, 16_000):
+        docs = frame(spark, [(1, "under the mit license and apache license version 2 " * n)])
+        began = time.time()
+        r = licenses.scan(docs).select(F.size("detections").alias("found"), "base", "n_words").collect()[0]
+        took.append(time.time() - began)
+        assert [(b.label, b.n) for b in r.base] == [("mit", n), ("apache-2", n)] and r.found == 2 * n and r.n_words == 9 * n
+    assert took[2] < 5 + 12 * took[1]
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 500, 5000])
+def test_prefixes(spark, n):
+    rng = random.Random(n)
+    xs = [rng.randrange(-50, 50) for _ in range(n)]
+    r = spark.createDataFrame([(xs,)], "v array<bigint>").select(scans.sums_before(F.col("v")).alias("s"), scans.most_before(F.col("v"), -99).alias("m")).collect()[0]
+    assert r.s == [sum(xs[:k]) for k in range(n)] and r.m == [max([-99, *xs[:k]]) for k in range(n)]
+
+
 # --- 7
 
 def test_personal_data(spark):
