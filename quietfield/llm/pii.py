@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietfield.llm.common import Scratch, read
+from quietfield.llm.scans import let, most_before, sums_before
 
 # Kinds in order, and their patterns. What stands before each (start of a run, or the end of the last
 # match) and the possessive quantifiers change no match: they keep the search linear in long runs.
@@ -48,16 +49,14 @@ def _size(x: Column) -> Column:
 def _walk(text: Column, regex: str, accept, make) -> Column:
     """make(match, start) of each accepted match, in order; positions by the lengths of what lies between."""
     gaps, found = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    probe = make(F.lit(""), F.lit(0).cast("long"))
-    walked = F.aggregate(
-        F.zip_with(gaps, found, lambda g, m: F.struct(_size(g).alias("gap"), m.alias("m"))),
-        F.struct(F.lit(0).cast("long").alias("at"), F.filter(F.array(probe), lambda _: F.lit(False)).alias("kept")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(_size(x["m"]), F.lit(0))).alias("at"),
-            F.when(F.coalesce(accept(x["m"]), F.lit(False)), F.concat(acc["kept"], F.array(make(x["m"], acc["at"] + x["gap"])))).otherwise(acc["kept"]).alias("kept"),
-        ),
-    )
-    return walked["kept"]
+    both = F.zip_with(gaps, found, lambda g, m: F.struct(_size(g).alias("gap"), m.alias("m")))
+
+    def placed(v: Column) -> Column:
+        before = sums_before(F.transform(v, lambda x: x["gap"] + F.coalesce(_size(x["m"]), F.lit(0))))
+        return F.zip_with(v, before, lambda x, at: F.struct(x["m"].alias("m"), (at + x["gap"]).alias("start")))
+
+    kept = F.filter(let(both, placed), lambda x: x["m"].isNotNull() & F.coalesce(accept(x["m"]), F.lit(False)))
+    return F.transform(kept, lambda x: make(x["m"], x["start"]))
 
 
 def _span(kind: str):
@@ -173,20 +172,27 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.transform(spans, lambda x: F.struct(x["start"], x["kind"], x["end"]))), lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+_PIECE, _PIECES = 4096, "\u0001pieces"
+
+
 def redact(found: DataFrame) -> DataFrame:
-    """The text with every span replaced by its kind in brackets; spans that overlap an earlier one are skipped."""
-    text, names = F.col("text"), F.array(*map(F.lit, KINDS))
-    cut = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    walked = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(x["start"] < acc["at"], acc["parts"]).otherwise(F.concat(acc["parts"], F.array(cut(acc["at"], x["start"]), F.concat(F.lit("["), F.element_at(names, x["kind"] + 1), F.lit("]"))))).alias("parts"),
-        ),
-    )
-    whole = F.concat(F.array_join(walked["parts"], ""), cut(walked["at"], _size(text)))
-    return found.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(text))
+    """The text with every span replaced by its kind in brackets; spans that overlap an earlier one are skipped.
+
+    What lies between is cut from pieces of the text, as a place in a long text is only found by walking to it.
+    """
+    names, zero = F.array(*map(F.lit, KINDS)), F.lit(0).cast("long")
+    out = found.withColumn(_PIECES, F.when(F.size("spans") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))))
+
+    def cut(a: Column, b: Column) -> Column:
+        first = F.floor(a / _PIECE)
+        some = F.array_join(F.slice(F.col(_PIECES), (first + 1).cast("int"), (F.floor((b - 1) / _PIECE) - first + 1).cast("int")), "")
+        return F.when(b > a, F.substring(some, (a - first * _PIECE + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+    reach = most_before(F.transform("spans", lambda x: x["end"]), 0)
+    parts = F.zip_with("spans", reach, lambda x, at: F.when(x["start"] < at, "").otherwise(F.concat(cut(at, x["start"]), F.lit("["), F.element_at(names, x["kind"] + 1), F.lit("]"))))
+    last = F.greatest(F.array_max(F.transform("spans", lambda x: x["end"])), zero)
+    whole = F.concat(F.array_join(parts, ""), cut(last, _size(F.col("text"))))
+    return out.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text"))).drop(_PIECES)
 
 
 def digest(found: DataFrame) -> DataFrame:

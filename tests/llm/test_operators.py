@@ -533,6 +533,34 @@ def test_seeds_of_each_kind_teach_contexts(spark, kind, value, unseen):
         assert f"{kind}:{start}:{start + len(unseen)}" in found[99].split(",")
 
 
+def test_many_spans_in_one_text(spark):
+    """Spans and their replacement in long texts, some of characters beyond two bytes; time grows with the spans."""
+    took, none = [], spark.createDataFrame([], "context string, kind int")
+    for n in (100, 1000, 20_000):
+        text = "é𐍈 mail a.b@example.com or +1 (988) 555-2485 日 " * n
+        began = time.time()
+        r = pii.redact(pii.find(frame(spark, [(1, text)]), none)).select("text", "spans").collect()[0]
+        took.append(time.time() - began)
+        assert r.text == "é𐍈 mail [email] or [phone] 日 " * n and len(r.spans) == 2 * n
+    assert took[2] < 5 + 24 * took[1]
+
+
+def test_overlapping_spans_are_replaced_once(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abé𐍈 ") for _ in range(k)) for k in (0, 5, 300, 9000)]
+    rows = []
+    for i, t in enumerate(texts):
+        spans = sorted((a, min(len(t), a + rng.randrange(40)), rng.randrange(4)) for a in (rng.randrange(len(t) + 1) for _ in range(i * 20)))
+        rows.append((i, t, spans))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<start:bigint,end:bigint,kind:int>>")
+    for r in pii.redact(docs).collect():
+        out, at = "", 0
+        for a, b, k in rows[r.doc_id][2]:
+            out += f"{texts[r.doc_id][at:a]}[{pii.KINDS[k]}]" if a >= at else ""
+            at = max(at, b)
+        assert r.text == out + texts[r.doc_id][at:]
+
+
 def test_fixed_kinds_against_their_definition(spark):
     rng = random.Random(21)
     bits = ["4111 1111 1111 1111", "4111-1111-1111-1112", "a.b@c.de", "x@y", "@", "1.2.3.4", "300.1.1.1", "1.2.3.4.5.6.7.8", "+1 (988) 555-2485", "+12", "é", "日本", "+44 20 7946 0958.", "12345678901234567890", "0", " ", ".", "-", "q@r.s.t@u.v"]
