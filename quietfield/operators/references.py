@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quietfield.functions import kernels as K
 from quietfield.functions import linalg as L
-from quietfield.operators import segments, windows
+from quietfield.operators import segments, transforms, windows
 from quietfield.operators.moments import gram
 from quietfield.plans.model import Linear, apply_long, by_window, fitted_covariance
 from quietfield.plans.tables import kept
@@ -108,30 +108,88 @@ def clean_window(x: np.ndarray, y: np.ndarray, threshold: float = 0.7, most: flo
     return x - (xc @ z.T) @ np.linalg.pinv(z @ z.T) @ z, k
 
 
+def null_shifts(n: int, rounds: int, seed: int) -> np.ndarray:
+    """Random circular shifts that stay a tenth of the samples away from none; any, where that leaves none."""
+    low = max(1, int(0.1 * n))
+    low, high = (low, n - low) if n - low > low else (1, n)
+    return np.random.default_rng(seed).integers(low, high, rounds) if high > low else np.ones(rounds, np.int64)
+
+
+def null_squares(xx: np.ndarray, yy: np.ndarray, xy: np.ndarray) -> np.ndarray:
+    """Largest squared canonical correlation for each cross-covariance of a stack; 1 where there is none to be had."""
+    try:
+        wx, wy = L.whitener(xx, reg=1e-12)[0], L.whitener(yy, reg=1e-12)[0]
+        return np.clip(np.linalg.svd(wx @ xy @ wy.T, compute_uv=False).max(-1), 0, 1) ** 2
+    except (ValueError, np.linalg.LinAlgError):
+        return np.ones(len(xy))
+
+
+def null_correlations(x: np.ndarray, y: np.ndarray, rounds: int = 100, seed: int = 0) -> np.ndarray:
+    """Largest squared correlation of x (channels by time) with references turned round, for each random shift.
+
+    A turn leaves covariances as they are, and one cross-spectrum has the cross-covariances of all shifts.
+    """
+    n = x.shape[1]
+    xc, yc = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
+    cross = np.fft.irfft(np.fft.rfft(xc)[:, None] * np.conj(np.fft.rfft(yc))[None], n) / n
+    return null_squares(xc @ xc.T / n, yc @ yc.T / n, np.moveaxis(cross[:, :, null_shifts(n, rounds, seed)], 2, 0))
+
+
 def null_threshold(x: np.ndarray, y: np.ndarray, alpha: float = 0.05, rounds: int = 100, seed: int = 0) -> float:
-    """Quantile of the largest squared correlation with references turned round by random shifts."""
-    rng, n = np.random.default_rng(seed), x.shape[1]
-    xc, yc, top = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True), []
-    for s in rng.integers(max(1, int(0.1 * n)), max(2, n - max(1, int(0.1 * n))), rounds):
-        z = np.roll(yc, int(s), 1)
-        top.append(L.cca(xc @ xc.T / n, z @ z.T / n, xc @ z.T / n)[2][0] ** 2)
-    return float(np.quantile(top, 1 - alpha))
+    """The quantile of null_correlations() that correlations without any common part exceed with probability alpha."""
+    return float(np.quantile(null_correlations(x, y, rounds, seed), 1 - alpha))
+
+
+def _together(signal: DataFrame, references: DataFrame) -> DataFrame:
+    """Channels of both, those of the signal first in order of name."""
+    return signal.select(F.concat(F.lit("0"), "channel").alias("channel"), "t", "x").unionByName(references.select(F.concat(F.lit("1"), "channel").alias("channel"), "t", "x"))
 
 
-def reference_clean(signal: DataFrame, references: DataFrame, rate: float, n: int, seconds: float = 2.0, overlap: float = 0.0, threshold: float = 0.7, most: float = 0.5, basis: str = "X") -> DataFrame:
-    """Windows without what they share with references, averaged where they overlap. Windows are tasks of their own."""
+def null_thresholds(signal: DataFrame, references: DataFrame, rate: float, n: int, seconds: float = 2.0, overlap: float = 0.0, alpha: float = 0.05, rounds: int = 100, seed: int = 0) -> DataFrame:
+    """(start, stop, threshold, highest) of each window: the quantile over its replicates, and the largest of them.
+    Windows are tasks of their own; replicates are rows."""
+    k = len(channels_of(signal))
+    size = max(2, min(n, int(seconds * rate)))
+
+    def run(start: int, stop: int, t: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"start": start, "stop": stop, "square": null_correlations(x[:k], x[k:], rounds, seed)})
+
+    made = by_window(_together(signal, references), size, max(1, round(size * (1 - overlap))), n, run, "start long, stop long, square double")
+    return made.groupBy("start", "stop").agg(F.percentile("square", 1 - alpha).alias("threshold"), F.max("square").alias("highest"))
+
+
+def global_null_threshold(signal: DataFrame, references: DataFrame, n: int, alpha: float = 0.05, rounds: int = 100, seed: int = 0) -> float:
+    """The same over a whole recording, whatever its length: cross-spectra by transforms over many tasks, and of their
+    inverse the places of the shifts alone."""
+    names, others = channels_of(signal), channels_of(references)
+    c, mean, _ = joint_covariance(signal, references)
+    k = len(names)
+    z = lambda s, i: transforms.spectrum(s, n).select(F.col("channel").alias(i), "bin", F.col("re").alias(f"re_{i}"), F.col("im").alias(f"im_{i}")).where("bin > 0")
+    met = z(signal, "a").join(z(references, "b"), "bin")  # without bin 0, so of what is left of the mean
+    re, im = F.col("re_a") * F.col("re_b") + F.col("im_a") * F.col("im_b"), F.col("im_a") * F.col("re_b") - F.col("re_a") * F.col("im_b")
+    pairs = met.select(F.to_json(F.struct("a", "b")).alias("channel"), "bin", re.alias("re"), im.alias("im"))
+    shifts = null_shifts(n, rounds, seed)
+    back = transforms.from_spectrum(pairs, n).where(F.col("t").isin(sorted(set(shifts.tolist())))).select(F.from_json("channel", "a string, b string").alias("p"), "t", "x")
+    cross = {(r.p.a, r.p.b, r.t): r.x / n for r in back.collect()}  # channels by references by shifts
+    xy = np.array([[[cross[a, b, s] for b in others] for a in names] for s in shifts.tolist()])
+    return float(np.quantile(null_squares(c[:k, :k], c[k:, k:], xy), 1 - alpha))
+
+
+def reference_clean(signal: DataFrame, references: DataFrame, rate: float, n: int, seconds: float = 2.0, overlap: float = 0.0, threshold: float = 0.7, most: float = 0.5, basis: str = "X", null: float | None = None) -> DataFrame:
+    """Windows without what they share with references, averaged where they overlap. Windows are tasks of their own. With
+    ``null``, each window's threshold is what chance exceeds with that probability, by its own null_threshold()."""
     names, others = channels_of(signal), channels_of(references)
     size = max(2, min(n, int(seconds * rate)))
     step = max(1, round(size * (1 - overlap)))
     k = len(names)
-    both = signal.select(F.concat(F.lit("0"), "channel").alias("channel"), "t", "x").unionByName(references.select(F.concat(F.lit("1"), "channel").alias("channel"), "t", "x"))
 
     def run(start: int, stop: int, t: np.ndarray, x: np.ndarray) -> pd.DataFrame:
         inside = (t >= start) & (t < stop)
-        y = clean_window(x[:k, inside], x[k:, inside], threshold, most, basis)[0] if inside.sum() > k + len(others) else x[:k, inside]
+        own = threshold if null is None else null_threshold(x[:k, inside], x[k:, inside], null)
+        y = clean_window(x[:k, inside], x[k:, inside], own, most, basis)[0] if inside.sum() > k + len(others) else x[:k, inside]
         return pd.DataFrame({"t": t[inside], "xs": list(y.T)})
 
-    done = by_window(both, size, step, n, run, "t long, xs array<double>")
+    done = by_window(_together(signal, references), size, step, n, run, "t long, xs array<double>")
     return long_from_samples(done, names).groupBy("channel", "t").agg(F.avg("x").alias("x"))
 
 

@@ -964,6 +964,18 @@ def _(spark, d):
     return references.reference_clean(sig.where("channel <> 'error'"), sig.where("channel = 'error'"), 24.0, hours(sig), 4.0, 0.5, 0.05)
 
 
+@query("reference_null_thresholds")
+def _(spark, d):
+    sig = _trend(spark, d)
+    return references.null_thresholds(sig.where("channel <> 'error'"), sig.where("channel = 'error'"), 24.0, hours(sig), 4.0, 0.5)
+
+
+@query("reference_clean_above_chance")
+def _(spark, d):
+    sig = _trend(spark, d)
+    return references.reference_clean(sig.where("channel <> 'error'"), sig.where("channel = 'error'"), 24.0, hours(sig), 4.0, 0.5, null=0.05)
+
+
 @query("sensor_noise_suppressed")
 def _(spark, d):
     return references.suppress_sensor_noise(S.vectors(spark, d), 3)[0]
