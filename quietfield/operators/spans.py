@@ -20,13 +20,26 @@ def mask_to_spans(mask: DataFrame, cell: int = 1 << 16) -> DataFrame:
     return merge_spans(runs.select("channel", "start", "stop"))
 
 
-def merge_spans(spans: DataFrame) -> DataFrame:
-    """Touching and overlapping spans of a channel as one."""
-    w = Window.partitionBy("channel").orderBy("start", "stop")
+def merge_spans(spans: DataFrame, cell: int = 1 << 20) -> DataFrame:
+    """Touching and overlapping spans of a channel as one.
+
+    Spans are cut at the borders of cells of time and merged within cells, which are tasks of their own. Only what then
+    touches a border is carried over it: two rows a cell at most, so a channel of any length has few to put in order.
+    """
+    last = F.floor((F.greatest(F.col("stop"), F.col("start") + 1) - 1) / cell)
+    cut = spans.select("channel", "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / cell), last)).alias("cell"))
+    cut = cut.select("channel", "cell", F.greatest("start", F.col("cell") * cell).alias("start"), F.least("stop", (F.col("cell") + 1) * cell).alias("stop"))
+    w = Window.partitionBy("channel", "cell").orderBy("start", "stop")
     reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
-    run = spans.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.groupBy("channel", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
+    run = cut.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = run.groupBy("channel", "cell", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    border = (F.col("start") == F.col("cell") * cell) | (F.col("stop") == (F.col("cell") + 1) * cell)
+    along = Window.partitionBy("channel").orderBy("start", "stop")
+    fresh = (~F.lag("stop").over(along).eqNullSafe(F.col("start"))).cast("int")
+    carried = pieces.where(border).withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = carried.groupBy("channel", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
+    return joined.unionByName(pieces.where(~border).select("channel", "start", "stop"))
 
 
 def _cells(spans: DataFrame) -> DataFrame:
