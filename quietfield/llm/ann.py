@@ -197,15 +197,16 @@ def nearest(table: DataFrame, queries: Column, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of table(vec_id, embedding) where ``queries`` holds, its nearest
     others by inner product.
 
-    Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id.
-    A vector's candidates are all other rows with a vector of its length, those of its own id included; of rows that are
-    repeated each has its own results. Ties go to the smaller vec_id.
+    Vectors that are null, empty, zero, or hold null or non-finite components take no part. A vector's candidates are all
+    other rows with a vector of its length, those of its own id or without one included; of rows that are repeated each has
+    its own results. Ties go to the smaller vec_id, a null one last; a row without an id is no query.
     """
     spark = table.sparkSession
     scratch = Scratch(spark, "ann")
     x = F.transform("embedding", lambda v: v.cast("double"))
-    rows = table.where("vec_id is not null").where(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
-    rows = scratch.write(rows.withColumn("row", F.monotonically_increasing_id()), "rows")  # written, so that numbers stay
+    nameless = F.col("vec_id").isNull().cast("long")  # the lowest bit of a row's number; its id is the greatest there is
+    rows = table.where(usable(F.col("embedding"))).select(F.coalesce(F.col("vec_id").cast("long"), F.lit(2**63 - 1)).alias("vec_id"), x.alias("x"), (2 * F.monotonically_increasing_id() + nameless).alias("row"))
+    rows = scratch.write(rows, "rows")  # written, so that numbers stay
     sizes = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -229,7 +230,7 @@ def nearest(table: DataFrame, queries: Column, top: int = TOP) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.int32()))], ["vec_id", "x", "row", "parts"])
 
     dealt = scratch.write(rows.mapInArrow(route, "vec_id long, x array<double>, row long, parts array<int>"), "dealt")
-    asked = dealt.where(queries).select("vec_id", "x", "row", F.explode("parts").alias("part"))
+    asked = dealt.where(queries & (F.col("row") % 2 == 0)).select("vec_id", "x", "row", F.explode("parts").alias("part"))
     home = dealt.select("vec_id", "x", "row", F.col("parts")[0].alias("part"))
     # Blocks of each part, on either side.
     size = home.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cbs")).join(asked.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qbs")), "part")
@@ -254,7 +255,8 @@ def nearest(table: DataFrame, queries: Column, top: int = TOP) -> DataFrame:
     keys = ("part", "qb", "cb")
     each = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_row long, query_id long, vec_id long, row long, score double")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
-    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    named = F.when(F.col("row") % 2 == 0, F.col("vec_id")).alias("vec_id")
+    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", named, "score")
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,17 +205,19 @@ def test_nearest(spark):
     odd = rng.standard_normal((30, 3)).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist()), (40, x[41].tolist()), (40, x[40].tolist())]
     rows += [(2000 + 10 * i, v.tolist()) for i, v in enumerate(odd)] + [(3000, [1.0] * 5)]
+    rows += [(None, [3.0] * 8), (None, [-3.0] * 8), (None, x[60].tolist())]  # candidates, but no queries
     good = [(i, np.array(v, float)) for i, v in rows]
-    rows += [(1000, None), (1020, [0.0] * 8), (1040, [float("nan")] + [1.0] * 7), (1060, [1.0, None] + [1.0] * 6), (1080, []), (None, [1.0] * 8), (1100, [float("inf")] * 8)]
+    rows += [(1000, None), (1020, [0.0] * 8), (1040, [float("nan")] + [1.0] * 7), (1060, [1.0, None] + [1.0] * 6), (1080, []), (None, None), (1100, [float("inf")] * 8)]
     t = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x")).withColumn("part", F.lit(1))
     got = ann.nearest(t, F.col("vec_id") % 20 == 0).collect()
     want, hits = [], 0
     for k, (i, v) in enumerate(good):
-        if i % 20 == 0:
-            others = [(-s, j) for m, (j, w) in enumerate(good) if m != k and len(w) == len(v) for s in [products(v, w[None])[0]]]
-            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(sorted(others)[:20])]
+        if i is not None and i % 20 == 0:
+            others = [(-s, 2**63 - 1 if j is None else j) for m, (j, w) in enumerate(good) if m != k and len(w) == len(v) for s in [products(v, w[None])[0]]]
+            want += [(i, r + 1, None if j == 2**63 - 1 else j, -s) for r, (s, j) in enumerate(sorted(others)[:20])]
     mine = Counter(tuple(r) for r in got)
     assert len(got) == len(want) and mine == Counter(want)  # a small sample sends queries to all parts
+    assert any(r.vec_id is None for r in got)
     assert ann.nearest(t.where("vec_id < 0"), F.lit(True)).count() == 0
 
 
