@@ -191,3 +191,8 @@ def repair_ratios(log: DataFrame) -> DataFrame:
     """(start, component, ratio, weight): variance over limit of each direction of each update, and how much of it stays."""
     each = log.select("start", F.posexplode(F.arrays_zip("variances", "limits", "weights")).alias("component", "z"))
     return each.select("start", "component", (F.col("z.variances") / F.col("z.limits")).alias("ratio"), F.col("z.weights").alias("weight"))
+
+
+def guided_weights(log: DataFrame) -> DataFrame:
+    """(start, stop, component, weight, applied): a row for each direction of each update, and whether it changed anything."""
+    return log.select("start", "stop", "applied", F.posexplode("weights").alias("component", "weight"))

@@ -181,9 +181,10 @@ def _(spark, d):
     return cut.select("channel", "start", (F.col("t") - F.col("start")).alias("k"), r("x").alias("x"))
 
 
-@query("raised_cosine_ramp", "SELECT CAST(k AS BIGINT) AS k, round((1 - cos(pi() * k / 16)) / 2, 6) + 0.0 AS y FROM (SELECT unnest(range(1, 17)) AS k)")
+@query("raised_cosine_ramp", HOURLY + " SELECT channel, t, round(x * (1 - cos(pi() * (t % 24 + 1) / 24)) / 2 + 0.00001234567, 4) + 0.0 AS x FROM sig")
 def _(spark, d):
-    return spark.range(1, 17).select(F.col("id").alias("k"), r(windows.raised_cosine(F.col("id"), 16), 6).alias("y"))
+    """Every day faded in."""
+    return shown(S.hourly(spark, d).select("channel", "t", (F.col("x") * windows.raised_cosine(F.col("t") % DAY + 1, DAY)).alias("x")), "channel", "t", nudge=OFF)
 
 
 @query("overlap_add", HOURLY + " SELECT channel, t, round(x, 3) + 0.0 AS x FROM sig CROSS JOIN nn WHERE t < CAST(floor((n - 48) / 36) AS BIGINT) * 36 + 48")
@@ -571,20 +572,21 @@ def _(spark, d):
     return shown(spectral.slopes(psd_pair(spark, d)[0], 0.45, 6.01), "channel", digits=5)
 
 
-@query("overcorrection", """WITH lf AS (SELECT 'c' || i AS channel, CAST(s AS BIGINT) AS source, sin(i * (s + 1.0)) AS gain FROM (SELECT unnest(range(0, 6)) AS i) CROSS JOIN (SELECT unnest(range(0, 12)) AS s)),
-nw AS (SELECT channel, source, gain, gain - avg(gain) OVER (PARTITION BY source) AS nw FROM lf)
+@query("overcorrection", """WITH lf AS (SELECT vec_id AS source, CAST(unnest(embedding) AS DOUBLE) AS gain FROM embeddings), nw AS (SELECT source, gain, gain - avg(gain) OVER (PARTITION BY source) AS nw FROM lf)
 SELECT source, round(sqrt(sum(nw * nw)) / sqrt(sum(gain * gain)) - 1, 5) + 0.0 AS amplitude_change, round(corr(gain, nw), 5) + 0.0 AS correlation, round(sqrt(sum(pow(gain - nw, 2))) / sqrt(sum(gain * gain)), 5) + 0.0 AS relative_error, round(1 - sum(pow(gain - nw, 2)) / sum(gain * gain), 5) + 0.0 AS goodness FROM nw GROUP BY 1""")
 def _(spark, d):
-    lead = spark.range(6).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("channel"), F.col("id").alias("i")).crossJoin(spark.range(12).select(F.col("id").alias("source")))
-    lead = lead.select("channel", "source", F.sin(F.col("i") * (F.col("source") + 1.0)).alias("gain"))
-    names = [f"c{k}" for k in range(6)]
-    return shown(qa.overcorrection(matrix_table(lead, np.eye(6) - 1 / 6, names, names), lead), "source", digits=5)
+    """What referring to the mean does to each vector, taken as a topography."""
+    sig = S.vectors(spark, d)
+    names, c = S.channels_of(sig), len(S.channels_of(sig))
+    lead = sig.select("channel", F.col("t").alias("source"), F.col("x").alias("gain"))
+    return shown(qa.overcorrection(matrix_table(lead, np.eye(c) - 1 / c, names, names), lead), "source", digits=5)
 
 
-@query("spherical_points", "SELECT CAST(k AS BIGINT) AS k, round(1 - 2 * (k + 0.5) / 200, 6) + 0.0 AS z, round(sqrt(1 - pow(1 - 2 * (k + 0.5) / 200, 2)) * cos(pi() * (1 + sqrt(5)) * (k + 0.5)), 6) + 0.0 AS x FROM (SELECT unnest(range(0, 200)) AS k)")
+@query("spherical_points", "SELECT s_suppkey AS k, round(1 - 2 * (s_suppkey + 0.5) / n, 6) + 0.0 AS z, round(sqrt(1 - pow(1 - 2 * (s_suppkey + 0.5) / n, 2)) * cos(pi() * (1 + sqrt(5)) * (s_suppkey + 0.5)), 6) + 0.0 AS x FROM supplier CROSS JOIN (SELECT max(s_suppkey) + 1 AS n FROM supplier)")
 def _(spark, d):
-    p = L.spherical_points(200)
-    return shown(spark.createDataFrame([(k, float(v[2]), float(v[0])) for k, v in enumerate(p)], "k long, z double, x double"), "k", digits=6)
+    """A place on the sphere for each supplier, by its key."""
+    suppliers = S.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
+    return shown(head.on_sphere(suppliers, F.col("k"), (suppliers.agg(F.max("k")).first()[0] or 0) + 1).select("k", "z", "x"), "k", digits=6)
 
 
 # --- data behind views ---------------------------------------------------------------------------------------
@@ -753,9 +755,17 @@ def _(spark, d):
     return model.table(sig)
 
 
-@query("component_counts", "SELECT 'knee' AS rule, CAST(2 AS BIGINT) AS n UNION ALL SELECT 'outliers', 2 UNION ALL SELECT 'both', 2")
+@query("component_counts", """WITH s AS (SELECT sum(l_extendedprice) AS v FROM lineitem GROUP BY l_discount, l_returnflag, l_linestatus), r AS (SELECT v, row_number() OVER (ORDER BY v DESC) AS k, max(v) OVER () AS top, count(*) OVER () AS n FROM s),
+d AS (SELECT k, n, CASE WHEN v > 0.01 * top THEN log10(v) - log10(lead(v) OVER (ORDER BY k)) END AS fall, k <= n // 2 AS half FROM r),
+knee AS (SELECT coalesce(max(CASE WHEN fall >= log10(3) THEN k END), 0) AS n FROM (SELECT k, fall FROM d WHERE fall IS NOT NULL ORDER BY fall DESC, k LIMIT 1)),
+near AS (SELECT coalesce(max(CASE WHEN fall >= log10(3) THEN k END), 0) AS n FROM (SELECT k, fall FROM d WHERE fall IS NOT NULL AND half ORDER BY fall DESC, k LIMIT 1)),
+a AS (SELECT v FROM s WHERE v <= (SELECT avg(v) + 3 * stddev_pop(v) FROM s)), b AS (SELECT v FROM a WHERE v <= (SELECT avg(v) + 3 * stddev_pop(v) FROM a)), c AS (SELECT v FROM b WHERE v <= (SELECT avg(v) + 3 * stddev_pop(v) FROM b)),
+o AS (SELECT (SELECT count(*) FROM s) - (SELECT count(*) FROM c) AS n)
+SELECT 'knee' AS rule, CAST(n AS BIGINT) AS n FROM knee UNION ALL SELECT 'outliers', n FROM o UNION ALL SELECT 'both', greatest((SELECT n FROM o), (SELECT n FROM near))""")
 def _(spark, d):
-    s = [100.0, 90.0, 2.0, 1.9, 1.8, 1.7, 1.6, 1.5, 1.4, 1.3, 1.2, 1.1, 1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.12, 0.11]
+    """How many of the sales by discount, return flag and status stand out."""
+    sales = S.table(spark, d, "lineitem").groupBy("l_discount", "l_returnflag", "l_linestatus").agg(F.sum("l_extendedprice").cast("double").alias("v"))
+    s = sorted((row.v for row in sales.collect()), reverse=True)
     return spark.createDataFrame([("knee", L.knee(s)), ("outliers", L.outliers(s)), ("both", L.component_count(s))], "rule string, n long")
 
 
@@ -895,6 +905,14 @@ def _(spark, d):
     return asr.process(sig, state, 24.0, n, 1.0, chunk=240)
 
 
+@query("asr_guided_weights")
+def _(spark, d):
+    """How much of each direction every update of the guided repair keeps."""
+    sig, n, state = _calibrated(spark, d)
+    weights = asr.guided_weights(None, asr.guidance(sig, [windows.running_mean(sig, DAY)]))
+    return views.guided_weights(asr.process(sig, state, 24.0, n, 1.0, chunk=240, weights=weights, log=True))
+
+
 @query("asr_guided")
 def _(spark, d):
     sig, n, state = _calibrated(spark, d)
