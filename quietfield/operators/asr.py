@@ -73,9 +73,9 @@ def calibrate(signal: DataFrame, rate: float, n: int, cutoff: float = 20.0, leng
         kept = windows.in_windows(signal, starts, size).select("channel", "t", "x").distinct()
         order = _renumbered(kept)
         kept = kept.join(order, "t").select("channel", F.col("k").alias("t"), "x")
-    m = kept.agg((F.max("t") + 1).alias("n")).first().n
     b, a = K.shaping_filter(rate) if filtered and rate > 8 else (np.array([1.0]), np.array([1.0]))
-    kept = _filtered(kept, State(names, np.eye(1), np.eye(1), b, a))
+    kept = kept_table(_filtered(kept, State(names, np.eye(1), np.eye(1), b, a)), "clean")  # read by several passes
+    m = kept.agg((F.max("t") + 1).alias("n")).first().n
     blocks = block_covariances(kept, block, m)
     cov = _median_covariance(blocks, names) if mean == "median" else _karcher_covariance(blocks, names)
     mixing = L.spd_map(cov, np.sqrt, 1e-8)

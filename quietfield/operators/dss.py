@@ -92,7 +92,7 @@ def iterative(signal: DataFrame, components: int, contrast: str = "tanh", symmet
     ``gamma`` (gamma179, gamma_predictive) sets how much of each step is taken when directions go one by one.
     """
     names, (cov, mean, _) = channels_of(signal), fitted_covariance(signal)
-    w0, _ = L.whitener(cov, rank)
+    w0, dw0 = L.whitener(cov, rank)
     white = _cached(by_sample(signal))
     f, slope = CONTRASTS[contrast]
     d = len(w0)
@@ -154,8 +154,8 @@ def iterative(signal: DataFrame, components: int, contrast: str = "tanh", symmet
                     break
             found = np.vstack([found, w])
             info.append((k, bool(gap < tol)))
-    a = found @ w0
-    return Linear(names, a, cov @ a.T, np.ones(components), mean), info
+    filters, patterns = L.to_sensor_space(found, found.T, w0, dw0)
+    return Linear(names, filters, patterns, np.ones(components), mean), info
 
 
 def _cached(df: DataFrame) -> DataFrame:

@@ -1020,6 +1020,12 @@ def _(spark, d):
     return series.ssa(_trend(spark, d), 24.0, hours(_trend(spark, d)), 48, 0.1)
 
 
+@query("ssa_groups")
+def _(spark, d):
+    sig = _trend(spark, d)
+    return series.ssa_groups(sig, 24.0, hours(sig), 24)
+
+
 @query("ssa_local")
 def _(spark, d):
     return series.local_ssa(_trend(spark, d), 24.0, 24)
