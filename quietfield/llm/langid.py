@@ -262,7 +262,7 @@ def identify(docs: DataFrame, model: Automata) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = whole(batch.column(batch.schema.get_field_index("text")))
-            for lo, hi in pieces(texts, 1 << 22):
+            for lo, hi in pieces(texts, 1 << 21):
                 lang, score = shared.value.predict(texts.slice(lo, hi - lo))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
