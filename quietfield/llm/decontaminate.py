@@ -3,10 +3,10 @@
 Texts are tiled into passages of TILE words, weighted by hashed TF-IDF over all of them. One distributed pass applies
 their Gram matrix to a random test matrix; a Nystrom step on the driver (features x RANK, a fixed size) gives the
 leading singular vectors and values. Every text is then read as overlapping windows of about each item's length,
-whose whitened latent vectors are differences of running sums. Windows near an item in cosine that share enough of its
-words are held against it by longest common subsequence, over the item and over its answer (its last sentence). So are
-stretches around any GRAM words in a row that an item has as well, whatever the weights of its words: an item copied
-word for word is found even if all its words are common, or the item is short.
+four blocks each, whose whitened latent vectors and words in common with an item are sums over blocks. Windows near an
+item in cosine that share enough of its words are held against it by longest common subsequence, over the item and over
+its answer (its last sentence). So are stretches around any GRAM words in a row that an item has as well, whatever the
+weights of its words: an item copied word for word is found even if all its words are common, or the item is short.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ LENGTHS, CLASS = 16, 64  # windows are of 16, 32, 48 or 64 words; longer items a
 NEAR, SHARED = 0.5, 0.35  # both are less than what ALIKE asks for
 SAME, ALIKE, ANSWERED = 0.8, 0.5, 0.8
 BLOCK = 2000
+CELLS, ROWS = 1 << 18, 1 << 14  # window-item pairs compared at once; windows held against items word by word at once
 _U = np.uint64
 
 
@@ -88,19 +89,21 @@ def latent_space(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test, idf = sent.value
+        weighted = with_blank(test * idf[:, None])
         total = np.zeros((width, FEATURES))
         for _, words in _pieces(batches):
             if not len(words):
                 continue
-            _, f = features(words)
+            f = features(words)[1].astype(np.intp)
             tile = _tiles(words)
-            w = idf[f]
-            new = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
-            seg = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(f))))
-            w = w / np.sqrt(np.add.reduceat(w * w, new))[seg]
-            z = np.ascontiguousarray(np.add.reduceat(test.take(f, axis=0) * w[:, None], new).T)
+            # A word's weight is its feature's by its tile's norm, so both norms go to the tiles and the other weight to the end.
+            norm = np.bincount(tile, np.square(idf, dtype=float).take(f))
+            sums, fours, doc = _fours(words, f, weighted)
+            z = np.add.reduceat(sums, np.flatnonzero((np.arange(len(doc)) - fours[:-1][doc]) % (TILE // 4) == 0))
+            z = (z / norm[:, None]).T.copy()
             for j in range(width):
-                total[j] += np.bincount(f, w * z[j].take(seg), FEATURES)
+                total[j] += np.bincount(f, z[j].take(tile), FEATURES)
+        total *= idf
         at = np.flatnonzero(total.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(total.T[at]), pa.list_(pa.float64()))], ["f", "y"])
 
@@ -186,20 +189,23 @@ def common_subsequence(a: list[int], b: list[int], masks: dict[int, int] | None
     return len(a) - row.bit_count()
 
 
-def _running_sums(words: Words, f: np.ndarray, latent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of latent vectors over a piece's words, at every fourth word of each document, and where documents begin."""
+def with_blank(table: np.ndarray) -> np.ndarray:
+    """A table by feature with a last row of zeros, for places without a word."""
+    return np.vstack([table, np.zeros((1, table.shape[1]), table.dtype)])
+
+
+def _fours(words: Words, f: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of a table's rows over every four words of each document, where documents begin, and the document of each four."""
     n = -(-words.count // 4)
     fours = np.concatenate([[0], np.cumsum(n)])
     doc = np.repeat(np.arange(len(n)), n)
     place = words.first[:-1][doc] + 4 * (np.arange(len(doc)) - fours[:-1][doc])
-    blank = np.vstack([latent, np.zeros((1, latent.shape[1]), latent.dtype)])
-    total = 0
-    for k in range(4):
+    end = words.first[1:][doc]
+    total = table.take(f.take(place), axis=0)
+    for k in range(1, 4):
         at = place + k
-        total = total + blank.take(np.where(at < words.first[1:][doc], f.take(at, mode="clip"), len(latent)), axis=0)
-    sums = np.zeros((len(doc) + 1, latent.shape[1]))
-    np.cumsum(total, axis=0, dtype=np.float64, out=sums[1:])
-    return sums, fours
+        total += table.take(np.where(at < end, f.take(at, mode="clip"), len(table) - 1), axis=0)
+    return total, fours, doc
 
 
 def in_common(seen: np.ndarray, have: np.ndarray) -> np.ndarray:
@@ -214,6 +220,52 @@ def in_common(seen: np.ndarray, have: np.ndarray) -> np.ndarray:
     return np.count_nonzero((seen >= 0) & (before < have.take(seen, mode="clip")), axis=1)
 
 
+def _near(words: Words, f: np.ndarray, sums: np.ndarray, fours: np.ndarray, size: int, parts: tuple, have: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, document and part of each window of ``size`` words that is near a part in cosine and shares enough of its words.
+
+    Windows begin at every quarter of their size, so each is four blocks in a row; what of a block lies beyond the
+    document is blank. ``have`` says of each feature which parts have it, ``sums`` are those of latent vectors.
+    """
+    _, _, direction, table = parts
+    step = size // 4
+    least = np.ceil(SHARED * np.minimum(table.sum(1, dtype=int), size)).astype(np.int8)
+    n = np.where(words.count > 0, np.maximum(-(-(words.count - size) // step), 0) + 1, 0)
+    blocks = np.where(n > 0, n + 3, 0)
+    doc = np.repeat(np.arange(len(n)), blocks)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    whole_window = place < n[doc]
+    start, end = words.first[:-1][doc] + place * step, words.first[1:][doc]
+    four, last = fours[:-1][doc] + place * (step // 4), fours[1:][doc]
+    blank_sum, blank = np.zeros((1, sums.shape[1]), sums.dtype), len(have) - 1
+    sums = np.concatenate([sums, blank_sum])
+    out = []
+    tile = max(256, CELLS // len(direction))
+    for lo in range(0, len(doc) - 3, tile):
+        rows = slice(lo, lo + tile + 3)
+        v, shared = 0, 0
+        for q in range(step // 4):
+            at = four[rows] + q
+            v = v + sums.take(np.where(at < last[rows], at, len(sums) - 1), axis=0)
+        for j in range(step):
+            at = start[rows] + j
+            shared = shared + have.take(np.where(at < end[rows], f.take(at, mode="clip"), blank), axis=0)
+        v = v[:-3] + v[1:-2] + v[2:-1] + v[3:]
+        v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)[:, None]
+        good = v @ direction.T >= NEAR
+        good &= shared[:-3] + shared[1:-2] + shared[2:-1] + shared[3:] >= least
+        w, p = np.divmod(np.flatnonzero(good), len(direction))
+        w += lo
+        w, p = w[whole_window[w]], p[whole_window[w]]
+        for k in range(0, len(w), ROWS):
+            a, b = w[k : k + ROWS], p[k : k + ROWS]
+            at = start[a][:, None] + np.arange(size)
+            seen = np.where(at < end[a][:, None], f.take(at, mode="clip") + b[:, None] * FEATURES, -1)
+            fine = in_common(seen, table.reshape(-1)) >= least[b]
+            out.append((a[fine], b[fine]))
+    w, p = (np.concatenate(x) for x in zip((np.zeros(0, int),) * 2, *out, strict=True))
+    return start[w], doc[w], p
+
+
 FOUND = "doc_id long, item_id long, lcs double, answer double"
 
 
@@ -222,42 +274,21 @@ def search(docs: DataFrame, items: Items, latent: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, latent = sent.value
+        latent = with_blank(latent)
+        have = {size: with_blank(np.ascontiguousarray(table.T > 0).view(np.int8)) for size, (_, _, _, table) in items.parts.items()}
         for batch, words in _pieces(batches):
             if not len(words):
                 continue
             h, f = features(words)
-            sums, fours = _running_sums(words, f, latent)
+            sums, fours, _ = _fours(words, f, latent)
             asked: dict[tuple[int, int], set[tuple[int, int]]] = {}
-            for size, (owner, shift, direction, table) in items.parts.items():
-                step = size // 4
-                n = np.where(words.count > 0, np.maximum(-(-(words.count - size) // step), 0) + 1, 0)
-                doc = np.repeat(np.arange(len(n)), n)
-                at = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step
-                low = fours[:-1][doc] + at // 4
-                v = (sums.take(np.minimum(low + size // 4, fours[1:][doc]), axis=0) - sums.take(low, axis=0)).astype(np.float32)
-                at += words.first[:-1][doc]
-                end = np.minimum(at + size, words.first[1:][doc])
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                length = end - at
-                least = SHARED * np.minimum(table.sum(1, dtype=int), size)
-                view = np.lib.stride_tricks.sliding_window_view(np.concatenate([f, np.zeros(size, f.dtype)]).astype(np.int16), size)
-                tile = max(256, (1 << 22) // len(direction))
-                for lo in range(0, len(v), tile):
-                    near = direction @ v[lo : lo + tile].T >= NEAR
-                    for p in np.flatnonzero(near.any(1)).tolist():
-                        rows = np.flatnonzero(near[p]) + lo
-                        seen = view[at[rows]]
-                        hit = (table[p] > 0).take(seen)
-                        if (length[rows] < size).any():
-                            hit &= np.arange(size) < length[rows][:, None]
-                        good = np.flatnonzero(np.count_nonzero(hit, axis=1) >= least[p])
-                        good = good[in_common(np.where(hit[good], seen[good], -1), table[p]) >= least[p]]
-                        k = int(owner[p])
-                        for r in rows[good].tolist():
-                            d = int(doc[r])
-                            lo_word = max(int(at[r]) - int(shift[p]) - size // 2, int(words.first[d]))
-                            hi_word = min(int(at[r]) - int(shift[p]) + int(items.size[k]) + size, int(words.first[d + 1]))
-                            asked.setdefault((d, k), set()).add((lo_word, max(hi_word, lo_word)))
+            for size, (owner, shift, _, _) in items.parts.items():
+                at, doc, p = _near(words, f, sums, fours, size, items.parts[size], have[size])
+                own, at = owner[p], at - shift[p]
+                lo_word = np.maximum(at - size // 2, words.first[doc])
+                hi_word = np.maximum(np.minimum(at + items.size[own] + size, words.first[doc + 1]), lo_word)
+                for d, k, lo, hi in zip(doc.tolist(), own.tolist(), lo_word.tolist(), hi_word.tolist(), strict=True):
+                    asked.setdefault((d, k), set()).add((lo, hi))
             for n, (lookup, first, owner, pos) in items.grams.items():
                 g = lookup(windows(h, n))
                 at = np.flatnonzero(g >= 0)

@@ -648,6 +648,63 @@ def test_items_of_common_words_and_short_items_are_found(spark):
     assert sum((r.doc_id, r.item_id) == (12, 12) for r in got) in (0, 2)  # a repeated row gives repeated results
 
 
+def texts_and_items():
+    """Texts of few words, with empty and very short ones, and items of each length that share words with them."""
+    rng = random.Random(21)
+    words = [a + b for a in WORDS for b in "xy"]
+    fresh = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(k, fresh(n)) for k, n in enumerate([3000, 0, 1, 3, 4, 5, 15, 16, 17, 63, 64, 65, 1, 700, 130])] + [(90, None)]
+    return rows, [(k, fresh(rng.choice([2, 9, 16, 30, 47, 64, 150]))) for k in range(120)]
+
+
+def test_windows_are_held_against_all_items_at_once(spark, monkeypatch):
+    """Python steps for each item and piece of text were most of the search's time."""
+    rows, items = texts_and_items()
+    docs = frame(spark, rows)
+    idf = decontaminate.inverse_frequencies(docs)
+    latent = decontaminate.latent_space(docs, idf)
+    items = decontaminate.Items(items, latent, idf)
+    kept, calls, real = [], [], decontaminate.in_common
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: kept.append(run))
+    decontaminate.search(docs, items, latent)
+    monkeypatch.setattr(decontaminate, "in_common", lambda *a: calls.append(len(a[0])) or real(*a))
+    ids, texts = zip(*rows, strict=True)
+    list(kept[0](iter([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], ["doc_id", "text"])])))
+    assert 0 < len(calls) <= sum(-(-sum(calls) // decontaminate.ROWS) for _ in items.parts)
+
+
+def test_near_windows_against_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ROWS", 100)
+    rows, items = texts_and_items()
+    docs = frame(spark, rows)
+    idf = decontaminate.inverse_frequencies(docs)
+    latent = decontaminate.latent_space(docs, idf)
+    items = decontaminate.Items(items, latent, idf)
+    words = kernel.Words(kernel.whole(pa.array([t for _, t in rows], pa.string())), kernel.PUNCTUATION)
+    _, f = decontaminate.features(words)
+    blank = decontaminate.with_blank(latent)
+    sums, fours, _ = decontaminate._fours(words, f, blank)
+    total = 0
+    for size, (owner, shift, direction, table) in items.parts.items():
+        have = decontaminate.with_blank(np.ascontiguousarray(table.T > 0).view(np.int8))
+        got = set(zip(*(x.tolist() for x in decontaminate._near(words, f, sums, fours, size, items.parts[size], have)), strict=True))
+        sure, maybe = set(), set()
+        for d in range(len(rows)):
+            a, b = int(words.first[d]), int(words.first[d + 1])
+            for lo in range(a, max(b - size, a) + size // 4, size // 4) if b > a else ():
+                window = f[lo : min(lo + size, b)]
+                v = latent[window].sum(0, dtype=float)
+                count = np.bincount(window, minlength=decontaminate.FEATURES)
+                for p in range(len(owner)):
+                    enough = np.minimum(count, table[p]).sum() >= decontaminate.SHARED * min(table[p].sum(dtype=int), size)
+                    near = direction[p] @ v / max(np.linalg.norm(v), 1e-12) - decontaminate.NEAR
+                    if enough and near > -1e-5:
+                        (sure if near > 1e-5 else maybe).add((lo, d, p))
+        assert sure <= got <= sure | maybe
+        total += len(sure)
+    assert total > 100
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(50):
