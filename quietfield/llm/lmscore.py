@@ -28,15 +28,15 @@ FOLDS, HELD_OUT = 7, 2
 FREQUENT, VOCABULARY, TAILS = 1 << 19, 992, 31
 ROUNDS = 3
 SUMS = 32
-_U = np.uint64
+#: The tail of each two bytes.
+_TAIL = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(TAILS)).astype(np.int32)
 
 
 def lowered(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hash and tail of each word."""
     data = words.lowered()
-    one = data[words.start].astype(np.uint64)
-    two = np.where(words.end - words.start > 1, data[np.minimum(words.start + 1, len(data) - 1)], 0).astype(np.uint64)
-    return words.hashes(data), (mix(one * _U(256) + two) % _U(TAILS)).astype(np.int32)
+    two = np.where(words.end - words.start > 1, data.take(words.start + 1, mode="clip"), 0) if len(words) else 0
+    return words.hashes(data), _TAIL[data[words.start].astype(np.int64) * 256 + two]
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,35 +55,38 @@ class Language:
 
     def __init__(self, h: np.ndarray, c: np.ndarray, tail: np.ndarray, tails: dict[int, tuple[int, int]], n: int, v: int, ends: int):
         order = np.lexsort((h, -c))
-        self.lookup, self.count = Lookup(h[order].view(np.uint64)), c[order].astype(np.int64)
+        self.lookup, count = Lookup(h[order].view(np.uint64)), c[order].astype(np.int64)
+        self.log_count = np.concatenate([np.log10(count + 1.0), [0.0]])  # the last is of place -1, of words not in the list
         k = min(VOCABULARY, len(c))
         self.n, self.v, self.ends = n, v, ends
         seen, kinds = np.zeros(TAILS), np.zeros(TAILS)
         for t, (total, distinct) in tails.items():
             seen[t], kinds[t] = total, distinct
-        np.subtract.at(seen, tail[order[:k]], self.count[:k])
+        np.subtract.at(seen, tail[order[:k]], count[:k])
         np.subtract.at(kinds, tail[order[:k]], 1)
         self.tail_log = np.log10(seen + kinds + 1)
         # tokens: the vocabulary's words, the end, the tails; by falling counts
-        counts = np.concatenate([self.count[:k], [ends], seen])
+        counts = np.concatenate([count[:k], [ends], seen])
         rank = np.empty(len(counts), np.int32)
         rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
         self.k, self.word_token, self.end, self.tail_token = k, rank[:k], int(rank[k]), rank[k + 1 :]
         self.model = Model(np.sort(counts)[::-1], self.end)
 
-    def tokens(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens of a piece with ends; place in the list of frequent words of each word, and what counts for each word:
-        log10(c + 1) where known so far, and log10 of the tail's total where it is of a tail."""
+    def tokens(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of a piece with ends; place in the list of frequent words (else -1) and tail of each word."""
         h, tail = lowered(words)
         place = self.lookup(h)
-        known = place >= 0
-        inside = known & (place < self.k)
-        token = np.where(inside, self.word_token[np.where(inside, place, 0)] if self.k else 0, self.tail_token[tail])
-        log_c = np.where(known, np.log10(self.count[np.where(known, place, 0)] + 1.0) if len(self.count) else 0.0, 0.0)
-        rest = np.where(inside, 0.0, log_c - self.tail_log[tail])
+        inside = (place >= 0) & (place < self.k)
+        token = self.tail_token[tail]
+        token[inside] = self.word_token[place[inside]]
         out = np.full(len(h) + len(words.count), self.end, np.int32)
         out[np.arange(len(h)) + words.doc] = token
-        return out, place, log_c, rest
+        return out, place, tail
+
+    def logs(self, place: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What counts for each word: log10(c + 1) where known so far, and with log10 of the tail's total off it where it is of a tail."""
+        log_c = self.log_count[place]
+        return log_c, np.where((place >= 0) & (place < self.k), 0.0, log_c - self.tail_log[tail])
 
 
 def learn(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS, share: int | None = None, frequent: int = FREQUENT) -> tuple[Language, DataFrame]:
@@ -182,7 +185,8 @@ def score(docs: DataFrame, language: Language, counted: DataFrame) -> DataFrame:
         for batch in batches:
             tokens, sizes, known, base, rest = [], [], [], [], []
             for _, words in text_pieces([batch]):
-                token, place, log_c, extra = lang.tokens(words)
+                token, place, tail = lang.tokens(words)
+                log_c, extra = lang.logs(place, tail)
                 add = lambda x, words=words: np.bincount(words.doc, x, len(words.count))
                 tokens.append(token)
                 sizes.append(words.count + 1)

@@ -381,6 +381,92 @@ def test_gradients():
         assert abs((up - down) / (2 * e) - g[k][at]) < 1e-5
 
 
+def plain_score(m, tokens):
+    """Log probability of one document, a token at a time in double precision."""
+    p = {k: x.astype(float) for k, x in m.p.items()}
+    sigmoid, h, state, before, total = (lambda x: 1 / (1 + np.exp(-x))), m.h, np.zeros(m.h), m.end, 0.0
+    for token in tokens:
+        x, y = p["e"][before] @ p["w"] + p["b"], state @ p["u"] + p["d"]
+        z, r = sigmoid((x + y)[:h]), sigmoid((x + y)[h : 2 * h])
+        state = state + z * (np.tanh(x[2 * h :] + r * y[2 * h :]) - state)
+        c, j = divmod(token, m.s)
+        a, b = state @ p["cw"] + p["cb"], state @ p["ow"][c] + p["ob"][c]
+        total += a[c] - np.logaddexp.reduce(a) + b[j] - np.logaddexp.reduce(b)
+        before = token
+    return total
+
+
+def some_model(scale=1.0):
+    """Weights of outputs are times ``scale``."""
+    rng = np.random.default_rng(3)
+    m = gru.Model(np.arange(90.0, 0, -1), 4, hidden=8)
+    m.p = {k: ((x + 0.5 * rng.standard_normal(x.shape)) * (scale if k in ("cw", "cb", "ow", "ob") else 1)).astype(np.float32) for k, x in m.p.items()}
+    return m, rng
+
+
+@pytest.mark.parametrize("scale", [1.0, 40.0])
+def test_scores_of_documents_side_by_side(scale):
+    """As of each alone, also where exponents need a shift; a long text adds its own steps only, not those of a group of its own."""
+    m, rng = some_model(scale)
+    sizes = rng.permutation(np.concatenate([[3000, 700], rng.integers(1, 90, 1200)]))
+    tokens = rng.integers(0, 90, sizes.sum()).astype(np.int32)
+    tokens[np.cumsum(sizes) - 1] = m.end
+    steps, forward = [], m.forward
+    m.forward = lambda table, before, *rest: steps.append(len(before)) or forward(table, before, *rest)
+    got = m.score(tokens, sizes)
+    want = [plain_score(m, tokens[hi - n : hi]) for n, hi in zip(sizes, np.cumsum(sizes), strict=True)]
+    assert np.allclose(got, want, rtol=1e-5 * scale, atol=1e-3 * scale)
+    assert sum(steps) == 3000
+    lanes = gru.Lanes(tokens, sizes, np.argsort(-sizes), 64)
+    assert lanes.target.size == sizes.sum() == sum(on.sum() for _, on, _, _ in lanes.windows())
+
+
+@pytest.mark.parametrize("scale", [1.0, 40.0])
+def test_gradients_of_outputs(scale):
+    m, rng = some_model(scale)
+    m.p = {k: x.astype(np.float64) for k, x in m.p.items()}
+    states, target, e = rng.uniform(-1, 1, (30, 8)), rng.integers(0, 90, 30), 1e-6
+    _, g = m.outputs(states, target, True)
+    for k, x in [(k, m.p[k]) for k in ("cw", "cb", "ow", "ob")] + [("states", states)]:
+        for i in np.argsort(-np.abs(g[k]).ravel())[:: max(1, x.size // 20)]:
+            at = np.unravel_index(i, x.shape)
+            value, sums = x[at], []
+            for step in (e, -e):
+                x[at] = value + step
+                sums.append(m.outputs(states, target, False)[0].sum())
+            x[at] = value
+            assert abs((sums[0] - sums[1]) / (2 * e) - g[k][at]) < 1e-4 * max(1, scale), k
+
+
+def test_gradients_through_time():
+    m, rng = some_model()
+    target, on, start = rng.integers(0, 90, (6, 5)).astype(np.int32), np.ones((6, 5), bool), np.zeros((6, 5), bool)
+    start[0, :3] = start[3, 1] = True
+    on[4:, 2] = False
+    state, last = rng.uniform(-0.9, 0.9, (5, 8)).astype(np.float32), rng.integers(0, 90, 5).astype(np.int32)
+    g, after = m.gradients(target, on, start, state, last)
+    assert set(g) == set(m.p)
+
+    def total():
+        before = np.where(start, m.end, np.concatenate([last[None], target[:-1]]))
+        states = m.forward(m.table(), before, start, state)[0]
+        assert np.array_equal(states[-1], after) or moved
+        return m.outputs(states[on], target[on], False)[0].sum()
+
+    moved = False
+    total()
+    moved = True
+    for k, x in m.p.items():
+        for i in np.argsort(-np.abs(g[k]).ravel())[:: max(1, x.size // 12)][:12]:
+            at, eps = np.unravel_index(i, x.shape), np.float32(1e-2)
+            value, sums = x[at], []
+            for step in (eps, -eps):
+                x[at] = value + step
+                sums.append(total())
+            x[at] = value
+            assert abs((sums[0] - sums[1]) / (2 * eps) - g[k][at]) < 5e-3 + 5e-3 * abs(g[k][at]), k
+
+
 # --- 6
 
 def test_licenses(spark):
